@@ -64,6 +64,11 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _target(doc: np.ndarray, n: int) -> np.ndarray:
+    """The group in which a document's findings meet."""
+    return ((doc.astype(np.uint64) * _ODD) >> np.uint64(33)).astype(np.int64) % n
+
+
 def _top(block: int, bits: int) -> int:
     """What a block of that many bits says about a hash's top byte."""
     return block >> (bits - 8) if bits >= 8 else block << (8 - bits)
@@ -104,8 +109,9 @@ def _entries(docs: list[int], hashes: list[np.ndarray], shift: int) -> Iterator[
 
 
 def duplicate_windows(df: DataFrame, id_col: str, text_col: str, length: int, n_blocks: int) -> DataFrame:
-    """id, hashes (list of packed window hashes): the windows of each document that a smaller id also holds."""
-    shift = 64 - (n_blocks.bit_length() - 1)
+    """id, hashes (packed, without what a block doesn't say of the top byte): the windows that a smaller id also holds."""
+    bits = n_blocks.bit_length() - 1
+    shift = 64 - bits
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, hashes, held = [], [], 0
@@ -130,37 +136,41 @@ def duplicate_windows(df: DataFrame, id_col: str, text_col: str, length: int, n_
             yield flush()
 
     def parse(table: pa.Table) -> pa.Table:
-        ids, packed = [], []
-        docs, hs = [], []
-        for known, d, c, h in zip(*(table.column(k).to_pylist() for k in range(1, 5))):
-            if known:
-                cuts = np.cumsum(np.frombuffer(c, "<u4"), dtype=np.int64) * 7
-                for doc, a, b in zip(np.frombuffer(d, "<i8").tolist(), [0, *cuts[:-1].tolist()], cuts.tolist()):
-                    ids.append(doc)
-                    packed.append(h[a:b])
-            else:
-                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
-                hs.append(_unpack(h))
         block = table.column(0)[0].as_py() if table.num_rows else 0
-        if docs:
-            doc, h = np.concatenate(docs), np.concatenate(hs)
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            first = np.diff(h, prepend=~h[0]) != 0
-            least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-            later = doc > least
-            if later.any():
-                for _, _, d, c, raw in _rows(doc[later], h[later], np.full(int(later.sum()), block), True):
-                    cuts = np.cumsum(np.frombuffer(c, "<u4"), dtype=np.int64) * 7
-                    for one, a, b in zip(np.frombuffer(d, "<i8").tolist(), [0, *cuts[:-1].tolist()], cuts.tolist()):
-                        ids.append(one)
-                        packed.append(raw[a:b])
-        return pa.table({"id": pa.array(ids, pa.int64()), "block": pa.array([block] * len(ids), pa.int32()), "hashes": pa.array(packed, pa.binary())})
+        docs, hs, known = [], [], []
+        for k, d, c, h in zip(*(table.column(x).to_pylist() for x in range(1, 5))):
+            doc = np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4"))
+            docs.append(doc)
+            hs.append(_unpack(h))
+            known.append(np.full(len(doc), k))
+        empty = np.zeros(0, np.int64)
+        doc, h, late = (np.concatenate(x) if x else empty for x in (docs, hs, known))
+        if len(doc):
+            sent = np.flatnonzero(~late)
+            sent = sent[np.lexsort((doc[sent], h[sent]))]
+            first = np.diff(h[sent], prepend=~h[sent[:1]]) != 0
+            late[sent] = doc[sent] > doc[sent][np.flatnonzero(first)][np.cumsum(first) - 1]
+        doc, h = doc[late.astype(bool)], h[late.astype(bool)]
+        rows = [(block, *r) for r in _rows(doc, h, _target(doc, n_blocks), True)]
+        names = ["block", "target", "known", "docs", "counts", "hashes"]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, list(zip(*rows)) or [()] * 6, [pa.int32(), *_SCHEMA.types])}).drop(["known"])
+
+    def regroup(table: pa.Table) -> pa.Table:
+        docs, hs = [], []
+        for block, d, c, h in zip(*(table.column(n).to_pylist() for n in ("block", "docs", "counts", "hashes"))):
+            docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+            hs.append((np.uint64(_top(block, bits)) << np.uint64(56)) | _unpack(h))
+        doc, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, hs))
+        order = np.argsort(doc, kind="stable")
+        doc, raw = doc[order], h[order].astype("<u8").tobytes()
+        at = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+        ends = [*at[1:].tolist(), len(doc)]
+        return pa.table({"id": pa.array(doc[at], pa.int64()), "hashes": pa.array([raw[8 * a : 8 * b] for a, b in zip(at.tolist(), ends)], pa.binary())})
 
     source = df.select(F.col(id_col).cast("long"), F.encode(F.col(text_col), "UTF-8"))
     blocks = source.mapInArrow(index, _DDL)
-    found = blocks.groupBy("block").applyInArrow(parse, "id bigint, block int, hashes binary")
-    return found.groupBy("id").agg(F.collect_list(F.struct("block", "hashes")).alias("found"))
+    found = blocks.groupBy("block").applyInArrow(parse, "block int, target int, docs binary, counts binary, hashes binary")
+    return found.groupBy("target").applyInArrow(regroup, "id bigint, hashes binary")
 
 
 def factors(covered: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -196,8 +206,7 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 spans = []
                 if found:
                     h = window_hashes(words, length)
-                    known = [(np.uint64(_top(x["block"], bits)) << np.uint64(56)) | _unpack(x["hashes"]) for x in found]
-                    covered = np.isin(h & mask, np.concatenate(known))
+                    covered = np.isin(h & mask, np.frombuffer(found, "<u8"))
                     spans = factors(covered, length)
                 kept, at = [], 0
                 for a, b in spans:
@@ -210,5 +219,5 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], [id_col, "n_words", "n_removed", "kept_text", "spans"])
 
     texts = df.select(F.col(id_col).cast("long"), F.encode(F.col(text_col), "UTF-8")).mapInArrow(squeeze, "id bigint, packed binary")
-    joined = texts.join(found, "id", "left").select("id", "packed", "found")
+    joined = texts.join(found, "id", "left").select("id", "packed", "hashes")
     return joined.mapInArrow(cut_out, f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<first:int,after:int>>")
