@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,63 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), n=3, words=1, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import quality
+
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import merkle
+
+    out = merkle.fingerprints(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import secrets
+
+    found = secrets.find(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kinds = [count(k) for k in ("assign", "access", "hex")]
+    digest = F.sha2(F.encode(secrets.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *kinds, digest, secrets.listed(F.col("all")).alias("spans"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import language
+    from eventlens.llm.common import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    books = language.dictionaries(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    out = language.predict(docs, books)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import toxicity
+    from eventlens.llm.common import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("id"), 3) != 1)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
