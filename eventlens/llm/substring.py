@@ -112,6 +112,8 @@ def duplicate_windows(df: DataFrame, id_col: str, text_col: str, length: int, n_
     """id, hashes (packed, without what a block doesn't say of the top byte): the windows that a smaller id also holds."""
     bits = n_blocks.bit_length() - 1
     shift = 64 - bits
+    # Findings go from every block to every group of documents in one row: groups are fewer, as findings are less than windows.
+    n_targets = max(16, n_blocks // 4)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, hashes, held = [], [], 0
@@ -151,7 +153,7 @@ def duplicate_windows(df: DataFrame, id_col: str, text_col: str, length: int, n_
             first = np.diff(h[sent], prepend=~h[sent[:1]]) != 0
             late[sent] = doc[sent] > doc[sent][np.flatnonzero(first)][np.cumsum(first) - 1]
         doc, h = doc[late.astype(bool)], h[late.astype(bool)]
-        rows = [(block, *r) for r in _rows(doc, h, _target(doc, n_blocks), True)]
+        rows = [(block, *r) for r in _rows(doc, h, _target(doc, n_targets), True)]
         names = ["block", "target", "known", "docs", "counts", "hashes"]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, list(zip(*rows)) or [()] * 6, [pa.int32(), *_SCHEMA.types])}).drop(["known"])
 
