@@ -65,6 +65,9 @@ def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1
                     continue
                 if s is not None and start - cover > hole:
                     close()
+                if s is None and ps is not None and start - pe > merge:
+                    final()
+                    ps = pe = pm = None
                 if s is None:
                     if x >= hi:
                         s, e, m = start, end, x
