@@ -26,7 +26,7 @@ _LAST = (1 << 63) - 1
 
 
 def paragraphs(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )", -1)
+    return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)(?!\z)|(?<=[.!?] )(?!\z)", -1)
 
 
 def leaves(text: Column) -> Column:
