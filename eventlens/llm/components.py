@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import cut
 
 
+def _ranked(node: str) -> Column:
+    """Nodes in a scattered order, so that a chain in order of id isn't followed link by link."""
+    return F.struct(F.xxhash64(node).alias("rank"), F.col(node).alias("node"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of edges (u, v).
 
-    Each round every node moves to its least neighbour's least neighbour; edges follow and loops go.
-    Local minima stay, so the least node of a component is what remains. The number of rounds grows
-    with the logarithm of a component's diameter. Loops, repeated edges and an empty table are fine.
+    Each round every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and
+    loops go. Nodes that come before all their neighbours stay, so each component ends as one of its nodes. As the order is
+    scattered, a round leaves a fraction of the nodes and rounds grow with the logarithm of their number. What moved
+    in each round is kept and composed at the end. Loops, repeated edges and an empty table are fine.
     """
     live = cut(edges.select("u", "v").where("u <> v").distinct())
-    labels = None
+    if live.isEmpty():
+        return live.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    moves = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("to")))
-        step = step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+        step = both.groupBy("u").agg(F.min(_ranked("v")).alias("m")).select(F.col("u").alias("node"), F.least(_ranked("u"), F.col("m"))["node"].alias("to"))
         step = cut(step)
-        if labels is None:
-            labels = step.select("node", F.col("to").alias("label"))
-        else:
-            moved = step.select(F.col("node").alias("label"), "to")
-            labels = cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        step = cut(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to")))
+        moves.append(step)
         at = step.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         bt = step.select(F.col("node").alias("v"), F.col("to").alias("v2"))
         live = cut(live.join(at, "u").join(bt, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct())
-    if labels is None:
-        return live.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels
+    labels = moves[0].select("node", F.col("to").alias("label"))
+    for step in moves[1:]:
+        labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    labels = cut(labels)
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return labels.join(least, "label").select("node", F.col("least").alias("label"))
