@@ -37,6 +37,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FLOORS = {"z_length": 0.08, "z_symbols": 0.12, "z_lines": 0.15, "z_repeats": 0.12, "z_upper": 0.08}
 #: Rows of a group of its own; concentration steps; squared distance that rejects (median-scaled, 5 degrees of freedom).
 LEAST, STEPS, CUTOFF = 200, 4, 60.0
+#: Groups whose parameters (a few hundred bytes each) are broadcast; beyond this many the joins shuffle.
+BROADCAST_GROUPS = 20_000
 #: Median of the chi-squared law of five degrees of freedom.
 CHI2_MEDIAN = 4.3515
 
@@ -127,22 +129,27 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     sizes = passed.groupBy("own", "wide").agg(F.count(F.lit(1)).alias("n"))
     wide = sizes.where(F.col("n") < least).groupBy("wide").agg(F.sum("n").alias("m"))
     named = F.when(F.col("n") >= least, F.col("own")).when(F.col("m") >= least, F.concat(F.lit("lang "), F.col("wide"))).otherwise("all")
-    groups = sizes.join(wide, "wide", "left").select("own", named.alias("grp"))
-    rows = cut(passed.join(groups, "own").drop("own", "wide"))
+    groups = cut(sizes.join(wide, "wide", "left").select("own", named.alias("grp")))
+    few = groups.count() <= BROADCAST_GROUPS
+
+    def small(per_group: DataFrame) -> DataFrame:
+        return F.broadcast(per_group) if few else per_group
+
+    rows = cut(passed.join(small(groups), "own").drop("own", "wide"))
 
     medians = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in z))
-    spread = rows.join(medians, "grp").groupBy("grp").agg(
+    spread = rows.join(small(medians), "grp").groupBy("grp").agg(
         F.array(*(F.first(f"m_{x}") for x in z)).alias("mean"),
         F.array(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000) for x in z)).alias("mad"),
     )
     diagonal = [(1 / (F.pow(1.4826 * F.col("mad")[i], 2) + FLOORS[x] ** 2) if i == j else F.lit(0.0)) for i, x in enumerate(z) for j in range(len(z))]
     model = cut(spread.select("grp", "mean", F.array(*diagonal).alias("inverse")))
     for _ in range(STEPS):
-        near = rows.join(model, "grp").select("grp", *z, _distance(z).alias("d2"))
+        near = rows.join(small(model), "grp").select("grp", *z, _distance(z).alias("d2"))
         half = near.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
-        model = cut(_estimate(near.join(half, "grp").where("d2 <= half"), z))
-    judged = rows.join(model, "grp").select("row", "grp", _distance(z).alias("d2"))
+        model = cut(_estimate(near.join(small(half), "grp").where("d2 <= half"), z))
+    judged = rows.join(small(model), "grp").select("row", "grp", _distance(z).alias("d2"))
     scale = judged.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("median"))
-    judged = judged.join(scale, "grp").select("row", (F.col("d2") * F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest("median", F.lit(1e-9)))).alias("distance"))
+    judged = judged.join(small(scale), "grp").select("row", (F.col("d2") * F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest("median", F.lit(1e-9)))).alias("distance"))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return counted.join(judged, "row", "left").select(id_col, *BASE, "base_failed", "distance", kept.alias("kept"))
