@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlens.llm.common import ship
+
 _END = 1 << 62
 #: Most distinct matches that a worker keeps encoded, twice.
 CACHE = 250_000
@@ -117,6 +119,7 @@ _ENCODERS: dict[object, Encoder] = {}
 
 def _share(spark: SparkSession, path: str):
     """The ranks reach executors by broadcast: one vocabulary file, whose size doesn't depend on the data."""
+    ship(spark)
     return spark.sparkContext.broadcast(load_ranks(path))
 
 

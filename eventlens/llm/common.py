@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
+    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package's modules to the Python workers, once a session: they may start without it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_eventlens_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="eventlens-")) / "eventlens.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((top / "eventlens").rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    sc.addPyFile(str(target))
+    sc._eventlens_shipped = True
 
 
 def cut(df: DataFrame) -> DataFrame:

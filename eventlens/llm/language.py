@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventlens.llm.common import ship
+
 #: Rows per language and characters of each in a dictionary; bytes of a block; level; unit and margin of the score.
 SAMPLE, PIECE, BLOCK, LEVEL = 120, 2000, 2048, 6
 UNIT, MARGIN = 0.02, 0.02
@@ -59,6 +61,7 @@ def sizes(text: bytes, presses: list) -> list[int]:
 
 def predict(df: DataFrame, books: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and rejected of every whole text."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import cut, ship
 from eventlens.llm.substring import window_hashes
 
 _WHITE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -66,6 +66,7 @@ def counts(text: bytes | None) -> tuple[int, int, int, int, int, int, int]:
 
 def base_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang, source, the base counts, lines and capitals of every whole text."""
+    ship(df.sparkSession)
     names = [*BASE, "lines", "capitals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import buckets
+from eventlens.llm.common import buckets, ship
 
 #: Most windows that a task holds before it packs them.
 HELD = 2_000_000
@@ -189,6 +189,7 @@ def factors(covered: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
     """id, n_words, n_removed, kept_text (kept words, one space between) and spans (word ranges that went)."""
+    ship(df.sparkSession)
     n_blocks = buckets(df.sparkSession)
     bits = n_blocks.bit_length() - 1
     mask = np.uint64((_top(n_blocks - 1, bits) << 56) | ((1 << 56) - 1))
