@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import ship
+
 #: Labelled rows learnt from; kept terms at most; least rows with a term and chi-squared of one; neighbours; examples in a block.
 SAMPLE, TERMS, LEAST, CHI2, NEAREST, BLOCK = 6000, 4000, 6, 40.0, 15, 64
 #: Words whose terms a worker keeps.
@@ -118,12 +120,11 @@ class Model:
         seen: dict[str, tuple] = {}
         for doc, text, label in rows:
             seen.setdefault(text, (doc, label))
-        bags = [(doc, label, bag(text)) for text, (doc, label) in seen.items()]
-        n, pos = len(bags), sum(label for _, label, _ in bags)
+        n, pos = len(seen), sum(label for _, label in seen.values())
         self.prior = pos / n if n else 0.0
         held: tuple[Counter, Counter] = (Counter(), Counter())
-        for _, label, one in bags:
-            held[label].update(one.keys())
+        for text, (_, label) in seen.items():
+            held[label].update(bag(text).keys())
         kept = []
         for t in held[0].keys() | held[1].keys():
             a, b = held[1][t], held[0][t]
@@ -132,16 +133,18 @@ class Model:
                 chi = (a - e) ** 2 / e + (a - e) ** 2 / (a + b - e)
                 if chi >= CHI2:
                     kept.append((-chi, t, a + b))
+        del held
         kept = sorted(kept)[:TERMS]
         idf = {t: log(1 + n / df) for _, t, df in kept}
         self.index = Index(idf, [], np.zeros(0), [])
-        vectors = [(self.index.vector(one), label, doc) for doc, label, one in bags]
+        self.vocabulary = frozenset(idf) | {t[1:] for t in idf if t[0] in "24"}
+        self.known: dict[str, list[str]] = {}
+        vectors = [(self.index.vector(bag(text, self.known, self.vocabulary)), label, doc) for text, (doc, label) in seen.items()]
+        self.known.clear()
         full = [x for x in vectors if x[0]]
         self.index = Index(idf, [v for v, _, _ in full], np.array([y for _, y, _ in full]), [d for _, _, d in full])
         none = [y for v, y, _ in vectors if not v]
         self.zero = (sum(none) + self.prior) / (len(none) + 1)
-        self.vocabulary = frozenset(idf) | {t[1:] for t in idf if t[0] in "24"}
-        self.known: dict[str, list[str]] = {}
         raw = sorted((self.vote(self.index.nearest(v, NEAREST, but=k)), y) for k, (v, y, _) in enumerate(full))
         self.steps, self.values = isotonic(raw)
 
@@ -186,6 +189,7 @@ def learn(df: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id"
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score and evidence (ids of the nearest examples, as text) of every whole text."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
