@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import cut, ship
 from eventlens.llm.components import connected_components
 
 #: Most fingerprints in a tile, and shingles whose bits are counted at once.
@@ -62,6 +62,7 @@ def fingerprint(text: str | bytes | None, n: int = 3, words: int = 1) -> bytes:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, words: int = 1) -> DataFrame:
     """id and fp0, fp1, ... (signed longs with the fingerprint's bits, highest first) of every whole text."""
+    ship(df.sparkSession)
     names = [f"fp{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +109,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
 
 def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     """(u, v) edges between ids of distinct fingerprints (fid, fp0, ...) that span every linked group."""
+    ship(distinct.sparkSession)
     names = [f"fp{k}" for k in range(words)]
     parts = 4 if radius <= 3 and words == 1 else 1
     width = 1 if parts == 4 else radius + 1
@@ -123,17 +125,23 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     key = sum((F.floor(c / width).cast("long") * base**k for k, c in enumerate(reversed(counts))), F.lit(0).cast("long"))
     keyed = distinct.where("fid is not null").select("fid", *names, key.alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
+    # Keys are tuples of population counts: at most 17 ** 4 or a few dozen rows, whatever the data.
     tiles = cut(
-        keyed.join(sizes, "key")
+        keyed.join(F.broadcast(sizes), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("fid"), F.col("chunks")))
         .groupBy("key", "chunk")
         .agg(F.collect_list(F.struct("fid", *names)).alias("members"))
     )
     other = tiles.select(F.explode(F.array(*(F.lit(s) for s in shifts))).alias("shift"), F.col("key").alias("key2"), F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
-    other = other.select((F.col("key2") + F.col("shift")).alias("key"), "shift", "chunk2", "others")
-    pairs = tiles.join(other, "key").where("shift <> 0 or chunk <= chunk2").select("members", "others")
+    other = other.select((F.col("key2") + F.col("shift")).alias("key"), "key2", "shift", "chunk2", "others")
+    met = "shift <> 0 or chunk <= chunk2"
     if parts == 1:
-        pairs = pairs.repartition(8 * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # Few keys, many tiles each: pair the names of tiles, then fetch the tiles by name, so that pairs spread over tasks.
+        names2 = tiles.select("key", "chunk").join(other.select("key", "key2", "shift", "chunk2"), "key").where(met).drop("shift")
+        second = tiles.select(F.col("key").alias("key2"), F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
+        pairs = names2.join(tiles, ["key", "chunk"]).join(second, ["key2", "chunk2"]).select("members", "others")
+    else:
+        pairs = tiles.join(other, "key").where(met).select("members", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
