@@ -6,6 +6,7 @@ import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventlens.operators import metrics
 from eventlens.operators.matching import match
@@ -25,12 +26,13 @@ def grid(spark: SparkSession, high: list[float] = HIGH, low: list[float] = LOW,
 def sweep(verdicts: DataFrame, truth: DataFrame, policies: DataFrame, tau: float = 0.1, top: int = 12) -> DataFrame:
     """The best policies by F1, precision, recall, then number of events and parameters (all descending).
 
-    Verdicts are scanned once for all policies. Matching treats (policy, video) as the video, so all policies are matched in one job.
+    Verdicts are scanned once for all policies. Matching treats (policy, video) as the video, so all policies are matched in one job;
+    equal scores go in order of time.
     """
     found = aggregate(verdicts, policies)
     key = F.concat_ws("/", "policy_id", "video_id")
-    preds = found.select("policy_id", key.alias("video_id"), "class_name", F.struct("start", "end").alias("o"), "start", "end", "score")
-    preds = preds.withColumn("ord", F.xxhash64("start", "end"))
+    preds = found.select(key.alias("video_id"), "class_name", "start", "end", "score")
+    preds = preds.withColumn("ord", F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy("start", "end")))
     t = truth.crossJoin(F.broadcast(policies.select("policy_id"))).withColumn("video_id", key)
     pairs = match(t, preds, tau).groupBy(F.split("video_id", "/")[0].cast("int").alias("policy_id")).agg(F.count(F.lit(1)).alias("tp"))
     n = found.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_events"))

@@ -371,7 +371,26 @@ def crossing_refine(spark, d):
     return refine.interpolate(e, v).select("video_id", "class_name", *r6("start", "end"))
 
 
-@query(None)
+_SWEEP = """pol AS (SELECT (row_number() OVER (ORDER BY hi, gap, least) - 1)::INT AS policy_id, hi, gap, least FROM (VALUES (0.5::DOUBLE), (0.7)) h(hi), (VALUES (0.0::DOUBLE), (5.0)) g(gap), (VALUES (0.0::DOUBLE), (4.0)) l(least)),
+cand AS (SELECT DISTINCT video_id, class_name AS cls FROM verdicts WHERE class_name <> 'normal'),
+st AS (SELECT hi, v.video_id, c.cls AS class_name, v.seq, v."start", v."end", CASE WHEN v.class_name = c.cls THEN v.score ELSE 0 END AS x FROM verdicts v JOIN cand c USING (video_id), (SELECT DISTINCT hi FROM pol)),
+a AS (SELECT *, max("end") OVER (PARTITION BY hi, video_id, class_name ORDER BY "start", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM st),
+b AS (SELECT *, sum(CASE WHEN "start" - pe > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY hi, video_id, class_name ORDER BY "start", seq) AS seg, CASE WHEN x >= hi THEN 1 WHEN x < 0.35 THEN 0 END AS sig FROM a),
+c AS (SELECT *, coalesce(last_value(sig IGNORE NULLS) OVER (PARTITION BY hi, video_id, class_name, seg ORDER BY "start", seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS st_on FROM b),
+d AS (SELECT *, CASE WHEN st_on = 1 AND coalesce(lag(st_on) OVER (PARTITION BY hi, video_id, class_name, seg ORDER BY "start", seq), 0) = 0 THEN 1 ELSE 0 END AS rise FROM c),
+e AS (SELECT *, sum(rise) OVER (PARTITION BY hi, video_id, class_name ORDER BY "start", seq) AS sid FROM d),
+spans AS (SELECT hi, video_id, class_name, sid, min("start") AS "start", max("end") AS "end", max(x) AS score FROM e WHERE st_on = 1 GROUP BY ALL),
+f AS (SELECT s.*, p.policy_id, p.gap, p.least, max(s."end") OVER (PARTITION BY p.policy_id, video_id, class_name ORDER BY "start", sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM spans s JOIN pol p USING (hi)),
+g AS (SELECT *, sum(CASE WHEN pm IS NULL OR "start" - pm > gap THEN 1 ELSE 0 END) OVER (PARTITION BY policy_id, video_id, class_name ORDER BY "start", sid) AS isl FROM f),
+found AS (SELECT policy_id, video_id, class_name, min("start") AS "start", max("end") AS "end", max(score) AS score FROM g GROUP BY policy_id, least, video_id, class_name, isl HAVING max("end") - min("start") >= least),
+preds AS (SELECT policy_id || '/' || video_id AS video_id, class_name, row_number() OVER (PARTITION BY policy_id, video_id, class_name ORDER BY "start", "end") AS ord, "start", "end", score FROM found)"""
+_SWEPT = f"""n AS (SELECT policy_id, hi, gap, least, (SELECT count(*) FROM found f WHERE f.policy_id = p.policy_id) AS n_events, (SELECT count(*) FROM pairs m WHERE split_part(m.video_id, '/', 1)::INT = p.policy_id) AS tp FROM pol p),
+u AS (SELECT *, n_events - tp AS fp, (SELECT count(*) FROM truth) / (SELECT count(*) FROM pol) - tp AS fn FROM n)
+SELECT policy_id, hi AS theta_high, n_events, tp, {_PRF} FROM u ORDER BY f1 DESC, "precision" DESC, recall DESC, n_events DESC, hi DESC, gap DESC, least DESC LIMIT 8"""
+_TRUTH = SQL["truth"].replace("truth AS", "once AS", 1) + ", truth AS (SELECT policy_id || '/' || video_id AS video_id, class_name, ord, \"start\", \"end\" FROM once, pol)"
+
+
+@query(_rec(SQL["verdicts"], _SWEEP, _TRUTH, _match(0.1, False), _SWEPT))
 def policy_sweep_topk(spark, d):
     grid = sweep.grid(spark, high=[0.5, 0.7], low=[0.35], gap=[0.0, 5.0], least=[0.0, 4.0])
     return sweep.sweep(A.verdicts(spark, d), A.truth(spark, d), grid, tau=0.1, top=8).select("policy_id", "theta_high", "n_events", "tp", *r6("precision", "recall", "f1"))
