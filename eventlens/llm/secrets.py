@@ -39,18 +39,20 @@ WIDELY = 3
 
 def spans(text: Column, kind: str, pattern: str, group: int, least: int, test: str | None = None) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's matches, offsets in code points, end exclusive."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+    # The fold reads its pieces from one array; a piece taken by number within it would split the whole text again.
+    pieces = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>").alias("out"))
 
-    def add(acc: Column, k: Column) -> Column:
-        hit = F.get(hits, k)
-        start = acc["at"] + F.length(F.get(gaps, k))
-        end = start + F.length(hit)
+    def add(acc: Column, piece: Column) -> Column:
+        hit = piece["hit"]
+        start = acc["at"] + piece["gap"]
+        end = start + F.coalesce(F.length(hit), F.lit(0))
         value = F.regexp_extract(hit, pattern, group) if group else hit
         one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, add, lambda acc: acc["out"])
+    found = F.aggregate(pieces, zero, add, lambda acc: acc["out"])
     some = text.rlike(test or pattern) & (F.size(hits) > 0)
     return F.when(some, found).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int,value:string>>"))
 
