@@ -5,12 +5,15 @@ statistics and judged against the minimum-covariance-determinant estimate of the
 source: start from the rows nearest to the median (in units of the median absolute deviation), then
 repeat concentration steps, each the mean and covariance of the half of the group that was nearest
 under the last one. Every step is an aggregate over all rows of all groups at once; a group is one row
-of sums, so a source with a third of all rows is summed like any other. The final squared distance
-is scaled so that its median is that of the chi-squared law, and rows beyond `cutoff` are outliers.
+of sums, so a source with a third of all rows is summed like any other. Rows whose squared distance is
+beyond `cutoff`, the 0.999 quantile of the chi-squared law, are outliers. Where the median distance is
+above that of the law, distances are scaled down to it; a smaller median isn't scaled up, as it only says
+that statistics vary less than their floors (most texts have no symbols and no repeats at all).
 
 Groups of fewer than `least` rows are judged with all such groups of their language, and where those
 are still fewer, with all such rows. The covariance gets a floor per statistic, so that a statistic
-that is constant in a clean group doesn't turn a single symbol into an outlier.
+that is constant in a clean group doesn't turn a single symbol into an outlier. Floors times the root of
+`cutoff` lie within every statistic's range past the base rule, so each can reject alone.
 
 Null and empty texts have no words and fail the base rule; null languages and sources are values
 like any other. Equal texts in a group get equal verdicts; ids don't matter, repeated rows count as
@@ -35,8 +38,8 @@ _TAIL, _UPPER = bytes(range(0x80, 0xC0)), bytes(range(0x41, 0x5B))
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Transformed statistics and the least standard deviation each is taken to have.
 FLOORS = {"z_length": 0.08, "z_symbols": 0.12, "z_lines": 0.15, "z_repeats": 0.12, "z_upper": 0.08}
-#: Rows of a group of its own; concentration steps; squared distance that rejects (median-scaled, 5 degrees of freedom).
-LEAST, STEPS, CUTOFF = 200, 4, 60.0
+#: Rows of a group of its own; concentration steps; squared distance that rejects (0.999 quantile of the chi-squared law, 5 degrees of freedom).
+LEAST, STEPS, CUTOFF = 200, 4, 20.515
 #: Groups whose parameters (a few hundred bytes each) are broadcast; beyond this many the joins shuffle.
 BROADCAST_GROUPS = 20_000
 #: Median of the chi-squared law of five degrees of freedom.

@@ -257,6 +257,21 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert all(got[i] == (i % 10 != 0) for i in got)
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7))) for _ in range(2000)]
+    docs = [(i, "\n".join(" ".join(rng.choice(words) for _ in range(10)) for _ in range(20)), "en", "s") for i in range(400)]
+    few = [rng.choice(words) for _ in range(25)]
+    docs.append((400, "\n".join(rng.choice(few) for _ in range(200)), "en", "s"))
+    passage = [rng.choice(words) for _ in range(48)]
+    docs.append((401, "\n".join(" ".join(w[k : k + 10]) for w in [passage + [rng.choice(words) for _ in range(103)] + passage] for k in range(0, len(w), 10)), "en", "s"))
+    symbols = docs[0][1].split(" ")
+    docs.append((402, " ".join(w + "#" if k % 2 else w for k, w in enumerate(symbols)), "en", "s"))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (400, 401, 402))
+    assert all(got[i].kept for i in range(400))
+
+
 # --- secrets ---
 
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
