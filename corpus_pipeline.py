@@ -2,6 +2,9 @@
 
 quality rules -> SimHash near-dedup -> secret scan -> mixing to target weights -> byte-level BPE.
 All stages but the last return the columns of documents; each is written and read again before the next.
+
+Stages decide by row, not by doc_id, which may be null or repeated: a row's key is a digest of all its columns. Rows of one key
+are equal, so a stage's verdict on one holds for all, and the key is the same whenever the input is read.
 """
 
 from __future__ import annotations
@@ -18,31 +21,44 @@ from eventlens.llm.common import shared_dir
 ORACLE_SQL = None
 
 
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds each row's key: SHA-256 over the digests of its columns, nulls apart."""
+    each = [F.coalesce(F.sha2(F.encode(F.col(c).cast("string"), "UTF-8"), 256), F.lit("-")) for c in docs.columns]
+    return docs.withColumn(KEY, F.sha2(F.encode(F.concat_ws(",", *each), "UTF-8"), 256))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that fail the base rule and the outliers of their language and source."""
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    rows = keyed(docs)
+    kept = quality.judge(rows, KEY).where("kept").select(KEY).distinct()
+    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
-    groups = simhash.near_groups(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs.doc_id == first.first_id, "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one row stays: of the smallest doc_id (nulls last), then key."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY)
+    rows = keyed(docs)
+    first = simhash.first_rows(rows.select(order.alias("place"), "text"), "place").select(F.col("place")[KEY].alias(KEY))
+    return rows.join(first, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are replaced in the text; n_chars follows."""
-    found = secrets.find(docs).where(F.size("all") > 0).select(F.col("doc_id").alias("found_id"), F.col("all").alias("found"))
-    told = docs.join(found, docs.doc_id == found.found_id, "left")
+    rows = keyed(docs)
+    found = secrets.find(rows, KEY).where(F.size("all") > 0).select(KEY, F.col("all").alias("found")).dropDuplicates([KEY])
+    told = rows.join(found, KEY, "left")
     text = F.when(F.col("found").isNotNull(), secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
     return told.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix says; those taken zero times go."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies").dropDuplicates(["taken_id"])
-    each = docs.join(taken, docs.doc_id == taken.taken_id)
+    rows = keyed(docs)
+    taken = mixing.mix(rows, KEY).where("copies > 0").select(KEY, "copies").dropDuplicates([KEY])
+    each = rows.join(taken, KEY)
     return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

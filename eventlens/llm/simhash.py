@@ -179,3 +179,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     labels = connected_components(links(distinct, radius, words))
     grouped = distinct.join(labels, distinct.fid == labels.node, "left").select(*names, F.coalesce("label", "fid").alias("component_id"))
     return prints.join(grouped, names, "left").select(id_col, *names, "component_id")
+
+
+def first_rows(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, words: int = 2, radius: int = 26) -> DataFrame:
+    """The smallest id of every group of near_groups, one row a group; ids may be of any type that has an order, such as structs."""
+    names = [f"fp{k}" for k in range(words)]
+    prints = fingerprints(df, id_col, text_col, n, words)
+    distinct = cut(prints.groupBy(*names).agg(F.min(id_col).alias(id_col)).withColumn("fid", F.monotonically_increasing_id()))
+    labels = connected_components(links(distinct, radius, words))
+    return distinct.join(labels, distinct.fid == labels.node, "left").groupBy(F.coalesce("label", "fid").alias("component")).agg(F.min(id_col).alias(id_col)).select(id_col)
