@@ -7,8 +7,8 @@ that are too short are dropped after they took their characters.
 Every base value and every further candidate (a token of 20 or more characters that mixes letters and
 digits and overlaps no base span) is hashed. Hashes are counted by distinct owners and repositories over
 the whole corpus: distinct (hash, owner, repository) first, so a value that a third of all rows hold is
-summed before it is shuffled to one place. A value of `widely` or more owners is an example that was
-copied about; a value of fewer owners is taken for live. Live candidates are added to the spans; base spans stay
+summed before it is shuffled to one place. A value of `widely` or more owners, or of `copied` or more
+repositories whoever owns them, is an example that was copied about; any other is taken for live. Live candidates are added to the spans; base spans stay
 whatever their frequency, and each span says which it is.
 
 Null and empty texts have no spans. A null owner or repository counts as none. Copies of a row count
@@ -32,9 +32,10 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA"),
     ("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
 ]
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])[A-Za-z0-9+/_-]{20,}=*"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}=*"
 ORDER = ["assign", "access", "hex", "token"]
-WIDELY = 3
+#: Owners, and repositories, from which on a value is a widely copied one.
+WIDELY, COPIED = 3, 10
 
 
 def spans(text: Column, kind: str, pattern: str, group: int, least: int, test: str | None = None) -> Column:
@@ -69,7 +70,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         base.alias("base"),
         spans(text, "token", TOKEN, 0, 20, r"[A-Za-z0-9+/_-]{20}").alias("token"),
     )
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & t["value"].rlike("[A-Za-z]"))
+    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & t["value"].rlike("[A-Za-z]") & t["value"].rlike("[0-9]"))
     return out.withColumn("more", free).drop("token")
 
 
@@ -80,14 +81,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, widely: int = WIDELY) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, widely: int = WIDELY, copied: int = COPIED) -> DataFrame:
     """id, base and all: arrays of (start, kind, end, live), by start and then kind, of every row."""
     scanned = cut(scan(df, id_col, text_col, owner_col, repo_col))
     each = scanned.select("row", "owner", "repo", F.explode(F.concat("base", "more")).alias("s"))
     each = each.select("row", "owner", "repo", "s.start", "s.kind", "s.end", F.sha2(F.encode("s.value", "UTF-8"), 256).alias("hash"))
     spread = ownership(each)
     rank = F.array_position(F.array(*(F.lit(k) for k in ORDER)), F.col("kind")).cast("int")
-    told = each.join(spread, "hash").select("row", "kind", F.struct("start", rank.alias("rank"), "kind", "end", (F.col("owners") < widely).alias("live")).alias("span"))
+    live = (F.col("owners") < widely) & (F.col("repos") < copied)
+    told = each.join(spread, "hash").select("row", "kind", F.struct("start", rank.alias("rank"), "kind", "end", live.alias("live")).alias("span"))
     told = told.where("kind <> 'token' or span.live").groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("all"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,live:boolean>>")
     out = scanned.select("row", "id").join(told, "row", "left").withColumn("all", F.coalesce("all", empty))

@@ -305,6 +305,14 @@ def test_ownership(spark):
     assert {r.doc_id: r.t for r in told.collect()}[9] == "[secret] [secret]"
 
 
+def test_copies_within_one_source_are_no_live_secret(spark):
+    example, live, late = "Example0Token1Example2", "Zx81kd93Kdl20dkQ11mv", "z" * 70 + "7" * 10
+    docs = [(k, f"see {example} here", "hot") for k in range(40)] + [(50, f"a {live} b", "hot"), (51, f"a {live} b", "hot"), (60, f"long {late} end", "hot"), (61, "only-letters-of-a-long-name=5", "hot")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r["all"]] for r in secrets.find(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(got[k] == [] for k in range(40)) and got[50] == got[51] == [("token", 2, 22)]
+    assert got[60] == [("token", 5, 85)] and got[61] == []
+
+
 def test_registered_digests(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op9_secrets"](spark, sf).collect():
