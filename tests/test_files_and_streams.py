@@ -117,3 +117,20 @@ def test_registered(spark, sf, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_corpus_operators(tmp_path):
+    """With the corpus folder gone (and with the pipeline gone as well) the other queries are still there."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top / "eventlens", tmp_path / "eventlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("from eventlens.llm import bpe\n")
+    ask = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, check=True)
+    (tmp_path / "corpus_pipeline.py").unlink()
+    subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, check=True)
