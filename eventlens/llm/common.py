@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a look-up table that are broadcast; keys that hold more than this part of the rows are looked up apart.
+BROADCAST_ROWS, HEAVY = 20_000, 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, as the session names it. Without one a local session (tests) gets a temporary folder; a cluster is an error."""
     named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,3 +56,18 @@ def buckets(spark: SparkSession) -> int:
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n: the fold of a row. A null key is in no fold (null)."""
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % n
+
+
+def lookup(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """rows joined (inner or left) with book, which has one row a key; keys aren't null. small: whether it is known to be, else it is counted.
+
+    A small book is broadcast. Otherwise the join shuffles on the key, but for keys that each hold more than a thousandth of the
+    rows, of which there can't be more than a thousand: those are broadcast, so that no task gets a hot key's rows.
+    """
+    if book.count() <= BROADCAST_ROWS if small is None else small:
+        return rows.join(F.broadcast(book), key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counts.where(F.col("_n") * HEAVY > rows.count()).select(key)
+    hot = F.broadcast(cut(book.join(F.broadcast(heavy), key)))
+    cold = rows.join(hot.select(key), key, "left_anti").join(book, key, how)
+    return cold.unionByName(rows.join(hot, key))
