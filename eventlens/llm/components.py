@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import cut, lookup
 
 
 def _ranked(node: str) -> Column:
@@ -38,5 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for step in moves[1:]:
         labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     labels = cut(labels)
-    least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return labels.join(least, "label").select("node", F.col("least").alias("label"))
+    least = cut(labels.groupBy("label").agg(F.min("node").alias("least")))
+    return lookup(labels, least, "label").select("node", F.col("least").alias("label"))

@@ -11,6 +11,9 @@ numpy exclusive-or and bit count of all their pairs, so no link is lost; from ea
 spanning star of every group it finds, never all pairs of a group. Copies share a fingerprint and
 count once.
 
+For near-duplicates (near_duplicates) fingerprints are those of the sets of shingles, and links only propose: a pair within the radius
+counts if its exact similarity is high enough.
+
 The work on pairs grows with the square of the distinct fingerprints times the share of tile pairs
 left (for 64 bits and radius 3, under a twentieth), as the method has it. Ties: the smallest id names a
 group. Repeated rows join their group. An empty table gives an empty result.
@@ -27,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut, ship
+from eventlens.llm.common import cut, lookup, ship
 from eventlens.llm.components import connected_components
+from eventlens.llm.substring import window_hashes
 
 #: Most fingerprints in a tile, and shingles whose bits are counted at once.
 TILE, CHUNK = 4096, 1 << 15
+#: Most texts of a proposed group whose sets of shingles are compared in one piece.
+BLOCK = 512
 SEED = 42
 
 
@@ -168,11 +174,7 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, words: int = 2, radius: int = 26) -> DataFrame:
-    """id, fp0, ... and component_id, the smallest id that links lead to, of every row.
-
-    The defaults are for near-duplicates of similarity 0.8 or more on shingles of five words: a SimHash
-    of b bits has cos(pi * d / b) as its estimate of the similarity, which is 0.8 at 26 of 128 bits.
-    """
+    """id, fp0, ... and component_id, the smallest id that links lead to, of every row. Links are by fingerprint alone."""
     names = [f"fp{k}" for k in range(words)]
     prints = cut(fingerprints(df, id_col, text_col, n, words))
     distinct = cut(prints.groupBy(*names).agg(F.min(id_col).alias("fid")))
@@ -181,10 +183,147 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return prints.join(grouped, names, "left").select(id_col, *names, "component_id")
 
 
-def first_rows(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, words: int = 2, radius: int = 26) -> DataFrame:
-    """The smallest id of every group of near_groups, one row a group; ids may be of any type that has an order, such as structs."""
+def shingles(text: str | bytes | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles of n words; fewer words are one shingle."""
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(window_hashes(words, n) if len(words) >= n else window_hashes([b" ".join(words)], 1))
+
+
+def set_fingerprint(shingle: np.ndarray, words: int) -> bytes:
+    """The big-endian fingerprint of a set of shingle hashes: each distinct shingle votes once, as similarity counts it once."""
+    if not len(shingle):
+        return bytes(8 * words)
+    out, h = [], shingle
+    for _ in range(words):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(h), CHUNK):
+            votes += np.unpackbits(h[at : at + CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(h)).tobytes())
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return b"".join(out)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.count_nonzero(b[at] == a))
+    return both / (len(a) + len(b) - both)
+
+
+def confirm(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges that span the groups of similar texts among those within radius, found by exact similarity.
+
+    Texts up to `first` are compared with those from there on (first = 0: all with all). The nearest fingerprints come first; a pair that
+    is already linked through confirmed ones isn't looked at.
+    """
+    n = len(sets)
+    apart = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in range(prints.shape[1]))
+    wanted = np.triu(apart <= radius, 1)
+    if first:
+        wanted[:first, :first] = wanted[first:, :] = False
+    us, vs = np.nonzero(wanted)
+    order = np.argsort(apart[us, vs], kind="stable")
+    top = list(range(n))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    size = [len(x) for x in sets]
+    out = []
+    for u, v in zip(us[order].tolist(), vs[order].tolist()):
+        a, b = find(u), find(v)
+        if a != b and min(size[u], size[v]) >= similarity * max(size[u], size[v]) and similarity_of(sets[u], sets[v]) >= similarity:
+            top[b] = a
+            out.append((u, v))
+    return out
+
+
+def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id and digest of every row; digest, id, component of every distinct set of shingles, id its smallest).
+
+    Fingerprints within radius propose, exact similarity decides: the texts of each proposed group, in blocks of at most BLOCK, are
+    fetched as sets of shingle hashes, and every proposed pair of two blocks is confirmed unless confirmed ones link it already. Only
+    texts in proposed groups travel a second time.
+    """
+    ship(df.sparkSession)
     names = [f"fp{k}" for k in range(words)]
-    prints = fingerprints(df, id_col, text_col, n, words)
-    distinct = cut(prints.groupBy(*names).agg(F.min(id_col).alias(id_col)).withColumn("fid", F.monotonically_increasing_id()))
-    labels = connected_components(links(distinct, radius, words))
-    return distinct.join(labels, distinct.fid == labels.node, "left").groupBy(F.coalesce("label", "fid").alias("component")).agg(F.min(id_col).alias(id_col)).select(id_col)
+    kind = df.schema[id_col].dataType.simpleString()
+    source = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, digest = [], []
+            for text in batch.column(1).to_pylist():
+                h = shingles(text, n)
+                raw.append(set_fingerprint(h, words))
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            made = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), *(pa.array(made[:, k]) for k in range(words))], ["id", "digest", *names])
+
+    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, " + ", ".join(f"{x} bigint" for x in names)))
+    distinct = prints.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(*names)).alias("fp"))
+    distinct = cut(distinct.select("digest", "id", *(F.col(f"fp.{x}").alias(x) for x in names)).withColumn("fid", F.monotonically_increasing_id()))
+    proposed = connected_components(links(distinct, radius, words))
+
+    sizes = proposed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
+    members = lookup(proposed, cut(sizes), "label").join(distinct, F.col("node") == F.col("fid"))
+    members = cut(members.select("id", "digest", "fid", *names, "label", "chunks", F.pmod(F.xxhash64("fid"), F.col("chunks")).alias("chunk")))
+    fetched = source.join(members, "id").select("text", "digest", "fid", *names, "label", "chunks", "chunk")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, n).tobytes() for t in batch.column(0).to_pylist()]
+            right = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist())]  # another text of a repeated id
+            made = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sets, pa.binary())], [*batch.schema.names[2:], "members"])
+            yield made.filter(pa.array(right, pa.bool_()))
+
+    ddl = "fid bigint, " + ", ".join(f"{x} bigint" for x in names) + ", label bigint, chunks bigint, chunk bigint, members binary"
+    once = fetched.mapInArrow(as_sets, ddl).groupBy("label", "chunks", "chunk", "fid").agg(F.first(F.struct("fid", *names, "members")).alias("one"))
+    blocks = cut(once.groupBy("label", "chunks", "chunk").agg(F.collect_list("one").alias("members")))
+    many = blocks.where("chunks > 1").select("label", "chunk", "members")
+    pair = many.select("label", "chunk").join(many.select("label", F.col("chunk").alias("chunk2")), "label").where("chunk < chunk2")
+    second = many.select("label", F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
+    apart = pair.join(many, ["label", "chunk"]).join(second, ["label", "chunk2"]).select("members", "others")
+    nothing = F.array().cast(blocks.schema["members"].dataType)
+    work = blocks.select("members", nothing.alias("others")).unionByName(apart)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for a, b in zip(batch.column(0), batch.column(1)):
+                rows = [*a.as_py(), *b.as_py()]
+                fps = np.array([[r[x] for x in names] for r in rows], np.int64).view(np.uint64)
+                sets = [np.frombuffer(r["members"], np.uint64) for r in rows]
+                for u, v in confirm(fps, sets, len(a) if len(b) else 0, radius, similarity):
+                    us.append(rows[u]["fid"])
+                    vs.append(rows[v]["fid"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    labels = connected_components(work.mapInArrow(check, "u bigint, v bigint"))
+    grouped = distinct.join(labels, distinct.fid == labels.node, "left").select("digest", "id", F.coalesce("label", "fid").alias("component"))
+    return prints.select("id", "digest"), grouped
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, words: int = 2, radius: int = 30, similarity: float = 0.8) -> DataFrame:
+    """id and component_id (the smallest id of its group) of every row; groups are joined by exact similarity of shingles.
+
+    A SimHash of b bits has cos(pi * d / b) as its estimate of the cosine; two sets of equal size and similarity 0.8 have a
+    cosine of 0.889, 19 of 128 bits with a deviation of 4, so a radius of 30 is 2.7 deviations beyond; much more would chain unrelated texts into large proposed groups.
+    """
+    prints, grouped = similar_sets(df, id_col, text_col, n, words, radius, similarity)
+    least = cut(grouped.groupBy("component").agg(F.min("id").alias("component_id")))
+    named = lookup(grouped.select("digest", "component"), least, "component").select("digest", "component_id")
+    return lookup(prints, cut(named), "digest").select(F.col("id").alias(id_col), "component_id")
+
+
+def first_rows(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, words: int = 2, radius: int = 30, similarity: float = 0.8) -> DataFrame:
+    """The smallest id of every group of near_duplicates, one row a group; ids may be of any type that has an order, such as structs."""
+    _, grouped = similar_sets(df, id_col, text_col, n, words, radius, similarity)
+    return grouped.groupBy("component").agg(F.min("id").alias(id_col)).select(id_col)

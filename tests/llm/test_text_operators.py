@@ -216,6 +216,53 @@ def test_near_copies_of_similarity(spark):
         assert got[10 * i + 1] == got[10 * i] == 10 * i and got[10 * i + 2] == 10 * i + 2
 
 
+def shingle_set(t, n=5):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def components_by_force(texts, similarity=0.8):
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and label[i] != label[j] and jaccard(sets[i], sets[j]) >= similarity:
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if x == b else x for k, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_duplicates_brute_force(spark, monkeypatch, block):
+    """Chains of edits, texts of middling similarity, shared passages and copies: groups are those of exact similarity, at any block size."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    docs, word = {}, lambda: rng.choice(vocabulary)
+    for g in range(12):
+        w = [word() for _ in range(150)]
+        for k in range(8):
+            docs[20 * g + k] = " ".join(w)
+            for _ in range(rng.choice([0, 1, 2, 6])):
+                w[rng.randrange(150)] = word()
+        docs[20 * g + 9] = " ".join(w[:100] + [word() for _ in range(50)])
+    docs |= {900: "", 901: None, 902: "one two", 903: "ONE two", 904: "a b " * 400 + docs[0], 905: "a b " * 400 + docs[20]}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == components_by_force(docs)
+
+
+def test_near_duplicates_odd(spark, odd, none):
+    got = simhash.near_duplicates(odd)
+    want = components_by_force({i: t for i, t in distinct(odd)})
+    assert got.count() == odd.count() and all(want[r.doc_id] == r.component_id for r in got.collect())
+    assert simhash.near_duplicates(none).count() == 0
+    assert [r.doc_id for r in simhash.first_rows(spark.createDataFrame([(1, "a b c"), (1, "x y z"), (None, None)], "doc_id long, text string"), "doc_id").orderBy("doc_id").collect()] == [None, 1, 1]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100)] + [(200, 202), (202, 201), (300, 300)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
