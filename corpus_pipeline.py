@@ -5,6 +5,17 @@ All stages but the last return the columns of documents; each is written and rea
 
 Stages decide by row, not by doc_id, which may be null or repeated: a row's key is a digest of all its columns. Rows of one key
 are equal, so a stage's verdict on one holds for all, and the key is the same whenever the input is read.
+
+What stages do in odd cases (all are tested):
+
+* null or repeated doc_id: rows are judged, deduplicated, redacted and mixed by themselves; near-dedup keeps the row of the smallest
+  doc_id (nulls last) and, among equal ids, the smallest key.
+* null and empty texts, texts of under 50 words: rejected by the quality rules; in later stages, run alone, they are near-duplicates
+  of each other (no words at all), have no secrets, are never taken by the mix and have no tokens.
+* very long texts are read whole by every stage.
+* rows equal in every column: near-dedup keeps one; the other stages treat them alike.
+* an empty table gives an empty table with the same columns.
+* other columns, whatever their names, stay as they are in all stages but the last; names that start with _pipeline are reserved.
 """
 
 from __future__ import annotations
@@ -17,11 +28,11 @@ from pyspark.sql import functions as F
 from eventlens.llm import bpe, mixing, quality, secrets, simhash
 from eventlens.llm.common import shared_dir
 
-#: Near-dedup and mixing have no SQL form (iterated estimates, fingerprints), so the pipeline is tested by brute force.
+#: Estimates, fingerprints, mixing and BPE have no SQL form; tests/llm compares every stage with a plain-Python one.
 ORACLE_SQL = None
 
 
-KEY = "_row_key"
+KEY = "_pipeline_key"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -48,18 +59,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are replaced in the text; n_chars follows."""
     rows = keyed(docs)
-    found = secrets.find(rows, KEY).where(F.size("all") > 0).select(KEY, F.col("all").alias("found")).dropDuplicates([KEY])
+    found = secrets.find(rows, KEY).where(F.size("all") > 0).select(KEY, F.col("all").alias("_pipeline_found")).dropDuplicates([KEY])
     told = rows.join(found, KEY, "left")
-    text = F.when(F.col("found").isNotNull(), secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    text = F.when(F.col("_pipeline_found").isNotNull(), secrets.redact(F.col("text"), F.col("_pipeline_found"))).otherwise(F.col("text"))
     return told.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix says; those taken zero times go."""
     rows = keyed(docs)
-    taken = mixing.mix(rows, KEY).where("copies > 0").select(KEY, "copies").dropDuplicates([KEY])
+    taken = mixing.mix(rows, KEY).where("copies > 0").select(KEY, F.col("copies").alias("_pipeline_copies")).dropDuplicates([KEY])
     each = rows.join(taken, KEY)
-    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return each.withColumn("_pipeline_copy", F.explode(F.sequence(F.lit(1), F.col("_pipeline_copies")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,11 +90,27 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir; what lies between is kept in the shared folder."""
-    at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+def _files(spark: SparkSession, path: str):
+    """The file system of a folder and the folder, for questions that Spark has no function for."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir.
+
+    Each stage is written to the shared folder and read again. With a folder of one's own, stages that are complete there aren't run
+    again, so an interrupted run goes on where it stopped, and all stay; otherwise only the last stage's rows stay.
+    """
+    at = folder or f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        files, done = _files(spark, f"{at}/{k}/_SUCCESS")
+        if folder is None or not files.exists(done):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+    if folder is None:
+        for k in range(len(STAGES) - 1):
+            files, old = _files(spark, f"{at}/{k}")
+            files.delete(old, True)
     return docs
