@@ -304,6 +304,59 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert all(got[i] == (i % 10 != 0) for i in got)
 
 
+def dense_determinant(x):
+    """Least log-determinant (floors included) over the same starts, with exact halves and steps to the end."""
+    floors = np.array(list(quality.FLOORS.values()))
+    med = np.median(x, axis=0)
+    y = np.abs(x - med) / np.sqrt((1.4826 * np.median(np.abs(x - med), axis=0)) ** 2 + floors**2)
+    best = np.inf
+    for d in ((y**2).sum(1), y.max(1), y.sum(1)):
+        last = np.inf
+        for _ in range(100):
+            half = x[d <= np.sort(d)[int(np.ceil(len(x) / 2)) - 1]]
+            mean, cov = half.mean(0), np.cov(half.T, bias=True) + np.diag(floors**2)
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+            d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+        best = min(best, last)
+    return best
+
+
+def test_determinants_against_dense(spark):
+    """Groups of several sizes, with a third of outliers: determinants come near those of an exact dense run and outliers lie far off."""
+    rng, z, rows = np.random.default_rng(4), list(quality.FLOORS), []
+    for g, n in (("a", 900), ("b", 120), ("c", 40)):
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5))
+        x[: n // 3] += 30
+        rows += [(g, *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in z)).repartition(4)
+    for r in quality.determinants(df, z).collect():
+        x = np.array([row[1:] for row in rows if row[0] == r.grp])
+        assert r.det <= dense_determinant(x) + 0.15
+        d = np.einsum("ni,ij,nj->n", x - r.mean, np.array(r.inverse).reshape(5, 5), x - r.mean)
+        assert d[: len(x) // 3].min() > 4 * np.median(d[len(x) // 3 :])
+
+
+def test_single_texts_and_small_groups(spark):
+    """A group of one row is judged by its language and all texts: a clean one stays, a bad one goes."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    text = lambda mark="": " ".join(rng.choice(words) + mark for _ in range(120))
+    docs = [(i, text(), "en", "big") for i in range(300)] + [(400, text(), "en", "lone"), (401, text("##"), "en", "bad"), (402, text(), "fr", None), (403, text("##"), None, None)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[400] and got[402] and not got[401] and not got[403] and sum(got[i] for i in range(300)) > 295
+
+
+def test_labelled_rows_are_judged_rightly(spark):
+    """Of the labelled rows of sf0.01 past the base rule all bad ones go and 97 % or more of the good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(good[r.doc_id], r.kept) for r in QUERIES["op4_quality_rules"](spark, sf).collect() if r.doc_id in good and not r.base_failed]
+    assert not any(kept for q, kept in got if q == 0) and sum(kept for q, kept in got if q == 1) >= 0.97 * sum(q == 1 for q, _ in got)
+
+
 def test_each_statistic_rejects_alone(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7))) for _ in range(2000)]
