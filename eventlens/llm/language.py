@@ -1,11 +1,11 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Learning takes a bounded sample of the labelled rows: per language the SAMPLE rows whose ids hash lowest,
-the first PIECE characters of each, as the raw content of that language's dictionary. The number of
-dictionaries is the number of languages, so the broadcast doesn't grow with the rows.
+Learning takes a bounded sample of the labelled rows: their whole texts are cut into pieces of PIECE characters, and per language
+the SAMPLE pieces of lowest hash are the raw content of that language's dictionary. So a piece is as likely to come from the
+end of a text as from its start. The number of dictionaries is the number of languages, so the broadcast doesn't grow with the rows.
 
-Case, digits and ASCII punctuation are set aside on both sides, and dictionaries are cut to one length, so that neither
-favours a language. A text is encoded block by block with every dictionary, each block alone, so the end of a long text counts
+Case, digits and ASCII punctuation are set aside on both sides. A longer dictionary compresses better whatever the language, so all
+have the length of the shortest (of a bounded sample; a language of few labelled rows shortens the others to LEAST bytes at worst). A text is encoded block by block with every dictionary, each block alone, so the end of a long text counts
 like its start. The smallest total names the language; ties go to the first language in order. The
 score is the softmax of the negated sizes in units of a few per cent of the smallest, and a
 prediction is rejected (a column; the language stays) when the runner-up is too close.
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from eventlens.llm.common import ship
 
-#: Rows per language and characters of each in a dictionary; bytes of a block; level; unit and margin of the score.
+#: Pieces per language and characters of each in a dictionary; bytes of a block; level; unit and margin of the score.
 SAMPLE, PIECE, BLOCK, LEVEL = 120, 2000, 2048, 6
 UNIT, MARGIN = 0.02, 0.02
 UNKNOWN = "und"
@@ -38,7 +38,9 @@ _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 def dictionaries(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Raw-content dictionaries by language. The rank limit is applied before the shuffle, so a common language isn't gathered."""
     rows = df.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.left(text_col, F.lit(PIECE)).alias("piece"), F.xxhash64(id_col, text_col).alias("h"))
+    pieces = F.posexplode(F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece")
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), pieces)
+    rows = rows.select("lang", "piece", F.xxhash64("id", "at", "piece").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     out: dict[str, list[str]] = {}
     for r in rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).orderBy("lang", "rank").collect():

@@ -108,7 +108,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kinds = [count(k) for k in ("assign", "access", "hex")]
     digest = F.sha2(F.encode(secrets.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256")
-    return found.select("doc_id", *kinds, digest, secrets.listed(F.col("all")).alias("spans"))
+    live = F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("n_live")
+    copied = secrets.listed(F.filter("all", lambda s: ~s["live"])).alias("copied_spans")
+    return found.select("doc_id", *kinds, digest, secrets.listed(F.col("all")).alias("spans"), live, copied)
 
 
 @query

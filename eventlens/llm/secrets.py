@@ -4,12 +4,12 @@ Base spans per kind are the leftmost matches that don't overlap, found by splitt
 pattern: the lengths of the pieces and of the matches give the offsets, in code points. Matches
 that are too short are dropped after they took their characters.
 
-Every base value and every further candidate (a token of 20 or more characters that mixes letters and
-digits and overlaps no base span) is hashed. Hashes are counted by distinct owners and repositories over
-the whole corpus: distinct (hash, owner, repository) first, so a value that a third of all rows hold is
-summed before it is shuffled to one place. A value of `widely` or more owners, or of `copied` or more
-repositories whoever owns them, is an example that was copied about; any other is taken for live. Live candidates are added to the spans; base spans stay
-whatever their frequency, and each span says which it is.
+Every base value and every further candidate (a token of 20 or more characters that looks live, see looks_live, and overlaps no
+base span) is hashed. Hashes are counted by distinct owners and repositories over the whole corpus: distinct (hash, owner,
+repository) first, so a value that a third of all rows hold is summed before it is shuffled to one place. A value of `widely`
+or more owners, or of `copied` or more repositories whoever owns them, is an example that was copied about; any other is taken
+for live. Only the hashes of copied values go back to the rows, and those that very many rows hold are broadcast (lookup).
+Live candidates are added to the spans; base spans stay whatever their frequency, and each span says which it is.
 
 Null and empty texts have no spans. A null owner or repository counts as none. Copies of a row count
 once per repository. Ties at a start follow the order of the kinds. An empty table gives an empty result.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import cut, lookup
 
 ASSIGN = (
     r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
@@ -38,6 +38,16 @@ ORDER = ["assign", "access", "hex", "token"]
 WIDELY, COPIED = 3, 10
 
 
+#: Least changes between letters and digits, and least distinct characters, of a token that looks live.
+CHANGES, DISTINCT = 4, 10
+
+
+def looks_live(value: Column) -> Column:
+    """Letters and digits in turn and many different characters, as in random keys, not in paths, slugs, names or dates."""
+    changes = F.regexp_count(value, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))
+    return (changes >= CHANGES) & (F.size(F.array_distinct(F.split(F.rtrim(value, F.lit("=")), ""))) >= DISTINCT)
+
+
 def spans(text: Column, kind: str, pattern: str, group: int, least: int, test: str | None = None) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's matches, offsets in code points, end exclusive."""
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -70,7 +80,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         base.alias("base"),
         spans(text, "token", TOKEN, 0, 20, r"[A-Za-z0-9+/_-]{20}").alias("token"),
     )
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & t["value"].rlike("[A-Za-z]") & t["value"].rlike("[0-9]"))
+    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & looks_live(t["value"]))
     return out.withColumn("more", free).drop("token")
 
 
@@ -87,9 +97,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     each = scanned.select("row", "owner", "repo", F.explode(F.concat("base", "more")).alias("s"))
     each = each.select("row", "owner", "repo", "s.start", "s.kind", "s.end", F.sha2(F.encode("s.value", "UTF-8"), 256).alias("hash"))
     spread = ownership(each)
+    copies = cut(spread.where((F.col("owners") >= widely) | (F.col("repos") >= copied)).select("hash", F.lit(True).alias("copied")))
     rank = F.array_position(F.array(*(F.lit(k) for k in ORDER)), F.col("kind")).cast("int")
-    live = (F.col("owners") < widely) & (F.col("repos") < copied)
-    told = each.join(spread, "hash").select("row", "kind", F.struct("start", rank.alias("rank"), "kind", "end", live.alias("live")).alias("span"))
+    live = F.col("copied").isNull()
+    told = lookup(each, copies, "hash", "left").select("row", "kind", F.struct("start", rank.alias("rank"), "kind", "end", live.alias("live")).alias("span"))
     told = told.where("kind <> 'token' or span.live").groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("all"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,live:boolean>>")
     out = scanned.select("row", "id").join(told, "row", "left").withColumn("all", F.coalesce("all", empty))

@@ -154,6 +154,26 @@ def test_language(spark, sf):
     assert language.predict(odd.where("false"), books).count() == 0 and language.dictionaries(docs.where("false"), F.lit(True)) == {}
 
 
+def test_language_against_plain_compression(spark, sf):
+    """Predictions are those of a fresh compressor a block with the same dictionaries; repeated rows and other columns don't matter."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    books = language.dictionaries(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    more = docs.unionByName(docs.limit(5)).withColumns({"lang_pred": F.lit("clash"), "score": F.lit(7), "h": F.lit(1), "at": F.lit(1), "piece": F.lit("x")})
+    assert language.dictionaries(more, crc_mod(F.col("doc_id"), 4) != 2) == language.dictionaries(docs.unionByName(docs.limit(5)), crc_mod(F.col("doc_id"), 4) != 2)
+    got = language.predict(more, books).collect()
+    assert len(got) == docs.count() + 5
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got[::7]:
+        plain, size = language.plain(texts[r.doc_id]), {}
+        for lang in sorted(books):
+            book = zstandard.ZstdCompressionDict(books[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            press = lambda b: zstandard.ZstdCompressor(dict_data=book, level=language.LEVEL, write_content_size=False, write_dict_id=False).compress(b)  # noqa: E731, B023
+            size[lang] = sum(len(press(plain[k : k + language.BLOCK])) for k in range(0, len(plain), language.BLOCK))
+        assert r.lang_pred == min(size, key=lambda x: (size[x], x))
+
+
 def slow_nearest(index, v, k):
     scores = []
     for d in range(index.n):

@@ -406,17 +406,48 @@ def test_ownership(spark):
 
 
 def test_copies_within_one_source_are_no_live_secret(spark):
-    example, live, late = "Example0Token1Example2", "Zx81kd93Kdl20dkQ11mv", "z" * 70 + "7" * 10
+    example, live, late = "Example0Token1Example2", "Zx81kd93Kdl20dkQ11mv", "abcdefghij" * 7 + "1z2y3x4w"
     docs = [(k, f"see {example} here", "hot") for k in range(40)] + [(50, f"a {live} b", "hot"), (51, f"a {live} b", "hot"), (60, f"long {late} end", "hot"), (61, "only-letters-of-a-long-name=5", "hot")]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r["all"]] for r in secrets.find(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert all(got[k] == [] for k in range(40)) and got[50] == got[51] == [("token", 2, 22)]
-    assert got[60] == [("token", 5, 85)] and got[61] == []
+    assert got[60] == [("token", 5, 83)] and got[61] == []
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_ownership_brute_force(spark, monkeypatch, hot):
+    """Live and copied values against plain counts, with values in very many rows, also where their hashes aren't broadcast."""
+    from eventlens.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if hot == 1 else 20_000)
+    rng = random.Random(2)
+    key = lambda: "".join(f"{rng.choice('abcdefXYZ')}{rng.randint(0, 9)}" for _ in range(12))
+    keys = [key() for _ in range(60)]
+    docs = [(k, " ".join(f"x {rng.choice(keys[: 1 + k % 60])} y" for _ in range(rng.randint(0, 3))), f"s{rng.choice([0, 0, 0, 1, 2, k % 9])}") for k in range(400)]
+    owners, repos = {}, {}
+    for i, t, s in docs:
+        for v in set(t.split()) & set(keys):
+            owners.setdefault(v, set()).add(s)
+            repos.setdefault(v, set()).add(i)
+    got = {r.doc_id: [(s.start, s.end) for s in r["all"]] for r in secrets.find(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    some = 0
+    for i, t, _ in docs:
+        want = [m.span() for m in re.finditer("[A-Za-z0-9]{20,}", t) if len(set(m[0])) >= 10 and len(owners[m[0]]) < secrets.WIDELY and len(repos[m[0]]) < secrets.COPIED]
+        some += len(want)
+        assert got[i] == want
+    assert 0 < some < sum(len(set(t.split()) & set(keys)) for _, t, _ in docs)
+
+
+def test_paths_slugs_and_names_dont_look_live(spark):
+    texts = ["/usr/local/lib/python3/site-packages", "averylongvariablenamehere=5", "2024-11-28-a-post-with-a-long-title", "https://example.org/some/long/path/of/2/words", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzx1"]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert all(r["all"] == [] for r in secrets.find(df).collect())
 
 
 def test_registered_digests(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op9_secrets"](spark, sf).collect():
         assert r.base_sha256 == hashlib.sha256(slow_spans(docs[r.doc_id]).encode()).hexdigest()
+        assert r.n_live <= len(r.spans.split(",")) and set(filter(None, r.copied_spans.split(","))) <= set(r.spans.split(","))
     for r in QUERIES["op1_bpe"](spark, sf).collect():
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     want = without_duplicates(list(docs.items()), 13)
