@@ -3,7 +3,7 @@
 Learning takes a bounded sample of the labelled rows (SAMPLE rows of least hash, equal texts once). The
 terms are lower-cased words without outer punctuation, the first four to eight letters of longer ones, and those that
 two or four different words of the text begin with. Terms whose document frequencies differ between the labels by more than chance (a chi-squared bound) are
-kept; a vector is (1 + log tf) * idf over them, of unit length. Examples with no kept term aren't
+kept, all of them; a vector is (1 + log tf) * idf over them, of unit length. Examples with no kept term aren't
 indexed; they give the score of texts that have none.
 
 The index holds, per term, postings in order of example, cut into blocks with the largest weight of each.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import ship
 
-#: Labelled rows learnt from; kept terms at most; least rows with a term and chi-squared of one; neighbours; examples in a block.
-SAMPLE, TERMS, LEAST, CHI2, NEAREST, BLOCK = 6000, 4000, 6, 40.0, 15, 64
+#: Labelled rows learnt from; least rows with a term and chi-squared of one; neighbours; examples in a block.
+SAMPLE, LEAST, CHI2, NEAREST, BLOCK = 6000, 6, 40.0, 15, 64
 #: Words whose terms a worker keeps.
 WORDS = 300_000
 SHRINK = 0.25
@@ -134,7 +134,7 @@ class Model:
                 if chi >= CHI2:
                     kept.append((-chi, t, a + b))
         del held
-        kept = sorted(kept)[:TERMS]
+        kept.sort()
         idf = {t: log(1 + n / df) for _, t, df in kept}
         self.index = Index(idf, [], np.zeros(0), [])
         self.vocabulary = frozenset(idf) | {t[1:] for t in idf if t[0] in "24"}
