@@ -61,8 +61,12 @@ def novelty(df: DataFrame, keys: list[str], id_col: str, vector: str) -> DataFra
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """auc by rank sum with mid-ranks; counts per distinct score are summed first."""
-    counts = df.groupBy(score).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("below", below)
-    return ranked.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    """auc by rank sum with mid-ranks; counts per distinct score are summed first, and running sums are taken within ranges of scores."""
+    counts = df.groupBy(F.col(score).alias("_x")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
+    ranged = counts.repartitionByRange("_x").withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy("_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("_here", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    # One row a range; a range's total is what lies below the later ones.
+    sums = ranked.groupBy("_part").agg(F.sum(F.col("p") * (F.col("_here") + F.col("n") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.withColumn("_below", earlier).agg(F.try_divide(F.sum(F.col("won") + F.col("p") * F.col("_below")), F.sum("p") * F.sum("n")).alias("auc"))

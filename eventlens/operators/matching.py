@@ -6,7 +6,7 @@ predictions keeps the matches made so far, so the order that decides is explicit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.intervals import iou
@@ -14,16 +14,18 @@ from eventlens.functions.intervals import iou
 KEYS = ["video_id", "class_name"]
 
 
-def match(truth: DataFrame, preds: DataFrame, tau: float, official: bool = False) -> DataFrame:
-    """video_id, class_name, pred_ord, gt_ord, iou of the pairs.
+_KIND = "struct<pid:bigint,gid:bigint,iou:double>"
 
-    truth: video_id, class_name, ord, start, end; preds: the same and score. ord is unique within a video and class.
-    General rules: the best remaining overlap of tau or more, the earlier of equals; where a side is untimed, the first remaining
-    one with overlap 0, unless a timed one beats it. Official rules: timed pairs only.
-    """
+
+def _packed(truth: DataFrame, preds: DataFrame, how: str) -> DataFrame:
+    """KEYS, ps (predictions by falling score), gs (truth by ord): one row a video and class."""
     p = preds.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("ord").alias("pid"), F.col("start").alias("s"), F.col("end").alias("e")))).alias("ps"))
     g = truth.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("gid"), F.col("start").alias("s"), F.col("end").alias("e")))).alias("gs"))
-    kind = "struct<pid:bigint,gid:bigint,iou:double>"
+    return p.join(g, KEYS, how)
+
+
+def _folded(tau: float, official: bool) -> Column:
+    """array of (pid, gid, iou): the matches made between ps and gs."""
     first = 0.0 if official else -1.0
 
     def fold(acc, one):
@@ -41,9 +43,37 @@ def match(truth: DataFrame, preds: DataFrame, tau: float, official: bool = False
         best = F.aggregate(free, start, better)
         return F.concat(acc, F.filter(F.array(best), lambda b: b["gid"].isNotNull()))
 
-    joined = p.join(g, KEYS)
-    found = F.aggregate("ps", F.array().cast(f"array<{kind}>"), fold)
-    return joined.select(*KEYS, F.explode(found).alias("m")).select(*KEYS, F.col("m.pid").alias("pred_ord"), F.col("m.gid").alias("gt_ord"), F.col("m.iou").alias("iou"))
+    return F.aggregate("ps", F.array().cast(f"array<{_KIND}>"), fold)
+
+
+def match(truth: DataFrame, preds: DataFrame, tau: float, official: bool = False) -> DataFrame:
+    """video_id, class_name, pred_ord, gt_ord, iou of the pairs.
+
+    truth: video_id, class_name, ord, start, end; preds: the same and score. ord is unique within a video and class.
+    General rules: the best remaining overlap of tau or more, the earlier of equals; where a side is untimed, the first remaining
+    one with overlap 0, unless a timed one beats it. Official rules: timed pairs only.
+    """
+    found = _packed(truth, preds, "inner").select(*KEYS, F.explode(_folded(tau, official)).alias("m"))
+    return found.select(*KEYS, F.col("m.pid").alias("pred_ord"), F.col("m.gid").alias("gt_ord"), F.col("m.iou").alias("iou"))
+
+
+def tallies(truth: DataFrame, preds: DataFrame, taus: list[float]) -> DataFrame:
+    """video_id, class_name, tau, tp, fp, fn, timed (pairs with times), iou (their sum) under the general rules.
+
+    Both sides are packed once; every threshold is a fold over the same row, so thresholds cost no scan or shuffle of their own.
+    """
+    empty_p, empty_g = (f"array<struct<{x}>>" for x in ("neg:double,pid:bigint,s:double,e:double", "gid:bigint,s:double,e:double"))
+    both = _packed(truth, preds, "full")
+    both = both.select(*KEYS, F.coalesce("ps", F.array().cast(empty_p)).alias("ps"), F.coalesce("gs", F.array().cast(empty_g)).alias("gs"))
+    folds = F.array(*(F.struct(F.lit(float(t)).alias("tau"), _folded(t, False).alias("m")) for t in taus))
+    each = both.select(*KEYS, "gs", F.size("ps").alias("n_p"), F.size("gs").alias("n_g"), F.explode(folds).alias("f"))
+    known = F.transform(F.filter("gs", lambda g: g["s"].isNotNull() & g["e"].isNotNull()), lambda g: g["gid"])
+    real = F.filter("f.m", lambda m: F.array_contains(known, m["gid"]))
+    tp = F.size("f.m")
+    return each.select(
+        *KEYS, F.col("f.tau").alias("tau"), tp.alias("tp"), (F.col("n_p") - tp).alias("fp"), (F.col("n_g") - tp).alias("fn"),
+        F.size(real).alias("timed"), F.aggregate(real, F.lit(0.0), lambda a, m: a + m["iou"]).alias("iou"),
+    )
 
 
 def outcomes(truth: DataFrame, preds: DataFrame, pairs: DataFrame) -> DataFrame:

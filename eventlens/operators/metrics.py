@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.operators.matching import match, outcomes
+from eventlens.operators.matching import match, tallies
 from eventlens.schema import LEVEL_WEIGHTS, OFFICIAL_TAU
 
 
@@ -22,20 +22,14 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 def by_tau_and_level(truth: DataFrame, preds: DataFrame, meta: DataFrame, taus: list[float]) -> DataFrame:
     """tau, level (null: overall), tp, fp, fn, precision, recall, f1, mean_iou.
 
-    One match per threshold serves the overall figures and all levels: matching never crosses videos. Events of unknown videos
+    One packed match serves all thresholds, the overall figures and all levels: matching never crosses videos. Events of unknown videos
     count in the overall figures only. mean_iou is over timed pairs, null if there are none.
     """
-    timed = truth.where("start is not null and end is not null").select("video_id", "class_name", F.col("ord").cast("bigint").alias("gt_ord"), F.lit(1).alias("timed"))
-    parts = None
-    for tau in taus:
-        o = outcomes(truth, preds, match(truth, preds, tau)).withColumn("tau", F.lit(tau))
-        parts = o if parts is None else parts.unionByName(o)
-    o = parts.join(timed, ["video_id", "class_name", "gt_ord"], "left").join(meta.select("video_id", "level"), "video_id", "left")
-    counts = [F.count_if(F.col("outcome") == k).alias(k) for k in ("tp", "fp", "fn")]
-    iou = F.avg(F.when((F.col("outcome") == "tp") & (F.col("timed") == 1), F.col("iou"))).alias("mean_iou")
-    levels = o.where("level is not null").groupBy("tau", "level").agg(*counts, iou)
-    every = o.groupBy("tau").agg(*counts, iou).withColumn("level", F.lit(None).cast("int"))
-    both = every.unionByName(levels)
+    t = tallies(truth, preds, taus).join(meta.select("video_id", "level"), "video_id", "left")
+    # Each tally counts for all videos and, if its level is known, for that level.
+    marks = F.array_compact(F.array(F.lit(-1), F.col("level").cast("int")))
+    t = t.withColumn("_level", F.explode(marks)).groupBy("tau", "_level")
+    both = t.agg(*(F.sum(k).cast("bigint").alias(k) for k in ("tp", "fp", "fn")), F.try_divide(F.sum("iou"), F.sum("timed")).alias("mean_iou")).withColumn("level", F.nullif("_level", F.lit(-1)))
     return both.select("tau", "level", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "mean_iou")
 
 
@@ -107,9 +101,36 @@ def overall(meta: DataFrame, truth: DataFrame, preds: DataFrame) -> DataFrame:
     rest = level23(meta, truth, preds).groupBy(F.col("level").cast("int").alias("level")).agg(
         F.count(F.lit(1)).alias("n_videos"), F.avg("score").alias("score"), F.count_if(F.col("is_normal") & (F.col("score") == 0)).alias("n_normal_zeroed")
     )
-    levels = one.unionByName(rest)
-    total = levels.agg(F.sum("n_videos").alias("n_videos"), F.avg("score").alias("score"), F.sum("n_normal_zeroed").alias("n_normal_zeroed"))
-    return levels.unionByName(total.select(F.lit(None).cast("int").alias("level"), F.coalesce("n_videos", F.lit(0)).alias("n_videos"), F.coalesce("score", F.lit(0.0)).alias("score"), "n_normal_zeroed"))
+    # The levels are three rows at most, packed into one, so the total doesn't compute them again.
+    packed = one.unionByName(rest).agg(F.collect_list(F.struct("level", "n_videos", "score", "n_normal_zeroed")).alias("l"))
+    add = lambda f, kind: F.aggregate("l", F.lit(0).cast(kind), lambda a, x: a + F.coalesce(x[f], F.lit(0).cast(kind)))
+    zeroed = F.when(F.exists("l", lambda x: x["n_normal_zeroed"].isNotNull()), add("n_normal_zeroed", "bigint"))
+    total = F.struct(F.lit(None).cast("int").alias("level"), add("n_videos", "bigint").alias("n_videos"), ratio(add("score", "double"), F.size("l")).alias("score"), zeroed.alias("n_normal_zeroed"))
+    return packed.select(F.explode(F.concat("l", F.array(total))).alias("x")).select("x.*")
+
+
+def overall_by_policy(meta: DataFrame, truth: DataFrame, preds: DataFrame, policies: DataFrame) -> DataFrame:
+    """policy_id, level1, level2, level3 (null without videos), overall of predictions with a policy_id, all policies in one plan."""
+    ids = policies.select("policy_id")
+    key = F.concat_ws("/", "policy_id", "video_id")
+    of = F.split("video_id", "/")[0].cast("int").alias("policy_id")
+    m = meta.select("video_id", "level").crossJoin(F.broadcast(ids)).select(key.alias("video_id"), "level")
+    t = truth.crossJoin(F.broadcast(ids)).withColumn("video_id", key)
+    p = preds.withColumn("video_id", key)
+    anomalous = F.size("gt") > 0
+    agree, hit = anomalous == (F.size("pred") > 0), F.arrays_overlap("gt", "pred")
+    one = class_sets(m.where("level = 1"), t, p).groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("b"), F.count_if(anomalous).alias("t"), F.count_if(anomalous & hit).alias("c"))
+    one = one.select("policy_id", F.lit(1).alias("level"), (0.5 * ratio(F.col("b"), F.col("n")) + 0.5 * ratio(F.col("c"), F.col("t"))).alias("score"))
+    rest = level23(m, t, p).groupBy(of, F.col("level").cast("int").alias("level")).agg(F.avg("score").alias("score"))
+    levels = one.unionByName(rest).groupBy("policy_id").agg(*(F.max(F.when(F.col("level") == k, F.col("score"))).alias(f"level{k}") for k in (1, 2, 3)), F.avg("score").alias("overall"))
+    return ids.join(levels, "policy_id", "left").na.fill(0.0, ["overall"])
+
+
+def latency_bonus(calls: DataFrame, videos: DataFrame) -> DataFrame:
+    """One row: seconds of reported processing over seconds of video. calls: window_ms; videos: duration_sec."""
+    spent = calls.agg(F.sum(F.coalesce("window_ms", F.lit(0.0))).alias("ms"))
+    long = videos.agg(F.sum("duration_sec").alias("sec"))
+    return spent.crossJoin(long).select(ratio(F.col("ms") / 1000, F.col("sec")).alias("ratio"))
 
 
 def mean_components(per_video: DataFrame) -> DataFrame:

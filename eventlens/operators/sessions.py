@@ -28,8 +28,20 @@ def candidate_streams(verdicts: DataFrame, classes: DataFrame | None = None) ->
     return each.select("video_id", "class_name", "seq", "start", "end", x.alias("x"))
 
 
+#: Policies that are broadcast or packed into one row, at most.
+POLICIES = 10_000
+
+
+def few(policies: DataFrame) -> DataFrame:
+    """A hint to broadcast a policy table, whose size is checked."""
+    if policies.count() > POLICIES:
+        raise ValueError(f"more than {POLICIES} policies; sweep them in parts")
+    return F.broadcast(policies)
+
+
 def with_policy(streams: DataFrame, policies: DataFrame, names: list[str]) -> DataFrame:
     """Every stream under every policy (few rows, packed into one that is broadcast)."""
+    few(policies)
     packed = policies.select(*names).distinct().agg(F.collect_list(F.struct(*names)).alias("_p"))
     each = streams.crossJoin(F.broadcast(packed)).withColumn("_p", F.explode("_p"))
     return each.select(*streams.columns, *(F.col(f"_p.{n}").alias(n) for n in names))
@@ -62,16 +74,17 @@ def merge(found: DataFrame, keys: list[str]) -> DataFrame:
     return out.where(F.col("end") - F.col("start") >= F.col("min_duration_sec")).select(*keys, "start", "end", "score")
 
 
-def aggregate(verdicts: DataFrame, policies: DataFrame) -> DataFrame:
-    """policy_id, video_id, class_name, start, end, score for every policy at once.
+def aggregate(verdicts: DataFrame, policies: DataFrame, chunk_sec: float | None = None) -> DataFrame:
+    """policy_id, video_id, class_name, start, end, score for every policy at once; chunk_sec: for feeds too long for one task (hot_spans).
 
     Spans depend on the thresholds and the coverage gap alone, so policies that share those share the scan; merge gap
     and least duration are applied to the spans, which are far fewer than the verdicts.
     """
     scan = ["theta_high", "theta_low", "max_window_gap_sec"]
     keys = ["video_id", "class_name", *scan]
-    found = spans(with_policy(candidate_streams(verdicts), policies, scan), keys)
-    each = found.join(F.broadcast(policies), scan)
+    streams = with_policy(candidate_streams(verdicts), policies, scan)
+    found = spans(streams, keys) if chunk_sec is None else hot_spans(streams, keys, chunk_sec)
+    each = found.join(few(policies), scan)
     return merge(each, ["policy_id", "video_id", "class_name"])
 
 
@@ -85,8 +98,8 @@ def aggregate_one(verdicts: DataFrame, **policy: float) -> DataFrame:
 def hot_spans(streams: DataFrame, keys: list[str], chunk_sec: float) -> DataFrame:
     """As spans, for feeds too long for one task: feeds are cut into chunks of time and scanned in two levels.
 
-    Each prefix scan (running end, last signal, count of rises) is made within chunks; what a chunk carries over is found
-    from one row per chunk. Rows are only ever sorted within a chunk.
+    Prefix scans run within chunks. Two summaries of one row a chunk carry the rest: the end of coverage before the chunk, which
+    decides its holes, and then the state and number of spans before it, as only rows up to a chunk's first signal depend on them.
     """
     s = streams.withColumn("_chunk", F.floor(F.col("start") / chunk_sec))
     parts = [*keys, "_chunk"]
@@ -94,29 +107,60 @@ def hot_spans(streams: DataFrame, keys: list[str], chunk_sec: float) -> DataFram
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
-    def carried(df: DataFrame, name: str, summary: Column, fold: Column) -> DataFrame:
-        sums = df.groupBy(*parts).agg(summary.alias("_sum")).withColumn(name, fold.over(earlier)).drop("_sum")
-        left, right = df.alias("l"), sums.alias("r")
-        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in parts]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        return left.join(right, cond).select("l.*", name)
+    def with_chunk(df: DataFrame, per_chunk: DataFrame) -> DataFrame:
+        right = per_chunk.select(*(F.col(k).alias(f"_r_{k}") for k in parts), *(c for c in per_chunk.columns if c not in parts))
+        cond = F.lit(True)
+        for k in parts:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        return df.join(right, cond).drop(*(f"_r_{k}" for k in parts))
 
-    s = carried(s, "_end0", F.max("end"), F.max("_sum"))
+    ends = s.groupBy(*parts).agg(F.max("end").alias("_max")).withColumn("_end0", F.max("_max").over(earlier)).drop("_max")
+    rows = with_chunk(s, ends)
     before = F.greatest("_end0", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     hole = F.coalesce(F.col("start") - before > F.col("max_window_gap_sec"), F.lit(False))
     signal = F.when(F.col("x") >= F.col("theta_high"), 1).when(F.col("x") < F.col("theta_low"), 0)
-    s = s.withColumn("_hole", hole)
-    s = s.withColumn("_signal", F.when(F.col("_hole"), F.coalesce(signal, F.lit(0))).otherwise(signal))
-    last = F.max_by("_signal", F.when(F.col("_signal").isNotNull(), F.struct("start", "seq")))
-    s = carried(s, "_on0", last, F.last("_sum", ignorenulls=True))
-    s = s.withColumn("_on", F.coalesce(F.last("_signal", ignorenulls=True).over(upto), "_on0", F.lit(0)))
-    was = F.coalesce(F.lag("_on").over(order), "_on0", F.lit(0))
-    s = s.withColumn("_rise", F.when((F.col("_on") == 1) & ((was == 0) | F.col("_hole")), 1).otherwise(0))
-    s = carried(s, "_span0", F.sum("_rise"), F.sum("_sum"))
-    s = s.withColumn("span", F.sum("_rise").over(upto) + F.coalesce("_span0", F.lit(0)))
-    return s.where("_on = 1").groupBy(*keys, "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("x").alias("score"))
+    rows = rows.withColumn("_hole", hole)
+    rows = rows.withColumn("_signal", F.when(F.col("_hole"), F.coalesce(signal, F.lit(0))).otherwise(signal))
+    rows = rows.withColumn("_said", F.last("_signal", ignorenulls=True).over(upto)).withColumn("_was", F.lag("_said").over(order))
+
+    risen = (F.col("_said") == 1) & ((F.col("_was") == 0) | F.col("_hole"))
+    opens = F.max(F.when(F.col("_was").isNull() & F.col("_said").isNotNull(), F.struct(F.col("_said").alias("said"), F.col("_hole").alias("hole"))))
+    state = F.max_by("_said", F.when(F.col("_said").isNotNull(), F.struct("start", "seq")))
+    sums = rows.groupBy(*parts).agg(state.alias("_last"), opens.alias("_first"), F.count_if(F.col("_was").isNotNull() & risen).alias("_rises"))
+    sums = sums.withColumn("_on0", F.coalesce(F.last("_last", ignorenulls=True).over(earlier), F.lit(0)))
+    first = F.coalesce((F.col("_first.said") == 1) & (F.col("_first.hole") | (F.col("_on0") == 0)), F.lit(False))
+    sums = sums.withColumn("_span0", F.coalesce(F.sum(F.col("_rises") + first.cast("int")).over(earlier), F.lit(0)))
+
+    rows = with_chunk(rows, sums.select(*parts, "_on0", "_span0"))
+    on = F.coalesce("_said", "_on0")
+    rise = (on == 1) & ((F.coalesce("_was", "_on0") == 0) | F.col("_hole"))
+    rows = rows.withColumn("span", F.sum(rise.cast("int")).over(upto) + F.col("_span0")).where(on == 1)
+    return rows.groupBy(*keys, "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("x").alias("score"))
+
+
+def in_order(events: DataFrame, video: str = "video_id") -> DataFrame:
+    """Events with place, 0, 1, ... within their video in order of start (untimed ones as 0) and class."""
+    order = Window.partitionBy(video).orderBy(F.coalesce("start", F.lit(0.0)), "class_name")
+    return events.withColumn("place", F.row_number().over(order) - 1)
+
+
+def two_scales(verdicts: DataFrame, **policy: float) -> DataFrame:
+    """Events of two-scale verdicts (video_id, scale, duration, class_name, start, end, score, seq): what each scale may say, in one stream.
+
+    At equal times the short scale comes first.
+    """
+    from eventlens.operators.windows import routed
+
+    stream = routed(verdicts).withColumn("seq", F.struct((F.col("scale") != "short").alias("long"), "seq"))
+    return aggregate_one(stream.drop("scale", "duration"), **policy)
+
+
+def aggregate_by_level(verdicts: DataFrame, meta: DataFrame, policies: DataFrame) -> DataFrame:
+    """As aggregate, with each video under the policies of its level (policies has a column level; a video without one counts as level 1)."""
+    levels = verdicts.select("video_id").distinct().join(meta.select("video_id", "level"), "video_id", "left")
+    levels = levels.select("video_id", F.coalesce("level", F.lit(1)).alias("level"))
+    allowed = levels.join(few(policies.select("policy_id", "level")), "level").select("video_id", "policy_id")
+    return aggregate(verdicts, policies.drop("level")).join(allowed, ["video_id", "policy_id"], "left_semi")
 
 
 def gate(first: DataFrame, second: DataFrame, least: float = 0.95) -> DataFrame:

@@ -112,8 +112,8 @@ def chat_examples(windows: DataFrame, system: str, prompt: str, num_frames: int
     return windows.select(messages.alias("messages"), F.col("path").alias("video"), F.col("win_start").alias("start_time_sec"), F.col("win_end").alias("end_time_sec"))
 
 
-def multimodal_examples(windows: DataFrame, system: str, prompt: str, frames: str = "frames") -> DataFrame:
-    """messages whose contents are arrays of (type, text, image): one image part per frame (path or reference), then the prompt."""
+def multimodal_examples(windows: DataFrame, system: str, prompt: str, frames: str = "frames", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep and messages whose contents are arrays of (type, text, image): one image part per frame (path or reference), then the prompt."""
     none = F.lit(None).cast("string")
 
     def text(c: Column) -> Column:
@@ -122,4 +122,4 @@ def multimodal_examples(windows: DataFrame, system: str, prompt: str, frames: st
     images = F.transform(frames, lambda f: F.struct(F.lit("image").alias("type"), none.alias("text"), f.cast("string").alias("image")))
     target = F.to_json(F.struct((F.col("class_name") != NORMAL).alias("is_anomaly"), "class_name"))
     turns = [("system", F.array(text(F.lit(system)))), ("user", F.concat(images, F.array(text(F.lit(prompt))))), ("assistant", F.array(text(target)))]
-    return windows.select(F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns)).alias("messages"))
+    return windows.select(*(keep or []), F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns)).alias("messages"))

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from eventlens.operators import metrics
 from eventlens.operators.matching import match
-from eventlens.operators.sessions import aggregate
+from eventlens.operators.refine import refine_by_level
+from eventlens.operators.sessions import aggregate, few
 from eventlens.schema import DEFAULT_POLICY, POLICY
 
 #: The grid of a sweep.
@@ -33,7 +34,7 @@ def sweep(verdicts: DataFrame, truth: DataFrame, policies: DataFrame, tau: float
     key = F.concat_ws("/", "policy_id", "video_id")
     preds = found.select(key.alias("video_id"), "class_name", "start", "end", "score")
     preds = preds.withColumn("ord", F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy("start", "end")))
-    t = truth.crossJoin(F.broadcast(policies.select("policy_id"))).withColumn("video_id", key)
+    t = truth.crossJoin(few(policies.select("policy_id"))).withColumn("video_id", key)
     pairs = match(t, preds, tau).groupBy(F.split("video_id", "/")[0].cast("int").alias("policy_id")).agg(F.count(F.lit(1)).alias("tp"))
     n = found.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_events"))
     gt = truth.agg(F.count(F.lit(1)).alias("n_gt"))
@@ -42,3 +43,19 @@ def sweep(verdicts: DataFrame, truth: DataFrame, policies: DataFrame, tau: float
     scored = j.select("policy_id", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "n_events", "tp", *metrics.prf(tp, F.col("n_events") - tp, F.col("n_gt") - tp))
     order = [F.desc(c) for c in ("f1", "precision", "recall", "n_events", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec")]
     return scored.orderBy(*order).limit(top)
+
+
+def sweep_overall(verdicts: DataFrame, truth: DataFrame, meta: DataFrame, policies: DataFrame, refine: str = "midpoint", window: float = 4.0, top: int = 10) -> DataFrame:
+    """The best policies by overall score: policy_id, its parameters, level1, level2, level3, overall.
+
+    Events of levels 2 and up are refined before they are scored. Interpolation works on a video's verdicts whatever the policy, so
+    modes other than none and midpoint aren't offered here. Equal scores go in order of policy_id.
+    """
+    if refine not in ("none", "midpoint"):
+        raise ValueError(f"a sweep refines by none or midpoint, not {refine!r}")
+    found = aggregate(verdicts, policies)
+    found = refine_by_level(found, verdicts, meta, mode=refine, window=window)
+    preds = found.withColumn("ord", F.row_number().over(Window.partitionBy("policy_id", "video_id", "class_name").orderBy("start", "end")))
+    scored = policies.join(metrics.overall_by_policy(meta, truth, preds, policies), "policy_id")
+    names = ["policy_id", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "level1", "level2", "level3", "overall"]
+    return scored.select(*names).orderBy(F.desc("overall"), "policy_id").limit(top)

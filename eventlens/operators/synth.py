@@ -113,3 +113,28 @@ def manifest_tables(tl: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     videos = tl.select("video_id", F.concat(F.lit("videos/"), "video_id", F.lit(".mp4")).alias("filename"))
     return truth, videos, tl.select(F.to_json(F.struct(*tl.columns)).alias("value"))
+
+
+def frame_plan(tl: DataFrame, windows: DataFrame, n: int) -> DataFrame:
+    """video_id, start, end, frames: array of (source_path, items: array of (place, at)), each source once, in order of path.
+
+    Frames of a window (video_id, start, end) are n even steps; places say where in the window a frame goes, so that sorting by them
+    restores the order after each source has been read once. Times that no segment holds are left out.
+    """
+    from eventlens.operators.windows import frame_times
+
+    j = windows.join(tl.select("video_id", "duration_sec", "segments"), "video_id")
+    times = frame_times(F.col("start"), F.col("end"), F.lit(n), F.col("duration_sec"))
+    each = F.transform(times, lambda t, i: F.struct(i.alias("place"), resolve(tl, t).alias("hit")))
+    found = F.filter(each, lambda x: x["hit"].isNotNull())
+    j = j.withColumn("_f", found)
+    sources = F.array_sort(F.array_distinct(F.transform("_f", lambda x: x["hit"]["source_path"])))
+    item = lambda x: F.struct(x["place"].alias("place"), x["hit"]["at"].alias("at"))
+    frames = F.transform(sources, lambda p: F.struct(p.alias("source_path"), F.transform(F.filter("_f", lambda x: x["hit"]["source_path"] == p), item).alias("items")))
+    return j.select("video_id", "start", "end", frames.alias("frames"))
+
+
+def restored(frames: Column) -> Column:
+    """array of (place, source_path, at) of a plan's frames, in the window's order."""
+    flat = F.flatten(F.transform(frames, lambda s: F.transform(s["items"], lambda x: F.struct(x["place"].alias("place"), s["source_path"].alias("source_path"), x["at"].alias("at")))))
+    return F.array_sort(flat)

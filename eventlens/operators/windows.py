@@ -120,3 +120,10 @@ def routed(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(short | long)
 
 
+
+
+def window_ids(windows: DataFrame, order: str, pattern: str = "w%06d") -> DataFrame:
+    """Windows with id: the pattern filled with their position, from 0, in order of a unique column. Only ranges are sorted, never the whole."""
+    from eventlens.operators.synth import numbered
+
+    return numbered(windows, order).withColumn("id", F.format_string(pattern, F.col("pool_no") - 1)).drop("pool_no")

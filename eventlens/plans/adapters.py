@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Value from which on a detection is sure.
+SURE = 50.0
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that executors share; a temporary one only in a local session without it (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _hours():
     base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return (F.unix_micros(F.col("ts").cast("timestamp")) - base) / 3600000000.0
@@ -23,12 +38,13 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or((F.col("event_id") % 7 == 0) & (F.col("event_type") != "view")).alias("has_anomaly"))
+    ids = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or((F.col("value") >= SURE) & (F.col("event_type") != "view")).alias("has_anomaly"))
     return ids.select(F.col("user_id").alias("video_id"), (F.col("user_id") % 3 + 1).cast("int").alias("level"), "has_anomaly")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0 and event_type <> 'view'").withColumn("h", _hours())
+    """Detections of a sure value are the truth."""
+    e = table(spark, sf_dir, "events").where((F.col("value") >= SURE) & (F.col("event_type") != "view")).withColumn("h", _hours())
     timed = F.col("user_id") % 3 != 0
     return e.select(
         F.col("user_id").alias("video_id"), F.col("event_type").alias("class_name"), F.col("event_id").alias("ord"),
@@ -37,7 +53,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("(event_id % 7 = 0 or event_id % 5 = 1) and event_type <> 'view'").withColumn("h", _hours())
+    """All detections are predictions."""
+    e = table(spark, sf_dir, "events").where("event_type <> 'view'").withColumn("h", _hours())
     return e.select(
         F.col("user_id").alias("video_id"), F.col("event_type").alias("class_name"), F.col("event_id").alias("ord"),
         (F.col("h") - 0.5 + F.col("event_id") % 3).alias("start"), (F.col("h") + 2.5 + F.col("event_id") % 4).alias("end"), F.least(F.lit(1.0), F.col("value") / 100).alias("score"),
@@ -70,13 +87,13 @@ SQL = {
     "verdicts": """verdicts AS (SELECT user_id AS video_id, event_id AS seq, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 AS "start",
   (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 + 4 AS "end", CASE event_type WHEN 'view' THEN 'normal' ELSE event_type END AS class_name,
   CASE event_type WHEN 'view' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, value / 100) END AS score FROM events)""",
-    "meta": """meta AS (SELECT user_id AS video_id, (user_id % 3 + 1)::INT AS level, bool_or(event_id % 7 = 0 AND event_type <> 'view') AS has_anomaly FROM events GROUP BY user_id)""",
+    "meta": """meta AS (SELECT user_id AS video_id, (user_id % 3 + 1)::INT AS level, bool_or(value >= 50 AND event_type <> 'view') AS has_anomaly FROM events GROUP BY user_id)""",
     "truth": """truth AS (SELECT user_id AS video_id, event_type AS class_name, event_id AS ord,
   CASE WHEN user_id % 3 <> 0 THEN h - 1 END AS "start", CASE WHEN user_id % 3 <> 0 THEN h + 3 + event_id % 5 END AS "end"
-  FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 AS h FROM events) WHERE event_id % 7 = 0 AND event_type <> 'view')""",
+  FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 AS h FROM events) WHERE value >= 50 AND event_type <> 'view')""",
     "preds": """preds AS (SELECT user_id AS video_id, event_type AS class_name, event_id AS ord, h - 0.5 + event_id % 3 AS "start", h + 2.5 + event_id % 4 AS "end",
   least(1.0::DOUBLE, value / 100) AS score
-  FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 AS h FROM events) WHERE (event_id % 7 = 0 OR event_id % 5 = 1) AND event_type <> 'view')""",
+  FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0 AS h FROM events) WHERE event_type <> 'view')""",
     "clips": """clips AS (SELECT p_partkey AS video_id,
   CASE p_partkey % 5 WHEN 0 THEN 'fighting_or_violence' WHEN 1 THEN 'fire' WHEN 2 THEN 'smoke' WHEN 3 THEN 'wrong_way_driving' ELSE 'normal' END AS class_name,
   CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 11 <> 0 THEN p_size * (p_partkey % 4) / 8.0::DOUBLE END AS "start",

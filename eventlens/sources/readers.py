@@ -48,7 +48,7 @@ def train(spark: SparkSession, root: str) -> DataFrame:
             raise ValueError(f"{path}: columns missing: {lost}")
         names = {f.name: f.dataType for f in [*kind, *(more or [])]}
         raw = spark.read.schema(T.StructType([T.StructField(n, names.get(n, T.StringType())) for n in head])).option("header", True).option("nullValue", "").csv(path)
-        cls = F.regexp_extract(F.col("_metadata.file_path"), r"/train/([^/]+)/[^/]+$", 1).alias("class_dir")
+        cls = F.regexp_extract(F.col("_metadata.file_path"), r"/train/([^/]+)/(?:ground_truth|videos)\.csv", 1).alias("class_dir")
         return raw.select(*(F.col(n) if n in head else F.lit(None).cast(t).alias(n) for n, t in names.items()), cls)
 
     rows, videos = read("ground_truth.csv", S.GROUND_TRUTH, level), read("videos.csv", S.VIDEOS)

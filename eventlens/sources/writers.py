@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The columns of an event file.
 EVENT_COLUMNS = ["video_id", "class_name", "start_time_sec", "end_time_sec", "score"]
 
 

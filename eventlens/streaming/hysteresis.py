@@ -2,7 +2,8 @@
 
 State holds the open span, the end of coverage and the merged event that a next span could still join. Rows of a batch are taken in
 order of start; rows behind the last one taken are late and passed over. An event is final, and emitted, once a later span cannot join
-it: when the next span begins too far on, or when the watermark is past its end by the coverage gap and the merge gap.
+it: when the next span begins too far on, or when the watermark is past its end by the coverage gap and the merge gap. When a
+stream ends, remaining_events gives what its state still holds.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,6 +89,26 @@ def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1
     return marked.groupBy("video_id", "class_name").applyInPandasWithState(step, EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def remaining_events(spark: SparkSession, checkpoint: str, **policy: float) -> DataFrame:
+    """The events that a stopped stream's state still holds: with those emitted, the events of all rows read so far.
+
+    The state is read as a table from the query's checkpoint; a span that is open ends where coverage ends.
+    """
+    p = DEFAULT_POLICY | policy
+    state = spark.read.format("statestore").load(checkpoint)
+    rows = state.select("key.video_id", "key.class_name", "value.groupState.*")
+    joins = F.col("s").isNotNull() & F.col("ps").isNotNull() & (F.col("s") - F.col("pe") <= p["merge_gap_sec"])
+
+    def event(start: Column, end: Column, score: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
+
+    old, new = event(F.col("ps"), F.col("pe"), F.col("pm")), event(F.col("s"), F.col("e"), F.col("m"))
+    both = event(F.col("ps"), F.greatest("pe", "e"), F.greatest("pm", "m"))
+    each = F.when(joins, F.array(both)).otherwise(F.array(old, new))
+    found = rows.select("video_id", "class_name", F.explode(each).alias("x")).select("video_id", "class_name", "x.*")
+    return found.where(F.col("start").isNotNull() & (F.col("end") - F.col("start") >= p["min_duration_sec"]))
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Runs what is there to the end, into parquet."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -100,8 +121,9 @@ def windowed_counts(verdicts: DataFrame, window: str = "32 seconds", slide: str
 
 
 def session_counts(verdicts: DataFrame, gap: str = "8 seconds", watermark: str = "1 minute") -> DataFrame:
-    """Sessions of anomalous verdicts per feed and class, parted by inactivity."""
-    marked = verdicts.where(F.col("class_name") != NORMAL).withWatermark("at", watermark)
-    return marked.groupBy("video_id", "class_name", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
-
+    """Sessions of anomalous verdicts per feed and class, parted by inactivity.
 
+    Normal verdicts advance the watermark too: the filter names the event time, so it isn't pushed below the watermark.
+    """
+    marked = verdicts.withWatermark("at", watermark).where(F.when(F.col("at").isNotNull(), F.col("class_name") != NORMAL))
+    return marked.groupBy("video_id", "class_name", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))

@@ -85,29 +85,29 @@ def test_stream_is_the_batch(spark, tmp_path):
     import random
 
     rng = random.Random(4)
-    rows, end = [], 0.0
+    rows = []
     for v in range(6):
         t = 0.0
         for _ in range(40):
             t += rng.choice([2, 4, 4, 9, 14])
             rows.append((f"v{v}", t, t + 4, rng.choice(["fire", "smoke", "normal"]), round(rng.random(), 2)))
-        end = max(end, t)
-    far = [(f"v{v}", end + 1000, end + 1004, c, 1.0) for v in range(6) for c in ("fire", "smoke")]
     kind = "video_id string, start double, end double, class_name string, score double"
     at = F.timestamp_millis((F.col("start") * 1000).cast("long"))
     first = spark.createDataFrame(rows, kind).withColumn("at", at)
     first.where("start < 60").coalesce(1).write.parquet(str(tmp_path / "in/a"))
     first.where("start >= 60").coalesce(1).write.parquet(str(tmp_path / "in/b"))
-    spark.createDataFrame(far, kind).withColumn("at", at).coalesce(1).write.parquet(str(tmp_path / "in/c"))
     stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     events = hysteresis.stream_events(hysteresis.explode_classes(stream, ["fire", "smoke"]), watermark="1 second")
     hysteresis.run_available(events, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where(f"start <= {end}").select("video_id", "class_name", "start", "end", "score").collect())
+    emitted = spark.read.parquet(str(tmp_path / "out"))
+    held = hysteresis.remaining_events(spark, str(tmp_path / "state"))
+    assert emitted.count() > 0 and held.count() > 0
+    got = sorted(tuple(r) for r in emitted.unionByName(held).select("video_id", "class_name", "start", "end", "score").collect())
     batch = sessions.aggregate_one(first.withColumn("seq", F.monotonically_increasing_id()))
     assert got == sorted(tuple(r) for r in batch.select("video_id", "class_name", "start", "end", "score").collect())
 
 
-@pytest.mark.parametrize("name", ["multi_class_aggregate", "greedy_match_general", "overall_score", "label_windows", "policy_sweep_topk", "submission_validate", "latency_summary"])
+@pytest.mark.parametrize("name", ["multi_class_aggregate", "greedy_match_general", "overall_score", "label_windows", "stream_hysteresis", "sweep_overall_topk", "timelines_round_trip", "frame_plan", "submission_validate", "latency_summary"])
 def test_registered(spark, sf, name):
     from eventlens.plans.catalogue import QUERIES
 
@@ -134,3 +134,23 @@ def test_entry_without_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, check=True)
     (tmp_path / "corpus_pipeline.py").unlink()
     subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, check=True)
+
+
+def test_windowed_and_session_counts_on_a_stream(spark, tmp_path):
+    """Hopping windows and sessions of a stream, once the watermark has passed them, against plain counts."""
+    rows = [("v", t, c, 0.5) for t, c in ((0, "fire"), (5, "normal"), (9, "fire"), (40, "fire"), (41, "smoke"), (400, "normal"), (401, "normal"), (900, "normal"))]
+    df = spark.createDataFrame(rows, "video_id string, t long, class_name string, score double").withColumn("at", F.timestamp_seconds("t"))
+    for k, cond in enumerate(("t < 300", "t between 300 and 800", "t > 800")):
+        df.where(cond).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    hysteresis.run_available(hysteresis.windowed_counts(stream(), "32 seconds", "8 seconds", "1 second"), str(tmp_path / "w"), str(tmp_path / "sw"))
+    hysteresis.run_available(hysteresis.session_counts(stream(), "8 seconds", "1 second"), str(tmp_path / "s"), str(tmp_path / "ss"))
+    got = {r.b: (r.n, r.anomalous) for r in spark.read.parquet(str(tmp_path / "w")).select(F.unix_seconds("window.start").alias("b"), "n", "anomalous").collect()}
+    want = {}
+    for _, t, c, _ in rows[:-1]:
+        for b in range(t // 8 * 8, t // 8 * 8 - 32, -8):
+            n, a = want.get(b, (0, 0))
+            want[b] = (n + 1, a + (c != "normal"))
+    assert got == want
+    sessions_seen = {(r.class_name, r.b): r.n for r in spark.read.parquet(str(tmp_path / "s")).select("class_name", F.unix_seconds("session_window.start").alias("b"), "n").collect()}
+    assert sessions_seen == {("fire", 0): 1, ("fire", 9): 1, ("fire", 40): 1, ("smoke", 41): 1}
