@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +114,20 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
     return near if near.any() else None
 
 
-def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
-    """(u, v) edges between ids of distinct fingerprints (fid, fp0, ...) that span every linked group."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be that similar."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b)
+
+
+def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float | None = None) -> DataFrame:
+    """(u, v) edges between ids of distinct fingerprints (fid, fp0, ...) that span every linked group.
+
+    similarity: distinct also has size, the number of shingles, and pairs whose sizes rule that similarity out don't link. Tiles
+    are then of like size as well, and those of sizes too far apart aren't compared.
+    """
     ship(distinct.sparkSession)
     names = [f"fp{k}" for k in range(words)]
+    held = [*names, "size"] if similarity else names
     parts = 4 if radius <= 3 and words == 1 else 1
     width = 1 if parts == 4 else radius + 1
     if parts == 4:
@@ -129,14 +140,18 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
     shifts = [sum(x * base**k for k, x in enumerate(reversed(o))) for o in near]
 
     key = sum((F.floor(c / width).cast("long") * base**k for k, c in enumerate(reversed(counts))), F.lit(0).cast("long"))
-    keyed = distinct.where("fid is not null").select("fid", *names, key.alias("key"))
+    if similarity:
+        # Sizes in one class or in neighbouring ones may be within the ratio; a class is one step of a further digit of the key.
+        key = key + F.floor(F.log(F.greatest("size", F.lit(1))) / log(1 / similarity)).cast("long") * base ** len(counts)
+        shifts = sorted({s + t * base ** len(counts) for s in {s * sign for s in shifts for sign in (1, -1)} for t in (0, 1) if t or s >= 0})
+    keyed = distinct.where("fid is not null").select("fid", *held, key.alias("key"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
     # Keys are tuples of population counts: at most 17 ** 4 or a few dozen rows, whatever the data.
     tiles = cut(
         keyed.join(F.broadcast(sizes), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("fid"), F.col("chunks")))
         .groupBy("key", "chunk")
-        .agg(F.collect_list(F.struct("fid", *names)).alias("members"))
+        .agg(F.collect_list(F.struct("fid", *held)).alias("members"))
     )
     other = tiles.select(F.explode(F.array(*(F.lit(s) for s in shifts))).alias("shift"), F.col("key").alias("key2"), F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
     other = other.select((F.col("key2") + F.col("shift")).alias("key"), "key2", "shift", "chunk2", "others")
@@ -155,14 +170,16 @@ def links(distinct: DataFrame, radius: int, words: int = 1) -> DataFrame:
             for c in (0, 1):
                 lists = batch.column(c)
                 inner = lists.values
-                cols = [inner.field(k).to_numpy(zero_copy_only=False) for k in range(words + 1)]
-                sides.append((lists.offsets.to_numpy(), cols[0], np.stack(cols[1:], axis=1).view(np.uint64)))
+                cols = [inner.field(k).to_numpy(zero_copy_only=False) for k in range(len(held) + 1)]
+                sides.append((lists.offsets.to_numpy(), cols[0], np.stack(cols[1 : words + 1], axis=1).view(np.uint64), cols[-1]))
             us, vs = [], []
             for r in range(batch.num_rows):
-                (oa, ia, fa), (ob, ib, fb) = sides
+                (oa, ia, fa, na), (ob, ib, fb, nb) = sides
                 a, b = slice(oa[r], oa[r + 1]), slice(ob[r], ob[r + 1])
                 found = compare(fa[a], fb[b], radius)
-                if found is not None:
+                if similarity and found is not None:
+                    found &= alike(na[a][:, None], nb[b][None, :], similarity)
+                if found is not None and found.any():
                     ids = np.concatenate((ia[a], ib[b]))
                     for x, y in star(found):
                         if ids[x] != ids[y]:
@@ -223,7 +240,8 @@ def confirm(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int,
     """
     n = len(sets)
     apart = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in range(prints.shape[1]))
-    wanted = np.triu(apart <= radius, 1)
+    size = np.array([len(x) for x in sets])
+    wanted = np.triu((apart <= radius) & alike(size[:, None], size[None, :], similarity), 1)
     if first:
         wanted[:first, :first] = wanted[first:, :] = False
     us, vs = np.nonzero(wanted)
@@ -235,11 +253,10 @@ def confirm(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int,
             top[x] = x = top[top[x]]
         return x
 
-    size = [len(x) for x in sets]
     out = []
     for u, v in zip(us[order].tolist(), vs[order].tolist()):
         a, b = find(u), find(v)
-        if a != b and min(size[u], size[v]) >= similarity * max(size[u], size[v]) and similarity_of(sets[u], sets[v]) >= similarity:
+        if a != b and similarity_of(sets[u], sets[v]) >= similarity:
             top[b] = a
             out.append((u, v))
     return out
@@ -248,7 +265,7 @@ def confirm(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int,
 def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id and digest of every row; digest, id, component of every distinct set of shingles, id its smallest).
 
-    Fingerprints within radius propose, exact similarity decides: the texts of each proposed group, in blocks of at most BLOCK, are
+    Fingerprints within radius, of sets of like size, propose, exact similarity decides: the texts of each proposed group, in blocks of at most BLOCK, are
     fetched as sets of shingle hashes, and every proposed pair of two blocks is confirmed unless confirmed ones link it already. Only
     texts in proposed groups travel a second time.
     """
@@ -259,18 +276,19 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, digest = [], []
+            raw, digest, size = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, n)
                 raw.append(set_fingerprint(h, words))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
             made = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), *(pa.array(made[:, k]) for k in range(words))], ["id", "digest", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), *(pa.array(made[:, k]) for k in range(words))], ["id", "digest", "size", *names])
 
-    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, " + ", ".join(f"{x} bigint" for x in names)))
-    distinct = prints.groupBy("digest").agg(F.min("id").alias("id"), F.min(F.struct(*names)).alias("fp"))
-    distinct = cut(distinct.select("digest", "id", *(F.col(f"fp.{x}").alias(x) for x in names)).withColumn("fid", F.monotonically_increasing_id()))
-    proposed = connected_components(links(distinct, radius, words))
+    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, size bigint, " + ", ".join(f"{x} bigint" for x in names)))
+    distinct = prints.groupBy("digest").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.min(F.struct(*names)).alias("fp"))
+    distinct = cut(distinct.select("digest", "id", "size", *(F.col(f"fp.{x}").alias(x) for x in names)).withColumn("fid", F.monotonically_increasing_id()))
+    proposed = connected_components(links(distinct, radius, words, similarity))
 
     sizes = proposed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
     members = lookup(proposed, cut(sizes), "label").join(distinct, F.col("node") == F.col("fid"))
@@ -311,11 +329,11 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
     return prints.select("id", "digest"), grouped
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, words: int = 2, radius: int = 30, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, words: int = 2, radius: int = 28, similarity: float = 0.8) -> DataFrame:
     """id and component_id (the smallest id of its group) of every row; groups are joined by exact similarity of shingles.
 
     A SimHash of b bits has cos(pi * d / b) as its estimate of the cosine; two sets of equal size and similarity 0.8 have a
-    cosine of 0.889, 19 of 128 bits with a deviation of 4, so a radius of 30 is 2.7 deviations beyond; much more would chain unrelated texts into large proposed groups.
+    cosine of 0.889, 19 of 128 bits with a deviation of 4, so a radius of 28 is 2.2 deviations beyond; much more would chain unrelated texts into large proposed groups.
     """
     prints, grouped = similar_sets(df, id_col, text_col, n, words, radius, similarity)
     least = cut(grouped.groupBy("component").agg(F.min("id").alias("component_id")))
@@ -323,7 +341,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lookup(prints, cut(named), "digest").select(F.col("id").alias(id_col), "component_id")
 
 
-def first_rows(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, words: int = 2, radius: int = 30, similarity: float = 0.8) -> DataFrame:
+def first_rows(df: DataFrame, id_col: str, text_col: str = "text", n: int = 5, words: int = 2, radius: int = 28, similarity: float = 0.8) -> DataFrame:
     """The smallest id of every group of near_duplicates, one row a group; ids may be of any type that has an order, such as structs."""
     _, grouped = similar_sets(df, id_col, text_col, n, words, radius, similarity)
     return grouped.groupBy("component").agg(F.min("id").alias(id_col)).select(id_col)
