@@ -160,7 +160,8 @@ def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float |
         # Few keys, many tiles each: pair the names of tiles, then fetch the tiles by name, so that pairs spread over tasks.
         names2 = tiles.select("key", "chunk").join(other.select("key", "key2", "shift", "chunk2"), "key").where(met).drop("shift")
         second = tiles.select(F.col("key").alias("key2"), F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
-        pairs = names2.join(tiles, ["key", "chunk"]).join(second, ["key2", "chunk2"]).select("members", "others")
+        # Tiles grow with the data: merge joins, so that they are never collected for a broadcast.
+        pairs = names2.join(tiles.hint("merge"), ["key", "chunk"]).join(second.hint("merge"), ["key2", "chunk2"]).select("members", "others")
     else:
         pairs = tiles.join(other, "key").where(met).select("members", "others")
 
@@ -291,9 +292,10 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
     proposed = connected_components(links(distinct, radius, words, similarity))
 
     sizes = proposed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    members = lookup(proposed, cut(sizes), "label").join(distinct, F.col("node") == F.col("fid"))
+    members = lookup(proposed, cut(sizes), "label").join(distinct.hint("merge"), F.col("node") == F.col("fid"))
     members = cut(members.select("id", "digest", "fid", *names, "label", "chunks", F.pmod(F.xxhash64("fid"), F.col("chunks")).alias("chunk")))
-    fetched = source.join(members, "id").select("text", "digest", "fid", *names, "label", "chunks", "chunk")
+    # These tables grow with the data: merge joins, so that none is collected for a broadcast.
+    fetched = source.join(members.hint("merge"), "id").select("text", "digest", "fid", *names, "label", "chunks", "chunk")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +310,7 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
     many = blocks.where("chunks > 1").select("label", "chunk", "members")
     pair = many.select("label", "chunk").join(many.select("label", F.col("chunk").alias("chunk2")), "label").where("chunk < chunk2")
     second = many.select("label", F.col("chunk").alias("chunk2"), F.col("members").alias("others"))
-    apart = pair.join(many, ["label", "chunk"]).join(second, ["label", "chunk2"]).select("members", "others")
+    apart = pair.join(many.hint("merge"), ["label", "chunk"]).join(second.hint("merge"), ["label", "chunk2"]).select("members", "others")
     nothing = F.array().cast(blocks.schema["members"].dataType)
     work = blocks.select("members", nothing.alias("others")).unionByName(apart)
 
@@ -325,7 +327,7 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     labels = connected_components(work.mapInArrow(check, "u bigint, v bigint"))
-    grouped = distinct.join(labels, distinct.fid == labels.node, "left").select("digest", "id", F.coalesce("label", "fid").alias("component"))
+    grouped = distinct.join(labels.hint("merge"), distinct.fid == labels.node, "left").select("digest", "id", F.coalesce("label", "fid").alias("component"))
     return prints.select("id", "digest"), grouped
 
 
