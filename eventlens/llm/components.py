@@ -1,11 +1,17 @@
-"""Connected components by contraction, as joins and aggregates."""
+"""Connected components by contraction, as joins and aggregates between rounds and as stars within a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import cut, lookup
+from eventlens.llm.common import cut, lookup, ship
+
+#: Edges that a task contracts at a time.
+HELD = 1 << 17
 
 
 def _ranked(node: str) -> Column:
@@ -13,15 +19,57 @@ def _ranked(node: str) -> Column:
     return F.struct(F.xxhash64(node).alias("rank"), F.col(node).alias("node"))
 
 
+def stars(edges: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """(first, member) edges that join the same nodes as edges (u, v, rank of u, rank of v); first is the least of its group by (rank, node)."""
+    top: dict[int, int] = {}
+    rank: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for u, v, ru, rv in edges:
+        rank[u], rank[v] = ru, rv
+        a, b = find(top.setdefault(u, u)), find(top.setdefault(v, v))
+        if a != b:
+            a, b = sorted((a, b), key=lambda x: (rank[x], x))
+            top[b] = a
+    return [(find(x), x) for x in top if top[x] != x]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) that join the same nodes: every HELD edges of a task become stars, so that fewer rounds are needed."""
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            made = stars(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in made], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            held.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            if len(held) >= HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    ranked = edges.select("u", "v", F.xxhash64("u").alias("ru"), F.xxhash64("v").alias("rv"))
+    return ranked.mapInArrow(run, "u bigint, v bigint")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for every node of edges (u, v).
+    """node, label (the least node of its component) for every node of edges (u, v), both longs.
 
-    Each round every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and
-    loops go. Nodes that come before all their neighbours stay, so each component ends as one of its nodes. As the order is
+    Before each round every task contracts the edges it holds, in pieces of a fixed size, to stars around their first nodes. Then
+    every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and loops go. Nodes that come before all their neighbours stay, so each component ends as one of its nodes. As the order is
     scattered, a round leaves a fraction of the nodes and rounds grow with the logarithm of their number. What moved
     in each round is kept and composed at the end. Loops, repeated edges and an empty table are fine.
     """
-    live = cut(edges.select("u", "v").where("u <> v").distinct())
+    live = cut(contracted(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()))
     if live.isEmpty():
         return live.select(F.col("u").alias("node"), F.col("v").alias("label"))
     moves = []
@@ -33,7 +81,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(step)
         at = step.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         bt = step.select(F.col("node").alias("v"), F.col("to").alias("v2"))
-        live = cut(live.join(at, "u").join(bt, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct())
+        left = live.join(at, "u").join(bt, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
+        live = cut(contracted(left))
     labels = moves[0].select("node", F.col("to").alias("label"))
     for step in moves[1:]:
         labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))

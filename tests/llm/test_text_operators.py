@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 
 from eventlens.llm import bpe, quality, secrets, simhash, substring
-from eventlens.llm.components import connected_components
+from eventlens.llm.components import connected_components, stars
 from eventlens.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -459,3 +459,15 @@ def test_registered_digests(spark, sf):
         assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", label[r.doc_id])
     for r in QUERIES["op4_quality_rules"](spark, sf).collect():
         assert tuple(r)[1:6] == slow_counts(docs[r.doc_id])
+
+def test_stars():
+    """Edges of one piece become stars around the first node by rank; they join what the edges join."""
+    rank = {n: (n * 7919) % 1009 for n in range(200)}
+    edges = [(n, (n * 13 + 5) % 97, rank[n], rank[(n * 13 + 5) % 97]) for n in range(0, 200, 3)] + [(4, 4, rank[4], rank[4])]
+    made = stars(edges)
+    top = {n: n for n in rank}
+    for _ in rank:
+        for u, v, _, _ in edges:
+            top[u] = top[v] = min(top[u], top[v], key=rank.get)
+    nodes = {n for e in edges for n in e[:2]}
+    assert {m: f for f, m in made} == {n: top[n] for n in nodes if top[n] != n} and stars([]) == []
