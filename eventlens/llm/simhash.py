@@ -37,6 +37,8 @@ from eventlens.llm.substring import window_hashes
 
 #: Most fingerprints in a tile, and shingles whose bits are counted at once.
 TILE, CHUNK = 4096, 1 << 15
+#: Pairs of two tiles that are worked on at once.
+CELLS = 1 << 16
 #: Most texts of a proposed group whose sets of shingles are compared in one piece.
 BLOCK = 512
 SEED = 42
@@ -88,11 +90,16 @@ def star(near: np.ndarray) -> list[tuple[int, int]]:
     rows, cols = near.shape
     has_r, has_c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
     near = near[np.ix_(has_r, has_c)]
-    big = rows + cols
-    label = has_r.astype(np.int64)
+    big = np.int32(rows + cols)
+    label = has_r.astype(np.int32)
+    step = max(1, CELLS // max(1, len(has_c)))
     while True:
-        at_c = np.where(near, label[:, None], big).min(axis=0)
-        at_r = np.where(near, at_c[None, :], big).min(axis=1)
+        # Labels go from rows to columns and back, some rows of the matrix at a time.
+        at_c, at_r = np.full(len(has_c), big), label.copy()
+        for at in range(0, len(has_r), step):
+            np.minimum(at_c, np.where(near[at : at + step], label[at : at + step, None], big).min(axis=0), out=at_c)
+        for at in range(0, len(has_r), step):
+            at_r[at : at + step] = np.where(near[at : at + step], at_c[None, :], big).min(axis=1)
         if (at_r == label).all():
             break
         label = at_r
@@ -100,17 +107,23 @@ def star(near: np.ndarray) -> list[tuple[int, int]]:
     return pairs + [(int(a), rows + int(b)) for a, b in zip(at_c, has_c)]
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
-    """Which of a's fingerprints (n, words) are within radius of which of b's; None if none are."""
-    found = []
-    step = max(1, (1 << 16) // max(1, len(b)))
+def compare(a: np.ndarray, b: np.ndarray, radius: int, sizes: tuple[np.ndarray, np.ndarray, float] | None = None) -> np.ndarray | None:
+    """Which of a's fingerprints (n, words) are within radius of which of b's; None if none are.
+
+    sizes: the sizes of a's and b's sets and the similarity that they must allow. Only bits of the answer are held for all
+    pairs, all else for CELLS pairs at a time.
+    """
+    near = np.zeros((len(a), len(b)), np.bool_)
+    step = max(1, CELLS // max(1, len(b)))
     for at in range(0, len(a), step):
         part = a[at : at + step]
         apart = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
         for k in range(1, a.shape[1]):
             apart += np.bitwise_count(part[:, None, k] ^ b[None, :, k])
-        found.append(apart <= radius)
-    near = np.concatenate(found)
+        found = apart <= radius
+        if sizes and found.any():
+            found &= alike(sizes[0][at : at + step, None], sizes[1][None, :], sizes[2])
+        near[at : at + step] = found
     return near if near.any() else None
 
 
@@ -177,10 +190,8 @@ def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float |
             for r in range(batch.num_rows):
                 (oa, ia, fa, na), (ob, ib, fb, nb) = sides
                 a, b = slice(oa[r], oa[r + 1]), slice(ob[r], ob[r + 1])
-                found = compare(fa[a], fb[b], radius)
-                if similarity and found is not None:
-                    found &= alike(na[a][:, None], nb[b][None, :], similarity)
-                if found is not None and found.any():
+                found = compare(fa[a], fb[b], radius, (na[a], nb[b], similarity) if similarity else None)
+                if found is not None:
                     ids = np.concatenate((ia[a], ib[b]))
                     for x, y in star(found):
                         if ids[x] != ids[y]:
