@@ -65,9 +65,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of edges (u, v), both longs.
 
     Before each round every task contracts the edges it holds, in pieces of a fixed size, to stars around their first nodes. Then
-    every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and loops go. Nodes that come before all their neighbours stay, so each component ends as one of its nodes. As the order is
-    scattered, a round leaves a fraction of the nodes and rounds grow with the logarithm of their number. What moved
-    in each round is kept and composed at the end. Loops, repeated edges and an empty table are fine.
+    every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and loops go. Nodes that
+    come before all their neighbours stay, so each component ends as one of its nodes. As the order is scattered, a round leaves
+    a fraction of the nodes and rounds grow with the logarithm of their number. What moved in each round is kept and composed at
+    the end. Loops, repeated edges and an empty table are fine.
     """
     live = cut(contracted(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()))
     if live.isEmpty():

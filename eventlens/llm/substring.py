@@ -1,20 +1,19 @@
-"""Substring dedup by relative parsing against an index of every document.
+"""Substring dedup by an exact index of word windows.
 
-Every document is cut into windows of `length` consecutive words. The reference index maps a window
-to the first document (smallest id) that holds it; it is dealt out in blocks by the window's hash, so
-a document is parsed against all blocks. The parse is greedy: a factor starts at the first word whose
-window is in the index under a smaller id and runs on while the next start is also there; since every
-start is looked up, a window over the boundary of two factors is never missed. Factors, `length`
-words or more each, are the duplicate spans.
+This isn't relative Lempel-Ziv parsing, the method named for the operator: there is no reference text, no longest match and no source
+position (README says why). Every document is cut into windows of `length` consecutive words. The index maps a window's hash to the
+first document (smallest id) that holds it; it is dealt out in blocks by hash. Every start of every document is looked up, and a
+window that is in the index under a smaller id is a duplicate. Spans are the maximal runs of words under duplicate windows; the
+windows of one span may come from different documents.
 
 What is shuffled is packed: for each batch of rows and block, the window hashes in order of document.
-A window that several documents of one batch hold is sent once, for the smallest id; the others are
-known as duplicates on the spot. So a passage that a third of all documents hold costs one entry
-a batch, not one a document.
+A window that several documents of one batch hold is compared once, for the smallest id; the others
+travel as known duplicates, one entry each, which the block hands on without comparing them.
 
 Windows are compared by 64-bit hashes of 64-bit word hashes: 56 bits travel, the block has the rest.
-Null and empty texts have no words. Rows of one id and text count as one document, so neither
-removes the other; an equal text under a larger id goes. An empty table gives an empty result.
+Null and empty texts have no words. Rows without an id are kept whole and aren't compared; ids are
+cast to long. Rows of one id and text count as one document, so neither removes the other; an equal
+text under a larger id goes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
