@@ -149,3 +149,14 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm import centroids
 
     return centroids.cluster(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query
+def op11_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm import neighbours
+    from eventlens.llm.common import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    model = neighbours.learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("id"), 3) != 1)
+    out = neighbours.score(docs, model)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
