@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.intervals import overlap
+from eventlens.functions.intervals import iou, overlap
 
 
 def enrich(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -49,6 +52,30 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[str, str]
     return hits.unionByName(rest, allowMissingColumns=True).drop("_row")
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], least: float) -> DataFrame:
+    """Pairs with common keys whose common part is `least` (above 0) of their hull or more, with iou. Other names must differ.
+
+    Such intervals are of like length, within a factor of 1 / least. Time is cut into cells of every power of two; a left interval lies in the few cells of its own
+    length, a right one in those of all lengths it can meet. So the join is on equal keys and cells, and one key with very many intervals is dealt out by
+    time; a pair is kept in the first cell it shares.
+    """
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+
+    def cells(df: DataFrame, s: str, e: str, reach: int, level: str, cell: str, first: str) -> DataFrame:
+        own = F.floor(F.log2(F.col(e) - F.col(s))).cast("int")
+        df = df.where(F.col(e) > F.col(s)).withColumn(level, F.explode(F.sequence(own - reach, own + reach)))
+        width = F.pow(F.lit(2.0), F.col(level))
+        return df.withColumn(first, F.floor(F.col(s) / width)).withColumn(cell, F.explode(F.sequence(F.col(first), F.floor(F.col(e) / width))))
+
+    reach = math.ceil(math.log2(1 / least) + 1e-9)
+    a = cells(left, *l, 0, "_level", "_cell", "_first")
+    b = cells(right.withColumnsRenamed(names), *r, reach, "_level2", "_cell2", "_first2")
+    same = reduce(Column.__and__, (F.col(k) == F.col(n) for k, n in names.items()))
+    size = iou(F.col(l[0]), F.col(l[1]), F.col(r[0]), F.col(r[1]))
+    hits = a.join(b, same & (F.col("_level") == F.col("_level2")) & (F.col("_cell") == F.col("_cell2")) & (F.greatest("_first", "_first2") == F.col("_cell")) & (size >= least))
+    return hits.withColumn("iou", size).drop(*names.values(), "_level", "_level2", "_cell", "_cell2", "_first", "_first2")
+
+
 def point_in_interval(points: DataFrame, segments: DataFrame, key: str, t: str) -> DataFrame:
     """Of segments (key, start, end, source_start, source_path): each point's first segment with start <= t < end, or null.
 
