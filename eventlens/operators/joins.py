@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.intervals import iou, overlap
+from eventlens.operators.lineage import cut
+from eventlens.operators.scans import running
 
 
 def enrich(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -42,12 +44,14 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l: tuple[str, str]
         first = F.floor(F.col(s) / bin_sec)
         return F.explode_outer(F.sequence(first, F.greatest(first, F.ceil(F.col(e) / bin_sec) - 1)))
 
-    a = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bin", bins(*l))
+    # Numbered rows are written before they meet anything, as a task that is run again may number them otherwise.
+    a = left if how == "inner" else cut(left.withColumn("_row", F.monotonically_increasing_id()))
+    a = a.withColumn("_bin", bins(*l))
     b = right.withColumn("_bin2", bins(*r))
     first = F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / bin_sec) == F.col("_bin")
     hits = a.join(b, cond & (F.col("_bin") == F.col("_bin2")) & touch & first).drop("_key", "_bin", "_bin2")
     if how == "inner":
-        return hits.drop("_row")
+        return hits
     rest = a.drop("_bin").dropDuplicates(["_row"]).join(hits.select("_row").distinct(), "_row", "left_anti")
     return hits.unionByName(rest, allowMissingColumns=True).drop("_row")
 
@@ -76,16 +80,31 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[s
     return hits.withColumn("iou", size).drop(*names.values(), "_level", "_level2", "_cell", "_cell2", "_first", "_first2")
 
 
-def point_in_interval(points: DataFrame, segments: DataFrame, key: str, t: str) -> DataFrame:
+def point_in_interval(points: DataFrame, segments: DataFrame, key: str, t: str, width: float | None = None) -> DataFrame:
     """Of segments (key, start, end, source_start, source_path): each point's first segment with start <= t < end, or null.
 
-    Adds seg_path and seg_offset (where in the source the point lies).
+    First is the least start, then the least end, then source. Adds seg_path and seg_offset (where in the source the point lies).
+
+    Segments may overlap. In that order only one that ends later than all before it is ever the first to hold a point, and the one that holds it is the one of least
+    end after it. So a scan over the segments keeps those, and a scan backwards over ends and points in one order carries the next end to each point.
+    No pair of a point and a segment is made, and no row needs a number. width: of a range, for keys too long for one task (scans.running).
     """
-    s = segments.select(F.col(key).alias("_key"), F.col("start").alias("_s"), F.col("end").alias("_e"), "source_path", "source_start")
-    p = points.withColumn("_row", F.monotonically_increasing_id())
-    hits = p.join(s, (F.col(key) == F.col("_key")) & (F.col("_s") <= F.col(t)) & (F.col(t) < F.col("_e")), "left")
-    best = hits.groupBy("_row", *points.columns).agg(F.min_by(F.struct("source_path", (F.col(t) - F.col("_s") + F.col("source_start")).alias("at")), F.struct("_s", "_e")).alias("b"))
-    return best.select(*points.columns, F.col("b.source_path").alias("seg_path"), F.col("b.at").alias("seg_offset"))
+    names = points.columns
+    whole = F.struct(*names)
+    kept = segments.where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    seg = kept.select(F.col(key).alias("_key"), F.col("start").cast("double").alias("_s"), F.col("end").cast("double").alias("_e"), F.struct("source_path", "source_start").alias("_from"))
+    seg = seg.withColumn("_path", F.struct("_from"))
+    records = running(seg, ["_key"], ["_s", "_e", "_path"], "_e", "_most", how="max", current=False, width=width)
+    records = records.where(F.col("_most").isNull() | (F.col("_e") > F.col("_most"))).where("_e > _s")
+    none = F.lit(None)
+    hit = F.struct("_s", "_from")
+    ends = records.select("_key", (-F.col("_e")).alias("_at"), F.lit(1).alias("_kind"), hit.alias("_seg"), none.cast(points.select(whole.alias("p")).schema["p"].dataType).alias("_p"))
+    # A point comes before the end at its time: a segment doesn't hold its own end.
+    asked = points.select(F.col(key).alias("_key"), (-F.coalesce(F.col(t).cast("double"), F.lit(0.0))).alias("_at"), F.lit(0).alias("_kind"), none.cast(ends.schema["_seg"].dataType).alias("_seg"), whole.alias("_p"))
+    both = running(ends.unionByName(asked), ["_key"], ["_at", "_kind"], "_seg", "_hit", width=width).where("_kind = 0")
+    time = F.col("_p")[t]
+    found = F.when(F.col("_hit._s") <= time, F.col("_hit"))
+    return both.select(*(F.col("_p")[n].alias(n) for n in names), found["_from"]["source_path"].alias("seg_path"), (time - found["_s"] + found["_from"]["source_start"]).alias("seg_offset"))
 
 
 def with_members(spine: DataFrame, rows: DataFrame, key: str, members: list[str], order: list[str], name: str = "items") -> DataFrame:

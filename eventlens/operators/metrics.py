@@ -148,12 +148,6 @@ def anomaly_rate(verdicts: DataFrame) -> DataFrame:
     return c.withColumn("rate", ratio(F.col("n_anomalous"), F.col("n_windows")))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Of a sorted array: the element at the half-even rounded p * (n - 1)."""
-    at = F.bround(p * (F.size(values) - 1), 0).cast("int")
-    return F.get(values, F.greatest(F.lit(0), F.least(at, F.size(values) - 1)))
-
-
 def latency(df: DataFrame, keys: list[str], ms: str, digits: int = 1) -> DataFrame:
     """keys, call_count, total, average, p50, p95, max (half-even rounded to digits), by nearest rank.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.intervals import midpoint
+from eventlens.operators.scans import running
+from eventlens.schema import NORMAL
 
 
 def shrink(events: DataFrame, window: float) -> DataFrame:
@@ -18,33 +20,42 @@ def shrink(events: DataFrame, window: float) -> DataFrame:
     return events.withColumns({"start": F.when(timed, F.bround(new_s, 3)).otherwise(F.col("start")), "end": F.when(timed, F.bround(new_e, 3)).otherwise(F.col("end"))})
 
 
-def crossings(verdicts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """video_id, class_name, up, t, t2, at: where a class's score at window centres crosses the threshold."""
-    each = verdicts.join(classes.select("video_id", F.col("class_name").alias("cls")).distinct(), "video_id")
-    x = F.when(F.col("class_name") == F.col("cls"), F.col("score")).otherwise(0.0)
-    p = each.select("video_id", "cls", midpoint(F.col("start"), F.col("end")).alias("t"), x.alias("x"))
-    order = Window.partitionBy("video_id", "cls").orderBy("t", "x")
-    p = p.withColumns({"t2": F.lead("t").over(order), "x2": F.lead("x").over(order)})
-    up, down = (F.col("x") < threshold) & (F.col("x2") >= threshold), (F.col("x2") < threshold) & (F.col("x") >= threshold)
-    rise = F.col("t") + (threshold - F.col("x")) / (F.col("x2") - F.col("x")) * (F.col("t2") - F.col("t"))
-    fall = F.col("t2") + (threshold - F.col("x2")) / (F.col("x") - F.col("x2")) * (F.col("t") - F.col("t2"))
-    return p.where(up | down).select("video_id", F.col("cls").alias("class_name"), up.alias("up"), "t", "t2", F.when(up, rise).otherwise(fall).alias("at"))
-
-
-def interpolate(events: DataFrame, verdicts: DataFrame, threshold: float = 0.5) -> DataFrame:
+def interpolate(events: DataFrame, verdicts: DataFrame, threshold: float = 0.5, width: float | None = None) -> DataFrame:
     """Starts moved to the first rise that ends at or after them, ends to the last fall that begins at or before them.
 
-    events: video_id, class_name, ord (unique in its video and class), start, end. What would end before it starts stays.
+    events: video_id, class_name, start, end and any others. A class's score at window centres crosses the threshold between two of them; the crossing is
+    interpolated. Events and centres stand in one order per video and class: the scan backwards carries the next rise to each start, the scan
+    forwards the last fall to each end. What would end before it starts stays, as do untimed events. width: seconds of a range, for feeds too long
+    for one task (scans.running).
     """
-    c = crossings(verdicts, events, threshold)
-    c = c.select(F.col("video_id").alias("_v"), F.col("class_name").alias("_c"), "up", "t", "t2", "at")
-    j = events.join(c, (F.col("video_id") == F.col("_v")) & (F.col("class_name") == F.col("_c")), "left")
-    rise = F.when(F.col("up") & (F.col("t2") >= F.col("start")), F.struct("t2", "t", "at"))
-    fall = F.when(~F.col("up") & (F.col("t") <= F.col("end")), F.struct("t", "t2", "at"))
-    best = j.groupBy(*events.columns).agg(F.min(rise)["at"].alias("_s"), F.max(fall)["at"].alias("_e"))
-    s, e = F.coalesce("_s", "start"), F.coalesce("_e", "end")
+    keys = ["video_id", "class_name"]
+    kinds = verdicts.where(F.col("class_name") != NORMAL).groupBy("video_id").agg(F.collect_set("class_name").alias("kinds"))
+    each = verdicts.select("video_id", midpoint(F.col("start"), F.col("end")).alias("t"), F.col("class_name").alias("said"), "score").where("t is not null").join(kinds, "video_id")
+    each = each.withColumn("class_name", F.explode("kinds"))
+    x = F.when(F.col("said") == F.col("class_name"), F.col("score")).otherwise(0.0)
+    whole = F.struct(*events.columns)
+    none = F.lit(None).cast("double")
+    points = each.select(*keys, F.lit(False).alias("own"), "t", x.alias("x"), F.lit(None).cast(events.select(whole.alias("e")).schema["e"].dataType).alias("e"))
+    both = points.unionByName(events.select(*keys, F.lit(True).alias("own"), none.alias("t"), none.alias("x"), whole.alias("e")))
+
+    # The next centre: the last one before in the falling order of time.
+    both = both.withColumns({"_t": -F.coalesce("t", F.lit(0.0)), "_x": -F.coalesce("x", F.lit(0.0)), "at": F.when(~F.col("own"), F.struct("t", "x"))})
+    c = running(both, [*keys, "own"], ["_t", "_x"], "at", "next", current=False, width=width)
+    t, v, t2, v2 = F.col("t"), F.col("x"), F.col("next.t"), F.col("next.x")
+    up, down = (v < threshold) & (v2 >= threshold), (v2 < threshold) & (v >= threshold)
+    rise, fall = t + (threshold - v) / (v2 - v) * (t2 - t), t2 + (threshold - v2) / (v - v2) * (t - t2)
+    c = c.where(F.col("own") | up | down).select(
+        *keys, "own", "e", F.when(up, rise).alias("rise"), F.when(down, fall).alias("fall"),
+        # Backwards: rises by their end, an event by its start and after a rise at the same time; forwards: falls by their beginning, an event by its end and after.
+        (-F.coalesce(F.when(F.col("own"), F.col("e.start")).otherwise(t2), F.lit(0.0))).alias("back"), F.coalesce(F.when(F.col("own"), F.col("e.end")).otherwise(t), F.lit(0.0)).alias("on"), (-t).alias("_t"), t2.alias("_t2"), (-rise).alias("_rise"), fall.alias("_fall"),
+    )
+    c = running(c, keys, ["back", "own", "_t", "_rise"], "rise", "new_start", width=width)
+    c = running(c, keys, ["on", "own", "_t2", "_fall"], "fall", "new_end", width=width).where("own")
+    s = F.when(F.col("e.start").isNotNull(), F.coalesce("new_start", "e.start"))
+    e = F.when(F.col("e.end").isNotNull(), F.coalesce("new_end", "e.end"))
+    moved = {"start": s, "end": e}
     ok = F.coalesce(e > s, F.lit(False))
-    return best.select(*[x for x in events.columns if x not in ("start", "end")], F.when(ok, s).otherwise(F.col("start")).alias("start"), F.when(ok, e).otherwise(F.col("end")).alias("end"))
+    return c.select(*(F.when(ok, moved[n]).otherwise(F.col(f"e.{n}")).alias(n) if n in moved else F.col(f"e.{n}").alias(n) for n in events.columns))
 
 
 def refine(events: DataFrame, verdicts: DataFrame, mode: str = "none", window: float = 4.0, threshold: float = 0.5) -> DataFrame:

@@ -23,11 +23,6 @@ def sliding_windows(df: DataFrame, duration: str, window: float = 4.0, stride: f
     return each.select("*", F.col("w.ord").alias("win_ord"), F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end")).drop("w")
 
 
-def scales_for(cls: Column) -> Column:
-    """Scales to cut a clip of the class at: short for all, long for dwell classes too."""
-    return F.when(cls.isin(DWELL), F.array(F.lit("short"), F.lit("long"))).otherwise(F.array(F.lit("short")))
-
-
 def labelled_windows(clips: DataFrame, scale: str = "short", **thresholds: float) -> DataFrame:
     """Of clips (class_name, start, end, duration, ...): labelled windows; ambiguous ones are dropped.
 
@@ -49,17 +44,24 @@ def all_scales(clips: DataFrame, **thresholds: float) -> DataFrame:
     return labelled_windows(clips, "short", **thresholds).unionByName(labelled_windows(clips.where(F.col("class_name").isin(DWELL)), "long", **thresholds))
 
 
-def oracle_verdicts(windows: DataFrame, truth: DataFrame, hit: float = 0.9) -> DataFrame:
+def oracle_verdicts(windows: DataFrame, truth: DataFrame, hit: float = 0.9, window: float = 4.0) -> DataFrame:
     """windows (video_id, win_ord, win_start, win_end, duration) with the verdict a perfect model would give.
 
-    The first event (by ord) with a common part names the class; untimed events stand for the whole clip. The
-    join is on the video, the range is its residual, and the result is one row a window.
+    The first event (by ord, then class) with a common part names the class; untimed events stand for the whole clip. `window` is the usual length of a
+    window: time is cut into bins of it, windows and events meet by video and bin, so a video's windows never meet all of its events. A
+    window lies in the bins it touches; its first event over all of them is the least of its bins' first events.
     """
-    t = truth.select(F.col("video_id").alias("v"), "class_name", "ord", F.col("start").alias("s"), F.col("end").alias("e"))
-    s, e = F.coalesce("s", F.lit(0.0)), F.coalesce("e", F.col("duration"))
-    hits = windows.join(t, (F.col("video_id") == F.col("v")) & (overlap(F.col("win_start"), F.col("win_end"), s, e) > 0), "left")
+    first = lambda s: F.floor(s / window)
+    last = lambda s, e: F.greatest(first(s), F.ceil(e / window) - 1)
     keys = ["video_id", "win_ord", "win_start", "win_end"]
-    best = hits.groupBy(*keys).agg(F.min_by("class_name", "ord").alias("c"))
+    w = windows.withColumn("_bin", F.explode(F.sequence(first(F.col("win_start")), last(F.col("win_start"), F.col("win_end")))))
+    clips = windows.groupBy("video_id").agg(F.max("duration").alias("_d"))
+    t = truth.select("video_id", "class_name", "ord", "start", "end").join(clips, "video_id")
+    s, e = F.coalesce("start", F.lit(0.0)), F.coalesce("end", "_d")
+    t = t.select(F.col("video_id").alias("_v"), F.struct("ord", "class_name").alias("_c"), s.alias("_s"), F.least(e, F.col("_d")).alias("_e")).where("_e > _s")
+    t = t.withColumn("_bin2", F.explode(F.sequence(first(F.col("_s")), last(F.col("_s"), F.col("_e")))))
+    hits = w.join(t, (F.col("video_id") == F.col("_v")) & (F.col("_bin") == F.col("_bin2")) & (overlap(F.col("win_start"), F.col("win_end"), F.col("_s"), F.col("_e")) > 0), "left")
+    best = hits.groupBy(*keys).agg(F.min("_c")["class_name"].alias("c"))
     return best.select(*keys, F.coalesce("c", F.lit(NORMAL)).alias("class_name"), F.when(F.col("c").isNotNull(), hit).otherwise(0.0).alias("score"))
 
 

@@ -79,7 +79,3 @@ def policies(spark: SparkSession, *rows: dict) -> DataFrame:
             raise ValueError(f"theta_low {r['theta_low']} is above theta_high {r['theta_high']}")
     names = POLICY.fieldNames()[1:]
     return spark.createDataFrame([(k, *(float(r[n]) for n in names)) for k, r in enumerate(full)], POLICY)
-
-
-def level_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEVEL_WEIGHTS, "level int, w_alert double, w_match double, w_timing double")

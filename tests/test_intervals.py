@@ -113,3 +113,76 @@ def test_crossing(spark):
     assert tuple(refine.refine(e, v, "both").select("start", "end").first()) == (4.5, 11.5)
     with pytest.raises(ValueError, match="mode"):
         refine.refine(e, v, "odd")
+
+
+@pytest.mark.parametrize("width", [None, 7.0])
+def test_first_segment_of_a_point(spark, width):
+    """Overlapping, touching, equal and empty segments, points on edges, nulls and repeated rows, against a comparison with every segment."""
+    import random
+
+    rng = random.Random(11)
+    segs = [(rng.choice(["v", "w", None]), float(s), float(s + rng.choice([0, 1, 2, 5, 30]) - (rng.random() < 0.1)), f"s{k}", float(k)) for k, s in enumerate(rng.randint(-5, 60) for _ in range(80))]
+    segs += [("v", None, 3.0, "x", 0.0), ("v", 3.0, None, "x", 0.0)]
+    pts = [(k, rng.choice(["v", "w", "u", None]), rng.choice([None, float(rng.randint(-8, 95)), rng.uniform(-8, 95)])) for k in range(150)] * 2
+    s = spark.createDataFrame(segs, "video_id string, start double, end double, source_path string, source_start double").repartition(3)
+    p = spark.createDataFrame(pts, "id int, video_id string, t double").repartition(3)
+    want = []
+    for k, v, t in pts:
+        hit = min(((a, b, path, at) for u, a, b, path, at in segs if t is not None and v is not None and u == v and a is not None and b is not None and a <= t < b), default=None)
+        want.append((k, v, t, hit[2] if hit else None, round(t - hit[0] + hit[3], 9) if hit else None))
+    got = [(r.id, r.video_id, r.t, r.seg_path, None if r.seg_offset is None else round(r.seg_offset, 9)) for r in joins.point_in_interval(p, s, "video_id", "t", width).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("width", [None, 20.0])
+def test_crossings_of_random_feeds(spark, width):
+    """Each event against every crossing of its video and class."""
+    import random
+
+    rng = random.Random(12)
+    v, e = [], []
+    for name in ("a", "b", "c"):
+        for k in range(40):
+            s = float(rng.randint(0, 100))
+            v.append((name, k, s, s + rng.choice([4, 6]), rng.choice(["fire", "smoke", "normal"]), round(rng.random(), 1)))
+        for k in range(12):
+            s = rng.choice([None, float(rng.randint(-5, 110))])
+            e.append((name, rng.choice(["fire", "smoke", "flood"]), k, s, None if s is None or rng.random() < 0.1 else s + rng.choice([0, 2, 9, 30])))
+    e.append(("unseen", "fire", 0, 1.0, 2.0))
+    vd = spark.createDataFrame(v, "video_id string, seq long, start double, end double, class_name string, score double").repartition(3)
+    ev = spark.createDataFrame(e, "video_id string, class_name string, ord int, start double, end double").repartition(3)
+    got = {(r.video_id, r.ord): (r.start, r.end) for r in refine.interpolate(ev, vd, 0.5, width).collect()}
+    assert len(got) == len(e)
+    for name, c, k, s, end in e:
+        feed = sorted(((a + b) / 2, x if kind == c else 0.0) for n, _, a, b, kind, x in v if n == name)
+        rises = [(t2, t, t + (0.5 - x) / (x2 - x) * (t2 - t)) for (t, x), (t2, x2) in zip(feed, feed[1:]) if x < 0.5 <= x2]
+        falls = [(t, t2, t2 + (0.5 - x2) / (x - x2) * (t - t2)) for (t, x), (t2, x2) in zip(feed, feed[1:]) if x2 < 0.5 <= x]
+        new_s = min((r for r in rises if s is not None and r[0] >= s), default=(0, 0, s))[2]
+        new_e = max((f for f in falls if end is not None and f[0] <= end), default=(0, 0, end))[2]
+        want = (new_s, new_e) if None not in (new_s, new_e) and new_e > new_s else (s, end)
+        assert got[name, k] == pytest.approx(want)
+
+
+def test_first_event_of_a_window(spark):
+    """Several events a clip: the least ord with a common part wins, an untimed one stands for the whole clip, touching isn't a part."""
+    w = windows.sliding_windows(spark.createDataFrame([("v", 18.0), ("u", 8.0), ("n", 5.0)], "video_id string, duration double"), "duration")
+    t = spark.createDataFrame(
+        [("v", "late", 5, 2.0, 30.0), ("v", "first", 1, 4.0, 8.0), ("v", "tiny", 0, 11.0, 11.0), ("v", "b", 3, 15.9, 16.1), ("v", "a", 3, 15.0, 17.0), ("u", "whole", 2, None, None), ("u", "one", 1, 3.5, 4.0)],
+        "video_id string, class_name string, ord int, start double, end double",
+    )
+    got = {(r.video_id, r.win_ord): (r.class_name, r.score) for r in windows.oracle_verdicts(w, t).collect()}
+    assert [got["v", k][0] for k in range(5)] == ["late", "first", "late", "a", "a"]
+    assert [got["u", k][0] for k in range(2)] == ["one", "whole"] and got["n", 0] == got["n", 1] == ("normal", 0.0)
+
+
+@pytest.mark.parametrize("least", [0.1, 0.5, 0.9])
+def test_similar_pairs_are_all_found(spark, least):
+    import random
+
+    rng = random.Random(13)
+    mk = lambda n: [("v", k, s, s + rng.choice([0.0, rng.uniform(0.01, 0.3), rng.uniform(1, 4), rng.uniform(20, 90)])) for k, s in enumerate(rng.uniform(-20, 60) for _ in range(n))]
+    a, b = mk(120), mk(120)
+    left, right = spark.createDataFrame(a, "k string, a int, s double, e double"), spark.createDataFrame(b, "k string, b int, s2 double, e2 double")
+    got = sorted((r.a, r.b) for r in joins.similar_pairs(left, right, ["k"], ("s", "e"), ("s2", "e2"), least).collect())
+    iou = lambda x, y: max(0.0, min(x[3], y[3]) - max(x[2], y[2])) / ((max(x[3], y[3]) - min(x[2], y[2])) or 1)
+    assert got == sorted((x[1], y[1]) for x in a for y in b if iou(x, y) >= least and iou(x, y) > 0)
