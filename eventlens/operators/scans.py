@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def meet(df: DataFrame, book: DataFrame, keys: list[str]) -> DataFrame:
+def meet(df: DataFrame, book: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """df with the columns of book, which has one row a key; null keys meet."""
     names = {k: f"_book_{i}" for i, k in enumerate(keys)}
     book = book.withColumnsRenamed(names)
-    return df.join(book, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))).drop(*names.values())
+    return df.join(book, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items())), how).drop(*names.values())
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, how: str = "last", current: bool = True, width: float | None = None) -> DataFrame:
