@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.operators.lineage import cut
 from eventlens.operators.matching import match, tallies
+from eventlens.operators.scans import meet
 from eventlens.schema import LEVEL_WEIGHTS, OFFICIAL_TAU
 
 
@@ -169,20 +171,64 @@ def latency(df: DataFrame, keys: list[str], ms: str, digits: int = 1) -> DataFra
     )
 
 
+#: Ranges a level of counts cuts a group's values into; values left in a range, about, that are sorted.
+RANGES, CELL = 1024, 65_536
+_MOST = 1.7976931348623157e308
+
+
+def nth_values(df: DataFrame, keys: list[str], x: str, targets: DataFrame, largest: int) -> DataFrame:
+    """keys, which, value: of each group's values in ascending order the one at rank `at` (from 0); nulls and NaN aren't values.
+
+    targets: keys, which, at. largest: values of the largest group. Values are counted by ranges between the group's least and greatest; the range with the rank is
+    cut into ranges again, until some CELL values are left, whose distinct ones are counted and scanned. So what is shuffled and sorted are
+    counts, however large a group is.
+    """
+    r = df.select(*keys, F.col(x).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+    by = [*keys, "which"]
+    state = meet(targets.select(*keys, "which", F.col("at").cast("bigint").alias("_left")), r.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), keys)
+    inside = lambda: meet(r, state, keys).where("_lo <= _x and _x <= _hi")
+    half = lambda c: F.least(F.greatest(F.col(c), F.lit(-_MOST)), F.lit(_MOST)) / 2
+
+    def found(counts: DataFrame, order: str) -> DataFrame:
+        counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(order)))
+        return counts.where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("_n") <= F.col("_left")))
+
+    while largest > CELL:
+        part = F.try_divide(half("_x") - half("_lo"), half("_hi") - half("_lo"))
+        cells = inside().withColumn("_cell", F.least(F.floor(F.coalesce(part, F.lit(0.0)) * RANGES), F.lit(RANGES - 1)))
+        counts = cells.groupBy(*by, "_left", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        state = cut(found(counts, "_cell").select(*by, (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), "_lo", "_hi", "_n"))
+        largest = state.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
+        state = state.drop("_n")
+    values = inside().groupBy(*by, "_left", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    return found(values, "_x").select(*by, F.col("_x").alias("value"))
+
+
+def medians(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, median: exact, the mean of the two middle values of an even number of them; groups without a value are left out."""
+    n = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = n.agg(F.max("n")).first()[0] or 0
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    targets = n.select(*keys, F.posexplode(middle).alias("which", "at"))
+    return nth_values(df, keys, x, targets, largest).groupBy(*keys).agg(F.avg("value").alias("median"))
+
+
 def spread(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """keys, median, min, max, stdev (sample; 0 below two values)."""
-    return df.groupBy(*keys).agg(F.median(x).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev"))
+    rest = df.groupBy(*keys).agg(F.min(x).alias("min"), F.max(x).alias("max"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stdev"))
+    return meet(rest, medians(df, keys, x), keys, "left").select(*keys, "median", "min", "max", "stdev")
 
 
 def realtime(df: DataFrame, keys: list[str], x: str, stride: float) -> DataFrame:
     """keys, median, keeps_up (median within the stride), drop (share of windows to skip)."""
-    m = df.groupBy(*keys).agg(F.median(x).alias("median"))
+    m = medians(df, keys, x)
     return m.select(*keys, "median", (F.col("median") <= stride).alias("keeps_up"), F.greatest(F.lit(0.0), 1 - F.try_divide(F.lit(stride), F.col("median"))).alias("drop"))
 
 
 def aba(df: DataFrame, config: str, run: str, value: str, tolerance: float = 5.0) -> DataFrame:
     """config, a1, b, a2 (medians by pass), drift in per cent of a1 and a verdict."""
-    m = df.groupBy(config).pivot(run, ["A1", "B", "A2"]).agg(F.median(value))
+    m = medians(df.where(F.col(run).isin("A1", "B", "A2")), [config, run], value)
+    m = m.groupBy(config).pivot(run, ["A1", "B", "A2"]).agg(F.max("median"))
     drift = 100 * F.abs(F.col("A2") - F.col("A1")) / F.nullif(F.col("A1"), F.lit(0.0))
     out = m.select(config, F.col("A1").alias("a1"), F.col("B").alias("b"), F.col("A2").alias("a2"), drift.alias("drift_pct"))
     return out.withColumn("verdict", F.when(F.col("drift_pct").isNull(), "incomplete").when(F.col("drift_pct") > tolerance, "unstable").when(F.col("b") < F.least("a1", "a2"), "b faster").when(F.col("b") > F.greatest("a1", "a2"), "b slower").otherwise("within noise"))
