@@ -163,14 +163,18 @@ def aggregate_by_level(verdicts: DataFrame, meta: DataFrame, policies: DataFrame
     return aggregate(verdicts, policies.drop("level")).join(allowed, ["video_id", "policy_id"], "left_semi")
 
 
-def gate(first: DataFrame, second: DataFrame, least: float = 0.95) -> DataFrame:
-    """A positive verdict survives if the second stream's score for the same window reaches `least`; others become normal."""
-    keys = ["video_id", "start", "end"]
-    other = second.select(*keys, F.col("score").alias("_second"))
-    joined = first.join(other, keys, "left")
+def gated(joined: DataFrame, columns: list[str], least: float) -> DataFrame:
+    """Verdicts that have been met with _second, the other stream's score for their window (null: none): what doesn't reach `least` becomes normal."""
     keep = (F.col("class_name") == NORMAL) | (F.coalesce("_second", F.lit(0.0)) >= least)
     return joined.select(
-        *[c for c in first.columns if c not in ("class_name", "score")],
+        *[c for c in columns if c not in ("class_name", "score")],
         F.when(keep, F.col("class_name")).otherwise(F.lit(NORMAL)).alias("class_name"),
         F.when(keep, F.col("score")).otherwise(0.0).alias("score"),
     )
+
+
+def gate(first: DataFrame, second: DataFrame, least: float = 0.95) -> DataFrame:
+    """A positive verdict survives if the second stream's score for the same window reaches `least`; others become normal."""
+    keys = ["video_id", "start", "end"]
+    other = second.select(*keys, F.col("score").alias("_second"))
+    return gated(first.join(other, keys, "left"), first.columns, least)

@@ -582,20 +582,13 @@ def chat_targets(spark, d):
     return chats.select(key["video_id"].alias("video_id"), key["win_ord"].alias("win_ord"), F.get("messages", F.lit(2))["content"].alias("target"))
 
 
-def _stream(spark, d):
-    raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
-    h = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 3600000000.0
-    cls = F.when(F.col("event_type") == "view", "normal").otherwise(F.col("event_type"))
-    score = F.when(F.col("event_type") == "view", 0.0).otherwise(F.least(F.lit(1.0), F.col("value") / 100))
-    return raw.select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("at"), h.alias("start"), (h + 4).alias("end"), cls.alias("class_name"), score.alias("score"))
-
-
 @query(f"WITH {SQL['verdicts']}, {_EVENTS} {_OUT.replace('SELECT video_id', 'SELECT video_id::VARCHAR AS video_id')} FROM found")
 def stream_hysteresis(spark, d):
-    """The stream's events over the whole events table: those emitted and those that its state holds at the end."""
+    """The stream's events over the whole events table, whose rows come out of order: those emitted and those that its state holds at the end."""
     at = A.scratch(spark, "stream")
-    events = hysteresis.stream_events(hysteresis.explode_classes(_stream(spark, d), ["click", "error", "purchase", "signup"]), unit=3600.0)
-    hysteresis.run_available(events, f"{at}/out", f"{at}/state")
+    v = A.verdicts(spark, d).select("video_id", F.col("ts").cast("timestamp").alias("at"), "start", "end", "class_name", "score")
+    streams = hysteresis.explode_classes(A.arrivals(v, "verdicts"), ["click", "error", "purchase", "signup"])
+    hysteresis.run_available(hysteresis.stream_events(streams, watermark="7 hours", unit=3600.0), f"{at}/out", f"{at}/state")
     found = spark.read.schema(hysteresis.EVENT).parquet(f"{at}/out").unionByName(hysteresis.remaining_events(spark, f"{at}/state"))
     return found.select("video_id", "class_name", *r6("start", "end", "score"))
 
@@ -618,4 +611,4 @@ def session_counts(spark, d):
     return out.select("video_id", "class_name", F.unix_micros("session_window.start").alias("first_us"), "n", *r6("score"))
 
 
-from eventlens.plans import more  # noqa: E402, F401  (registers further queries)
+from eventlens.plans import more, streams  # noqa: E402, F401  (register further queries)

@@ -74,10 +74,12 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Window verdicts of JSON lines; missing timings count 0. seq follows file and position."""
+    """Window verdicts of JSON lines; missing timings count 0. seq orders rows by file, then by position, however files are dealt to tasks."""
     df = spark.read.schema(S.VERDICT).json(path)
+    # Within a piece of a file the running number grows with the position; pieces are told apart by file and offset.
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("row"))
     return df.select(
-        "video_id", F.monotonically_increasing_id().alias("seq"), F.col("start_time_sec").alias("start"), F.col("end_time_sec").alias("end"), "class_name", "score",
+        "video_id", seq.alias("seq"), F.col("start_time_sec").alias("start"), F.col("end_time_sec").alias("end"), "class_name", "score",
         F.coalesce("window_ms", F.lit(0.0)).alias("window_ms"), F.coalesce("n_frames", F.lit(0)).alias("n_frames"),
     )
 

@@ -1,24 +1,27 @@
-"""Hysteresis sessionisation on a stream, with state per feed and class.
+"""Hysteresis sessionisation on a stream, with typed state and event-time timers per feed and class.
 
-State holds the open span, the end of coverage and the merged event that a next span could still join. Rows of a batch are taken in
-order of start; rows behind the last one taken are late and passed over. An event is final, and emitted, once a later span cannot join
-it: when the next span begins too far on, or when the watermark is past its end by the coverage gap and the merge gap. When a
+Rows are held until the watermark has passed them, so those that arrive out of order within it are taken in order of (start, end, x); later ones are late and Spark drops them.
+Beside the held rows, state is the open span, the end of coverage and the merged event that a next span could still join. An event is final, and
+emitted, once a later span cannot join it: when the next span begins too far on, or when the watermark is past its end by the coverage gap and the merge gap. When a
 stream ends, remaining_events gives what its state still holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventlens.schema import DEFAULT_POLICY, NORMAL
 
 EVENT = "video_id string, class_name string, start double, end double, score double"
-STATE = "last double, cover double, s double, e double, m double, ps double, pe double, pm double"
+SPAN = "cover double, latest double, s double, e double, m double, ps double, pe double, pm double"
+HELD = "at bigint, start double, end double, x double"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def explode_classes(verdicts: DataFrame, classes: list[str]) -> DataFrame:
@@ -28,90 +31,160 @@ def explode_classes(verdicts: DataFrame, classes: list[str]) -> DataFrame:
     return each.select(F.col("video_id").cast("string").alias("video_id"), F.col("cls").alias("class_name"), "at", "start", "end", x.alias("x"))
 
 
-def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1.0, **policy: float) -> DataFrame:
-    """Final events of a stream (video_id, class_name, at timestamp, start, end, x); start and end in units of `unit` seconds since the epoch of at's origin."""
-    p = DEFAULT_POLICY | policy
-    hi, lo, merge, least, hole = (p[k] for k in ("theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "max_window_gap_sec"))
-    if lo > hi:
-        raise ValueError("theta_low is above theta_high")
+class Machine:
+    """One feed and class: rows in order of time to final events. (s, e, m) is the open span, (ps, pe, pm) the event a next span could join."""
+
+    def __init__(self, policy: dict[str, float], state: tuple | None = None):
+        self.p = DEFAULT_POLICY | policy
+        self.cover, self.latest, self.s, self.e, self.m, self.ps, self.pe, self.pm = state or (None,) * 8
+        self.out: list[tuple[float, float, float]] = []
+
+    def state(self) -> tuple:
+        return self.cover, self.latest, self.s, self.e, self.m, self.ps, self.pe, self.pm
+
+    def final(self) -> None:
+        if self.ps is not None and self.pe - self.ps >= self.p["min_duration_sec"]:
+            self.out.append((self.ps, self.pe, self.pm))
+        self.ps = self.pe = self.pm = None
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cover, s, e, m, ps, pe, pm = state.get if state.exists else (None,) * 8
-        out = []
-
-        def final() -> None:
-            if ps is not None and pe - ps >= least:
-                out.append((*key, ps, pe, pm))
-
-        def close() -> None:
-            nonlocal s, e, m, ps, pe, pm
-            if s is None:
-                return
-            if ps is not None and s - pe <= merge:
-                pe, pm = max(pe, e), max(pm, m)
-            else:
-                final()
-                ps, pe, pm = s, e, m
-            s = e = m = None
-
-        if state.hasTimedOut:
-            close()
-            final()
-            state.remove()
+    def close(self) -> None:
+        if self.s is None:
+            return
+        if self.ps is not None and self.s - self.pe <= self.p["merge_gap_sec"]:
+            self.pe, self.pm = max(self.pe, self.e), max(self.pm, self.m)
         else:
-            latest = None
-            rows = pd.concat(list(frames)).sort_values(["start", "end"], kind="stable")
-            for at, start, end, x in rows[["at", "start", "end", "x"]].itertuples(index=False):
-                if last is not None and start < last:
-                    continue
-                if s is not None and start - cover > hole:
-                    close()
-                if s is None and ps is not None and start - pe > merge:
-                    final()
-                    ps = pe = pm = None
-                if s is None:
-                    if x >= hi:
-                        s, e, m = start, end, x
-                elif x >= lo:
-                    e, m = max(e, end), max(m, x)
-                else:
-                    close()
-                cover = end if cover is None else max(cover, end)
-                last = start
-                latest = at
-            state.update((last, cover, s, e, m, ps, pe, pm))
-            if latest is not None:
-                wait = (cover - last + hole + merge) * unit
-                state.setTimeoutTimestamp(int((latest.timestamp() + wait) * 1000) + 1)
-        yield pd.DataFrame(out, columns=["video_id", "class_name", "start", "end", "score"])
-
-    marked = streams.withWatermark("at", watermark)
-    return marked.groupBy("video_id", "class_name").applyInPandasWithState(step, EVENT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            self.final()
+            self.ps, self.pe, self.pm = self.s, self.e, self.m
+        self.s = self.e = self.m = None
+
+    def row(self, start: float, end: float, x: float) -> None:
+        if self.s is not None and start - self.cover > self.p["max_window_gap_sec"]:
+            self.close()
+        if self.s is None and self.ps is not None and start - self.pe > self.p["merge_gap_sec"]:
+            self.final()
+        if self.s is None:
+            if x >= self.p["theta_high"]:
+                self.s, self.e, self.m = start, end, x
+        elif x >= self.p["theta_low"]:
+            self.e, self.m = max(self.e, end), max(self.m, x)
+        else:
+            self.close()
+        self.cover = end if self.cover is None else max(self.cover, end)
+        self.latest = start
+
+    def end(self) -> None:
+        self.close()
+        self.final()
+
+    def wait(self) -> float:
+        """How long after the start of the last row a later one could still join, in the units of the rows."""
+        return self.cover - self.latest + self.p["max_window_gap_sec"] + self.p["merge_gap_sec"]
+
+
+class Feed(StatefulProcessor):
+    """Holds rows until the watermark, then runs the machine. A timer stands at the first held row, or else where the pending event becomes final."""
+
+    def __init__(self, unit: float, policy: dict[str, float]):
+        self.unit, self.policy = unit, policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", SPAN)
+        self.held = handle.getListState("held", HELD)
+
+    def _advance(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        """rows: all that are held (at in microseconds); mark: the watermark in milliseconds."""
+        known = self.span.get() if self.span.exists() else None
+        machine = Machine(self.policy, tuple(known) if known is not None else None)
+        ready = sorted(r[1:] + r[:1] for r in rows if r[0] <= mark * 1000)
+        for start, end, x, _ in ready:
+            machine.row(start, end, x)
+        rest = [r for r in rows if r[0] > mark * 1000]
+        at = max((r[3] for r in ready), default=None)
+        if rest:
+            self.held.put(rest)
+            timer = -(-min(r[0] for r in rest) // 1000)
+        else:
+            self.held.clear()
+            # With nothing held the key waits until no later row could join; when that time has come, nothing of it is left.
+            timer = int(at / 1000 + machine.wait() * self.unit * 1000) + 1 if ready else None
+        if rows:
+            self.span.update(machine.state())
+        else:
+            machine.end()
+            self.span.clear()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if timer is not None:
+            self.handle.registerTimer(max(timer, mark + 1))
+        if machine.out:
+            yield pd.DataFrame([(*key, *o) for o in machine.out], columns=["video_id", "class_name", "start", "end", "score"])
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = [(int(at.value // 1000), float(s), float(e), float(x)) for frame in rows for at, s, e, x in frame[["at", "start", "end", "x"]].itertuples(index=False)]
+        yield from self._advance(key, [tuple(r) for r in self.held.get()] + new, timerValues.getCurrentWatermarkInMs())
 
-def remaining_events(spark: SparkSession, checkpoint: str, **policy: float) -> DataFrame:
-    """The events that a stopped stream's state still holds: with those emitted, the events of all rows read so far.
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, [tuple(r) for r in self.held.get()], timerValues.getCurrentWatermarkInMs())
 
-    The state is read as a table from the query's checkpoint; a span that is open ends where coverage ends.
+    def close(self) -> None:
+        pass
+
+
+def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1.0, **policy: float) -> DataFrame:
+    """Final events of a stream (video_id, class_name, at timestamp, start, end, x); start and end in units of `unit` seconds since the epoch of at's origin.
+
+    Run it by run_available, or start it within keyed_state(): its state needs the RocksDB store.
     """
     p = DEFAULT_POLICY | policy
-    state = spark.read.format("statestore").load(checkpoint)
-    rows = state.select("key.video_id", "key.class_name", "value.groupState.*")
-    joins = F.col("s").isNotNull() & F.col("ps").isNotNull() & (F.col("s") - F.col("pe") <= p["merge_gap_sec"])
+    if p["theta_low"] > p["theta_high"]:
+        raise ValueError("theta_low is above theta_high")
+    marked = streams.where(F.col("at").isNotNull()).withWatermark("at", watermark)
+    return marked.groupBy("video_id", "class_name").transformWithStateInPandas(Feed(unit, policy), EVENT, "append", "EventTime")
 
-    def event(start: Column, end: Column, score: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), score.alias("score"))
 
-    old, new = event(F.col("ps"), F.col("pe"), F.col("pm")), event(F.col("s"), F.col("e"), F.col("m"))
-    both = event(F.col("ps"), F.greatest("pe", "e"), F.greatest("pm", "m"))
-    each = F.when(joins, F.array(both)).otherwise(F.array(old, new))
-    found = rows.select("video_id", "class_name", F.explode(each).alias("x")).select("video_id", "class_name", "x.*")
-    return found.where(F.col("start").isNotNull() & (F.col("end") - F.col("start") >= p["min_duration_sec"]))
+def remaining_events(spark: SparkSession, checkpoint: str, **policy: float) -> DataFrame:
+    """The events that a stopped stream's state still holds: with those emitted, the events of all rows read so far.
+
+    The state is read as tables from the query's checkpoint: the machine goes on from each key's span over its held rows, of which a key has no more than the
+    watermark's delay allows.
+    """
+    read = lambda name, **more: spark.read.format("statestore").option("stateVarName", name).options(**more).load(checkpoint)
+    keys = [F.col("key.video_id").alias("video_id"), F.col("key.class_name").alias("class_name")]
+    span = read("span").select(*keys, F.struct("value.*").alias("span"))
+    held = read("held", flattenCollectionTypes="true").select(*keys, F.col("list_element").alias("row"))
+    rows = span.select("video_id", "class_name", "span", F.lit(None).cast(held.schema["row"].dataType).alias("row")).unionByName(held.withColumn("span", F.lit(None).cast(span.schema["span"].dataType)))
+
+    def finish(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        known = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in frame["span"] if s is not None]
+        machine = Machine(policy, tuple(None if v is None or v != v else v for v in known[0]) if known else None)
+        for r in sorted((r["start"], r["end"], r["x"]) if isinstance(r, dict) else (r.start, r.end, r.x) for r in frame["row"] if r is not None):
+            machine.row(*r)
+        machine.end()
+        return pd.DataFrame([(*key, *o) for o in machine.out], columns=["video_id", "class_name", "start", "end", "score"])
+
+    return rows.groupBy("video_id", "class_name").applyInPandas(finish, EVENT)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which typed state needs."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, old)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Runs what is there to the end, into parquet."""
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def windowed_counts(verdicts: DataFrame, window: str = "32 seconds", slide: str = "8 seconds", watermark: str = "1 minute") -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources and sinks on written files, the stream against the batch, and the registered queries."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from eventlens.operators import sessions
 from eventlens.sources import readers, writers
-from eventlens.streaming import hysteresis
+from eventlens.streaming import feeds, hysteresis, sinks
 
 GT = "video_id,is_anomaly,class_name,start_time_sec,end_time_sec,description_summary"
 
@@ -81,33 +82,120 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.parquet(str(tmp_path / "p")).count() == spark.read.text(str(tmp_path / "c")).count() == 1
 
 
-def test_stream_is_the_batch(spark, tmp_path):
-    import random
+KIND = "video_id string, start double, end double, class_name string, score double"
 
-    rng = random.Random(4)
+
+def feed_rows(seed, videos, n):
+    rng = random.Random(seed)
     rows = []
-    for v in range(6):
+    for v in range(videos):
         t = 0.0
-        for _ in range(40):
+        for _ in range(n):
             t += rng.choice([2, 4, 4, 9, 14])
-            rows.append((f"v{v}", t, t + 4, rng.choice(["fire", "smoke", "normal"]), round(rng.random(), 2)))
-    kind = "video_id string, start double, end double, class_name string, score double"
-    at = F.timestamp_millis((F.col("start") * 1000).cast("long"))
-    first = spark.createDataFrame(rows, kind).withColumn("at", at)
-    first.where("start < 60").coalesce(1).write.parquet(str(tmp_path / "in/a"))
-    first.where("start >= 60").coalesce(1).write.parquet(str(tmp_path / "in/b"))
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    events = hysteresis.stream_events(hysteresis.explode_classes(stream, ["fire", "smoke"]), watermark="1 second")
+            rows.append((f"v{v}", t, t + rng.choice([4, 4, 20]), rng.choice(["fire", "smoke", "normal"]), round(rng.random(), 2)))
+    return rows
+
+
+def put_in_steps(spark, df, at, steps):
+    """Writes the rows of each step (a predicate) as files of their own, in order."""
+    for k, where in enumerate(steps):
+        df.where(where).orderBy(F.rand(k)).coalesce(1).write.parquet(f"{at}/step={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/step=*")
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("video_id", "class_name", "start", "end", "score").collect())
+
+
+def test_stream_is_the_batch_whatever_the_order(spark, tmp_path):
+    """Rows up to 100 seconds out of order, within the watermark: the events are the batch's. A row behind the watermark has no effect."""
+    rng = random.Random(4)
+    rows = [(*r, r[1] + rng.uniform(0, 100)) for r in feed_rows(4, 6, 40)]
+    df = spark.createDataFrame(rows, KIND + ", come double").withColumn("at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
+    late = df.where("video_id = 'v0'").limit(1).withColumn("class_name", F.lit("fire")).withColumn("score", F.lit(1.0)).withColumn("come", F.lit(1e6))
+    stream = put_in_steps(spark, df.unionByName(late), str(tmp_path / "in"), ["come < 80", "come between 80 and 200", "come > 200 and come < 1e5", "come > 1e5"])
+    events = hysteresis.stream_events(hysteresis.explode_classes(stream, ["fire", "smoke"]), watermark="101 seconds")
     hysteresis.run_available(events, str(tmp_path / "out"), str(tmp_path / "state"))
     emitted = spark.read.parquet(str(tmp_path / "out"))
     held = hysteresis.remaining_events(spark, str(tmp_path / "state"))
     assert emitted.count() > 0 and held.count() > 0
-    got = sorted(tuple(r) for r in emitted.unionByName(held).select("video_id", "class_name", "start", "end", "score").collect())
-    batch = sessions.aggregate_one(first.withColumn("seq", F.monotonically_increasing_id()))
-    assert got == sorted(tuple(r) for r in batch.select("video_id", "class_name", "start", "end", "score").collect())
-
-
-@pytest.mark.parametrize("name", ["multi_class_aggregate", "greedy_match_general", "overall_score", "label_windows", "stream_hysteresis", "sweep_overall_topk", "timelines_round_trip", "frame_plan", "submission_validate", "latency_summary"])
+    batch = sessions.aggregate_one(df.withColumn("seq", F.monotonically_increasing_id()))
+    assert rows_of(emitted.unionByName(held)) == rows_of(batch)
+
+
+@pytest.mark.parametrize("policy", [{"merge_gap_sec": 0.0, "min_duration_sec": 5.0}, {"merge_gap_sec": 8.0, "theta_low": 0.2}])
+def test_machine_is_the_batch(spark, policy):
+    """The stream's state machine, handed its state again after every row, against the batch operator."""
+    rows = feed_rows(7, 5, 60)
+    got = []
+    for v in {r[0] for r in rows}:
+        for c in ("fire", "smoke"):
+            state, out = None, []
+            for _, s, e, kind, x in sorted(r for r in rows if r[0] == v):
+                machine = hysteresis.Machine(policy, state)
+                machine.row(s, e, x if kind == c else 0.0)
+                out += machine.out
+                state = machine.state()
+            machine.out = []
+            machine.end()
+            got += [(v, c, *o) for o in out + machine.out]
+    batch = sessions.aggregate_one(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], KIND + ", seq long"), **policy)
+    assert sorted(got) == rows_of(batch)
+
+
+def test_gate_stream(spark, tmp_path):
+    """Partners before and after their verdict, none, one told too late, and one of another window."""
+    def ts(x):
+        return F.timestamp_seconds(x + 1000)
+
+    first = spark.createDataFrame([("v", k, 4.0 * k, 4.0 * k + 4, "fire" if k % 4 else "normal", 0.8) for k in range(40)] + [("end", 99, 0.0, 0.0, "normal", 0.0)], "video_id string, seq long, start double, end double, class_name string, score double")
+    first = first.withColumn("at", F.when(F.col("video_id") == "end", ts(F.lit(100_000))).otherwise(ts(F.col("start"))))
+    second = spark.createDataFrame([("v", 4.0 * k, 4.0 * k + (5 if k == 9 else 4), 0.99 if k % 3 else 0.5, 4.0 * k + (50 if k == 13 else (-5, 0, 5)[k % 3])) for k in range(35)] + [("end", 0.0, 0.0, 1.0, 100_000.0)], "video_id string, start double, end double, score double, t double")
+    second = second.withColumn("at", ts(F.col("t"))).drop("t")
+    steps = ["start < 60 and video_id <> 'end'", "start >= 60", "video_id = 'end'"]
+    out = feeds.gate(put_in_steps(spark, first, str(tmp_path / "a"), steps), put_in_steps(spark, second, str(tmp_path / "b"), steps), watermark="2 minutes", apart="10 seconds")
+    hysteresis.run_available(out, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.seq: (r.class_name, r.score) for r in spark.read.parquet(str(tmp_path / "out")).where("video_id = 'v'").collect()}
+    assert got == {k: ("fire", 0.8) if k % 4 and k % 3 and k < 35 and k not in (9, 13) else ("normal", 0.8 if k % 4 == 0 else 0.0) for k in range(40)}
+
+
+def test_merged_stream(spark, tmp_path):
+    """Sessions with a dynamic gap: a gap of just merge_gap joins, a longer one doesn't, a long span reaches over short ones."""
+    spans = [("v", "fire", s, e, x) for s, e, x in [(0, 4, 0.5), (9, 12, 0.9), (17.5, 18, 0.6), (30, 60, 0.7), (32, 33, 0.8), (65, 66, 0.4), (71.001, 72, 0.3)]] + [("v", "smoke", 1, 2, 0.5), ("end", "x", 10_000, 10_001, 0.0)]
+    df = spark.createDataFrame([tuple(float(c) if isinstance(c, int) else c for c in r) for r in spans], "video_id string, class_name string, start double, end double, score double")
+    df = df.withColumn("at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
+    want = [("v", "fire", 0.0, 12.0, 0.9), ("v", "fire", 17.5, 18.0, 0.6), ("v", "fire", 30.0, 66.0, 0.8), ("v", "fire", 71.001, 72.0, 0.3), ("v", "smoke", 1.0, 2.0, 0.5)]
+    assert rows_of(feeds.merged(df.where("video_id = 'v'"), 5.0)) == want
+    stream = put_in_steps(spark, df, str(tmp_path / "in"), ["start > 20 and start < 1000 or start < 1", "start between 1 and 20", "start > 1000"])
+    hysteresis.run_available(feeds.merged(stream, 5.0, watermark="3 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "out")).where("video_id = 'v'")) == want
+
+
+def test_sinks_after_a_forced_stop(spark, tmp_path):
+    """The second batch fails after its first table is written; the rerun leaves every row once in both tables."""
+    df = spark.createDataFrame(feed_rows(5, 3, 20), KIND).withColumn("at", F.timestamp_millis((F.col("start") * 1000).cast("long")))
+    stream = put_in_steps(spark, df, str(tmp_path / "in"), ["start < 60", "start between 60 and 100", "start > 100"])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    broken = [True]
+
+    def lines(batch, path):
+        if broken[0] and path.endswith("batch=1"):
+            broken[0] = False
+            batch.drop("at").limit(1).write.mode("overwrite").parquet(path + "/part")
+            raise RuntimeError("stopped by force")
+        writers.json_lines(batch.drop("at"), path)
+
+    tables = {"events": lambda b, path: writers.events_csv(b, path), "lines": lines}
+    with pytest.raises(Exception, match="forc"):
+        sinks.start(stream, out, state, tables).awaitTermination()
+    assert len(sinks.batches(spark, out, "events")) == 2 and len(sinks.batches(spark, out, "lines")) == 1
+    sinks.start(stream, out, state, tables).awaitTermination()
+    for name, read in (("events", lambda p: spark.read.option("header", True).csv(p)), ("lines", spark.read.json)):
+        folders = sinks.batches(spark, out, name)
+        assert [f.rsplit("=", 1)[1] for f in folders] == ["0", "1", "2"] and read(folders).count() == df.count()
+
+
+@pytest.mark.parametrize("name", ["multi_class_aggregate", "greedy_match_general", "overall_score", "label_windows", "stream_hysteresis", "sweep_overall_topk", "timelines_round_trip", "frame_plan", "submission_validate", "latency_summary", "stream_gate", "stream_merge", "stream_grid", "stream_tables"])
 def test_registered(spark, sf, name):
     from eventlens.plans.catalogue import QUERIES
 
