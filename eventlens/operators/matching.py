@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.intervals import iou, timed
 from eventlens.operators.joins import similar_pairs
 from eventlens.operators.lineage import cut
+from eventlens.operators.scans import meet
 
 KEYS = ["video_id", "class_name"]
 #: Rows of an island that is folded at most.
@@ -62,12 +63,12 @@ def _tagged(rows: DataFrame, official: bool, whole: bool, sized: bool) -> DataFr
         t = t.withColumn("island", F.when(F.col("_mixed"), 0).when(F.col("_timed"), F.col("_island")).otherwise(F.col("_piece")))
     if sized:
         t = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "island")))
-    return t.select(*_ROW, "island", "spare", *(["n"] if sized else []))
+    return t.select(*rows.columns, "island", "spare", *(["n"] if sized else []))
 
 
 def _packed(tagged: DataFrame) -> DataFrame:
     """KEYS, island, spare, ps (predictions by falling score), gs (true events by ord): one row an island."""
-    p = F.when(F.col("is_p"), F.struct("neg", F.col("ord").alias("pid"), "s", "e"))
+    p = F.when(F.col("is_p"), F.struct("neg", F.col("ord").alias("pid"), "s", "e", *(["len"] if "len" in tagged.columns else [])))
     g = F.when(~F.col("is_p"), F.struct(F.col("ord").alias("gid"), "s", "e"))
     return tagged.groupBy(*KEYS, "island").agg(F.any_value("spare").alias("spare"), F.array_sort(F.collect_list(p)).alias("ps"), F.array_sort(F.collect_list(g)).alias("gs"))
 
@@ -104,9 +105,9 @@ def _folded(tau: float, official: bool) -> Column:
     return F.when((F.col("island") >= 0) & (F.size("ps") > 0) & (F.size("gs") > 0), folded).otherwise(apart)
 
 
-def _hot(rows: DataFrame) -> bool:
+def _hot(rows: DataFrame, fold: int) -> bool:
     """Whether any video and class has more rows than an island may: counts only, added up before the shuffle."""
-    return not rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLD).isEmpty()
+    return not rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).isEmpty()
 
 
 def _settled(rows: DataFrame, tau: float) -> DataFrame:
@@ -135,12 +136,13 @@ def _settled(rows: DataFrame, tau: float) -> DataFrame:
         rows = rest.select(*_ROW).join(alive, [*KEYS, "is_p", "ord"], "left_semi")
 
 
-def _split(rows: DataFrame, official: bool, whole: bool) -> tuple[DataFrame, DataFrame | None]:
-    """The tagged rows that are folded and, if there are any, those of larger islands."""
-    if not _hot(rows):
+def _split(rows: DataFrame, official: bool, whole: bool, fold: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The tagged rows that are folded and, if there are any, those of larger islands (of more than `fold` rows, FOLD by default)."""
+    fold = fold or FOLD
+    if not _hot(rows, fold):
         return _tagged(rows, official, whole, False), None
     t = _tagged(rows, official, whole, True)
-    large = (F.col("island") > 0) & (F.col("n") > FOLD)
+    large = (F.col("island") > 0) & (F.col("n") > fold)
     return t.where(~large).drop("n"), cut(t.where(large).drop("n"))
 
 
@@ -204,6 +206,50 @@ def tallies(truth: DataFrame, preds: DataFrame, taus: list[float]) -> DataFrame:
     return total.select(*KEYS, "tau", tp.alias("tp"), (F.col("n_p") - tp).alias("fp"), (F.col("n_g") - tp).alias("fn"), "timed", "iou")
 
 
+def by_policy(truth: DataFrame, found: DataFrame, policies: DataFrame, tau: float, official: bool) -> DataFrame:
+    """policy_id, video_id, class_name, n (its events), tp, iou of policies that have events there; general or official rules.
+
+    found: KEYS, combo, start, end, score, len; all timed. policies: policy_id, combo, least: a policy's events are those of its combo that have a len of
+    `least` or more. Equal scores go in order of time. The truth is packed once an island, and every policy is a fold over the events that are its own; islands too large to
+    fold are matched policy by policy in rounds.
+    """
+    own = policies.select("policy_id", "combo", "least").collect()
+    p = found.select(*KEYS, F.lit(True).alias("is_p"), F.col("combo").cast("bigint").alias("ord"), F.col("start").alias("s"), F.col("end").alias("e"), (-F.col("score")).alias("neg"), "len")
+    g = truth.select(*KEYS, F.lit(False).alias("is_p"), F.col("ord").cast("bigint").alias("ord"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"))
+    rows = p.unionByName(g, allowMissingColumns=True)
+    small, large = _split(rows, official, False, FOLD * max(1, len({r.combo for r in own})))
+    asked = policies.groupBy("combo").agg(F.collect_list(F.struct("policy_id", F.col("least").cast("double").alias("least"))).alias("l"))
+    asked = asked.agg(F.map_from_entries(F.collect_list(F.struct(F.col("combo").cast("bigint").alias("combo"), "l"))).alias("_q"))
+    islands = _packed(small)
+    untimed = islands.where("island < 0").groupBy(*KEYS).agg(F.sum(F.size("gs")).alias("untimed")).where("untimed > 0")
+    # An island's events by combo, then by policy; the truth stays where it is.
+    each = islands.select(*KEYS, "island", "gs", "ps", F.explode(F.array_distinct(F.transform("ps", lambda e: e["pid"]))).alias("combo"))
+    each = each.select(*KEYS, "island", "gs", F.filter("ps", lambda e: e["pid"] == F.col("combo")).alias("ps"), "combo").crossJoin(F.broadcast(asked))
+    each = each.select(*KEYS, "island", "gs", "ps", F.explode(F.element_at("_q", F.col("combo"))).alias("q"))
+    each = each.select(*KEYS, "island", "gs", F.col("q.policy_id").alias("policy_id"), F.filter("ps", lambda e: e["len"] >= F.col("q.least")).alias("ps")).where(F.size("ps") > 0)
+    each = each.select(*KEYS, "policy_id", F.size("ps").alias("n"), _folded(tau, official).alias("f"))
+    each = each.select(*KEYS, "policy_id", "n", F.size("f.found").alias("tp"), F.aggregate("f.found", F.lit(0.0), lambda a, m: a + m["iou"]).alias("iou"), F.size("f.rest").alias("left"))
+    if large is not None:
+        mine = policies.select("policy_id", F.col("combo").cast("bigint").alias("ord"), "least")
+        key = F.concat_ws("/", "policy_id", "video_id").alias("video_id")
+        lp = large.where("is_p").join(F.broadcast(mine), "ord").where(F.col("len") >= F.col("least"))
+        n = lp.groupBy("policy_id", *KEYS).agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("policy_id", *KEYS).orderBy("s", "e", "neg")
+        lp = lp.withColumn("ord", F.row_number().over(order).cast("bigint")).select("policy_id", *_ROW)
+        lg = large.where("not is_p").join(n.select("policy_id", *KEYS), KEYS).select("policy_id", *_ROW)
+        both = lp.unionByName(lg).select(F.col("policy_id"), F.col("video_id").alias("v"), key, *_ROW[1:])
+        names = cut(both.select("policy_id", "v", "video_id").distinct())
+        hits = _settled(both.select(*_ROW), tau).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou")).join(names, "video_id")
+        hits = hits.select("policy_id", F.col("v").alias("video_id"), "class_name", "tp", "iou")
+        more = n.join(hits, ["policy_id", *KEYS], "left").na.fill(0, ["tp"]).na.fill(0.0, ["iou"])
+        each = each.unionByName(more.select(*KEYS, "policy_id", "n", "tp", "iou", (F.col("n") - F.col("tp")).alias("left")))
+    total = each.groupBy("policy_id", *KEYS).agg(*(F.sum(c).alias(c) for c in ("n", "tp", "iou", "left")))
+    if official:
+        return total.drop("left")
+    # Untimed true events go to what is left, one each.
+    return meet(total, untimed, KEYS, "left").withColumn("tp", F.col("tp") + F.least("left", F.coalesce("untimed", F.lit(0)))).drop("left", "untimed")
+
+
 def outcomes(truth: DataFrame, preds: DataFrame, pairs: DataFrame) -> DataFrame:
     """outcome (tp, fp, fn), video_id, class_name, pred_ord, gt_ord, iou of every event of both sides."""
     tp = pairs.select(F.lit("tp").alias("outcome"), *KEYS, "pred_ord", "gt_ord", "iou")

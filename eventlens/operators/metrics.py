@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.operators.lineage import cut
-from eventlens.operators.matching import match, tallies
+from eventlens.operators.matching import by_policy, match, tallies
 from eventlens.operators.scans import meet
 from eventlens.schema import LEVEL_WEIGHTS, OFFICIAL_TAU
 
@@ -111,21 +111,33 @@ def overall(meta: DataFrame, truth: DataFrame, preds: DataFrame) -> DataFrame:
     return packed.select(F.explode(F.concat("l", F.array(total))).alias("x")).select("x.*")
 
 
-def overall_by_policy(meta: DataFrame, truth: DataFrame, preds: DataFrame, policies: DataFrame) -> DataFrame:
-    """policy_id, level1, level2, level3 (null without videos), overall of predictions with a policy_id, all policies in one plan."""
+def overall_by_policy(meta: DataFrame, truth: DataFrame, found: DataFrame, policies: DataFrame, weights: list[tuple] = LEVEL_WEIGHTS, tau: float = OFFICIAL_TAU) -> DataFrame:
+    """policy_id, level1, level2, level3 (null without videos), overall of the events of many policies (see matching.by_policy), all in one plan.
+
+    Only videos where a policy has events get a row for it. The others' scores are known without one: 1 where nothing happens, 0 elsewhere, so they are counted.
+    """
     ids = policies.select("policy_id")
-    key = F.concat_ws("/", "policy_id", "video_id")
-    of = F.split("video_id", "/")[0].cast("int").alias("policy_id")
-    m = meta.select("video_id", "level").crossJoin(F.broadcast(ids)).select(key.alias("video_id"), "level")
-    t = truth.crossJoin(F.broadcast(ids)).withColumn("video_id", key)
-    p = preds.withColumn("video_id", key)
-    anomalous = F.size("gt") > 0
-    agree, hit = anomalous == (F.size("pred") > 0), F.arrays_overlap("gt", "pred")
-    one = class_sets(m.where("level = 1"), t, p).groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.count_if(agree).alias("b"), F.count_if(anomalous).alias("t"), F.count_if(anomalous & hit).alias("c"))
-    one = one.select("policy_id", F.lit(1).alias("level"), (0.5 * ratio(F.col("b"), F.col("n")) + 0.5 * ratio(F.col("c"), F.col("t"))).alias("score"))
-    rest = level23(m, t, p).groupBy(of, F.col("level").cast("int").alias("level")).agg(F.avg("score").alias("score"))
-    levels = one.unionByName(rest).groupBy("policy_id").agg(*(F.max(F.when(F.col("level") == k, F.col("score"))).alias(f"level{k}") for k in (1, 2, 3)), F.avg("score").alias("overall"))
-    return ids.join(levels, "policy_id", "left").na.fill(0.0, ["overall"])
+    per_class = by_policy(truth, found, policies, tau, True)
+    true = truth.groupBy("video_id", "class_name").agg(F.count(F.lit(1)).alias("g"))
+    hit = F.max((F.col("g") > 0).cast("int"))
+    each = per_class.join(true, ["video_id", "class_name"], "left").groupBy("policy_id", "video_id").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.sum("iou").alias("iou"), F.coalesce(hit, F.lit(0)).alias("hit"))
+    videos = meta.select("video_id", F.col("level").cast("int").alias("level")).where(F.col("level").isin(1, *(w[0] for w in weights)))
+    videos = videos.join(true.groupBy("video_id").agg(F.sum("g").alias("g")), "video_id", "left").na.fill(0, ["g"])
+    v = each.join(videos, "video_id")
+    pr, rc = ratio(F.col("tp"), F.col("n")), ratio(F.col("tp"), F.col("g"))
+    f1, timing = ratio(2 * pr * rc, pr + rc), ratio(F.col("iou"), F.col("tp"))
+    score = F.lit(None).cast("double")
+    for level, alert, matched, weight in weights:
+        score = F.when(F.col("level") == level, alert + matched * f1 + weight * timing).otherwise(score)
+    quiet = F.col("g") == 0
+    sums = v.groupBy("policy_id", "level").agg(F.sum(F.when(quiet, 0.0).otherwise(score)).alias("sum"), F.count_if(quiet).alias("alarms"), F.count_if(~quiet).alias("seen"), F.sum("hit").alias("hits"))
+    levels = videos.groupBy("level").agg(F.count(F.lit(1)).alias("videos"), F.count_if(quiet).alias("quiet"), F.count_if(~quiet).alias("events"))
+    j = ids.crossJoin(F.broadcast(levels)).join(F.broadcast(sums), ["policy_id", "level"], "left").na.fill(0, ["alarms", "seen", "hits"]).na.fill(0.0, ["sum"])
+    agree = F.col("seen") + F.col("quiet") - F.col("alarms")
+    one = 0.5 * ratio(agree, F.col("videos")) + 0.5 * ratio(F.col("hits"), F.col("events"))
+    j = j.withColumn("score", F.when(F.col("level") == 1, one).otherwise(ratio(F.col("sum") + F.col("quiet") - F.col("alarms"), F.col("videos"))))
+    out = j.groupBy("policy_id").agg(*(F.max(F.when(F.col("level") == k, F.col("score"))).alias(f"level{k}") for k in (1, 2, 3)), F.avg("score").alias("overall"))
+    return ids.join(out, "policy_id", "left").na.fill(0.0, ["overall"])
 
 
 def latency_bonus(calls: DataFrame, videos: DataFrame) -> DataFrame:

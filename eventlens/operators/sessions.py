@@ -74,6 +74,62 @@ def merge(found: DataFrame, keys: list[str]) -> DataFrame:
     return out.where(F.col("end") - F.col("start") >= F.col("min_duration_sec")).select(*keys, "start", "end", "score")
 
 
+#: Pairs of thresholds that share one scan.
+PAIRS = 12
+
+
+def spans_of_pairs(streams: DataFrame, keys: list[str], pairs: list[tuple[float, float, float]]) -> DataFrame:
+    """keys, pair (its number), span, start, end, score of streams under many (theta_high, theta_low, max_window_gap_sec).
+
+    As spans, but a feed is sorted once for PAIRS pairs: each has its own running state over the one order, and only rows of open spans go on.
+    """
+    order = Window.partitionBy(*keys).orderBy("start", "seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = None
+    for first in range(0, len(pairs), PAIRS):
+        some = list(enumerate(pairs))[first : first + PAIRS]
+        s = streams.withColumn("_gap", F.col("start") - F.max("end").over(before))
+        hole = {k: F.coalesce(F.col("_gap") > gap, F.lit(False)) for k, (_, _, gap) in some}
+        signal = {k: F.when(F.col("x") >= hi, 1).when(F.col("x") < lo, 0) for k, (hi, lo, _) in some}
+        s = s.withColumns({f"_signal{k}": F.when(hole[k], F.coalesce(signal[k], F.lit(0))).otherwise(signal[k]) for k, _ in some})
+        s = s.withColumns({f"_on{k}": F.coalesce(F.last(f"_signal{k}", ignorenulls=True).over(upto), F.lit(0)) for k, _ in some})
+        s = s.withColumns({f"_was{k}": F.coalesce(F.lag(f"_on{k}").over(order), F.lit(0)) for k, _ in some})
+        rise = {k: F.when((F.col(f"_on{k}") == 1) & ((F.col(f"_was{k}") == 0) | hole[k]), 1).otherwise(0) for k, _ in some}
+        s = s.withColumns({f"_span{k}": F.sum(rise[k]).over(upto) for k, _ in some})
+        inside = F.filter(F.array(*(F.when(F.col(f"_on{k}") == 1, F.struct(F.lit(k).alias("pair"), F.col(f"_span{k}").alias("span"))) for k, _ in some)), lambda x: x.isNotNull())
+        rows = s.select(*keys, "start", "end", "x", F.explode(inside).alias("p")).select(*keys, "p.pair", "p.span", "start", "end", "x")
+        found = rows.groupBy(*keys, "pair", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("x").alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def combinations(verdicts: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """video_id, class_name, combo, start, end, score, len of events, one combo for each pair of thresholds and merge gap; and the policies with combo and least.
+
+    One sort of a pair's spans gives the gap before each of them, and every merge gap is a cut of that order: a span begins an event where its gap is
+    larger. A least duration only leaves out events, so policies that differ in it share them (len).
+    """
+    few(policies)
+    rows = policies.select("policy_id", "theta_high", "theta_low", "max_window_gap_sec", "merge_gap_sec", "min_duration_sec").collect()
+    pairs = sorted({(r.theta_high, r.theta_low, r.max_window_gap_sec) for r in rows})
+    combos = sorted({(pairs.index((r.theta_high, r.theta_low, r.max_window_gap_sec)), r.merge_gap_sec) for r in rows})
+    each = [(r.policy_id, combos.index((pairs.index((r.theta_high, r.theta_low, r.max_window_gap_sec)), r.merge_gap_sec)), float(r.min_duration_sec)) for r in rows]
+    spark, keys = verdicts.sparkSession, ["video_id", "class_name", "pair"]
+    asked = spark.createDataFrame(each, "policy_id int, combo int, least double")
+    found = spans_of_pairs(candidate_streams(verdicts), keys[:2], pairs)
+    order = Window.partitionBy(*keys).orderBy("start", "span")
+    gaps = found.withColumn("_gap", F.col("start") - F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    sizes = sorted({g for _, g in combos})
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gaps = gaps.withColumns({f"_cut{k}": F.sum(F.coalesce(F.col("_gap") > g, F.lit(True)).cast("int")).over(upto) for k, g in enumerate(sizes)})
+    number = spark.createDataFrame([(p, sizes.index(g), k) for k, (p, g) in enumerate(combos)], "pair int, size int, combo int")
+    parts = F.array(*(F.struct(F.lit(k).alias("size"), F.col(f"_cut{k}").alias("event")) for k in range(len(sizes))))
+    rows = gaps.select(*keys, "start", "end", "score", F.explode(parts).alias("c")).select(*keys, "c.size", "c.event", "start", "end", "score")
+    events = rows.join(F.broadcast(number), ["pair", "size"]).groupBy("video_id", "class_name", "combo", "event").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"))
+    return events.drop("event").withColumn("len", F.col("end") - F.col("start")), asked
+
+
 def aggregate(verdicts: DataFrame, policies: DataFrame, chunk_sec: float | None = None) -> DataFrame:
     """policy_id, video_id, class_name, start, end, score for every policy at once; chunk_sec: for feeds too long for one task (hot_spans).
 

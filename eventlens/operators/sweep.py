@@ -6,12 +6,12 @@ import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from eventlens.operators import metrics
-from eventlens.operators.matching import match
+from eventlens.operators.lineage import cut
+from eventlens.operators.matching import by_policy
 from eventlens.operators.refine import refine_by_level
-from eventlens.operators.sessions import aggregate, few
+from eventlens.operators.sessions import combinations
 from eventlens.schema import DEFAULT_POLICY, POLICY
 
 #: The grid of a sweep.
@@ -27,35 +27,28 @@ def grid(spark: SparkSession, high: list[float] = HIGH, low: list[float] = LOW,
 def sweep(verdicts: DataFrame, truth: DataFrame, policies: DataFrame, tau: float = 0.1, top: int = 12) -> DataFrame:
     """The best policies by F1, precision, recall, then number of events and parameters (all descending).
 
-    Verdicts are scanned once for all policies. Matching treats (policy, video) as the video, so all policies are matched in one job;
-    equal scores go in order of time.
+    Verdicts are sorted once for all policies, and the truth is met once: policies that share thresholds and merge gap share their events, and every policy is a
+    fold over its own part of them.
     """
-    found = aggregate(verdicts, policies)
-    key = F.concat_ws("/", "policy_id", "video_id")
-    preds = found.select(key.alias("video_id"), "class_name", "start", "end", "score")
-    preds = preds.withColumn("ord", F.row_number().over(Window.partitionBy("video_id", "class_name").orderBy("start", "end")))
-    t = truth.crossJoin(few(policies.select("policy_id"))).withColumn("video_id", key)
-    pairs = match(t, preds, tau).groupBy(F.split("video_id", "/")[0].cast("int").alias("policy_id")).agg(F.count(F.lit(1)).alias("tp"))
-    n = found.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n_events"))
+    found, asked = combinations(verdicts, policies)
+    found = cut(found)
+    counts = by_policy(truth, found, asked, tau, False).groupBy("policy_id").agg(F.sum("n").cast("bigint").alias("n_events"), F.sum("tp").cast("bigint").alias("tp"))
     gt = truth.agg(F.count(F.lit(1)).alias("n_gt"))
-    j = policies.join(n, "policy_id", "left").join(pairs, "policy_id", "left").na.fill(0, ["n_events", "tp"]).crossJoin(F.broadcast(gt))
+    j = policies.join(F.broadcast(counts), "policy_id", "left").na.fill(0, ["n_events", "tp"]).crossJoin(F.broadcast(gt))
     tp = F.col("tp")
     scored = j.select("policy_id", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "n_events", "tp", *metrics.prf(tp, F.col("n_events") - tp, F.col("n_gt") - tp))
     order = [F.desc(c) for c in ("f1", "precision", "recall", "n_events", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec")]
     return scored.orderBy(*order).limit(top)
 
 
-def sweep_overall(verdicts: DataFrame, truth: DataFrame, meta: DataFrame, policies: DataFrame, refine: str = "midpoint", window: float = 4.0, top: int = 10) -> DataFrame:
+def sweep_overall(verdicts: DataFrame, truth: DataFrame, meta: DataFrame, policies: DataFrame, refine: str = "midpoint", window: float = 4.0, top: int = 10, threshold: float = 0.5) -> DataFrame:
     """The best policies by overall score: policy_id, its parameters, level1, level2, level3, overall.
 
-    Events of levels 2 and up are refined before they are scored. Interpolation works on a video's verdicts whatever the policy, so
-    modes other than none and midpoint aren't offered here. Equal scores go in order of policy_id.
+    Events of levels 2 and up are refined (any mode of refine.refine) before they are scored, after the least duration has left out short ones. Interpolation
+    reads a video's verdicts once for the events of all policies. Equal scores go in order of policy_id.
     """
-    if refine not in ("none", "midpoint"):
-        raise ValueError(f"a sweep refines by none or midpoint, not {refine!r}")
-    found = aggregate(verdicts, policies)
-    found = refine_by_level(found, verdicts, meta, mode=refine, window=window)
-    preds = found.withColumn("ord", F.row_number().over(Window.partitionBy("policy_id", "video_id", "class_name").orderBy("start", "end")))
-    scored = policies.join(metrics.overall_by_policy(meta, truth, preds, policies), "policy_id")
+    found, asked = combinations(verdicts, policies)
+    found = cut(refine_by_level(cut(found), verdicts, meta, mode=refine, window=window, threshold=threshold))
+    scored = policies.join(metrics.overall_by_policy(meta, truth, found, asked), "policy_id")
     names = ["policy_id", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "level1", "level2", "level3", "overall"]
     return scored.select(*names).orderBy(F.desc("overall"), "policy_id").limit(top)
