@@ -71,3 +71,14 @@ def verdict(reply: Column, probability: Column) -> Column:
         F.when(bad, reply["class_name"]).otherwise(F.lit(NORMAL)).alias("class_name"),
         F.when(bad, F.coalesce(probability, F.lit(1.0))).otherwise(0.0).alias("score"),
     )
+
+
+def labels(known: list[str], own: Column) -> Column:
+    """The sorted set of valid labels: known ones and a row's own (an array, or null); nulls aren't labels."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.array(*map(F.lit, known)) if known else none, F.array_compact(F.coalesce(own, none))))
+
+
+def looked_up(entries: Column, key: Column, default: Column) -> Column:
+    """A map's value, or the default for a key that it lacks; a null map or key has the default, a null value stays."""
+    return F.when(F.coalesce(F.map_contains_key(entries, key), F.lit(False)), F.try_element_at(entries, key)).otherwise(default)

@@ -219,6 +219,30 @@ def aggregate_by_level(verdicts: DataFrame, meta: DataFrame, policies: DataFrame
     return aggregate(verdicts, policies.drop("level")).join(allowed, ["video_id", "policy_id"], "left_semi")
 
 
+def aggregate_by_class(verdicts: DataFrame, policies: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """policy_id, video_id, class_name, start, end, score, every class of every video under the policy that fits it best.
+
+    policies: a policy a row, with class_name and level; null stands for all. One for the class and level comes before one for the class, that before one for
+    the level, and that before one for all; of equals the lowest policy_id counts, and classes that none fits have no events. A video without a level
+    counts as level 1. Policies are few and resolved once a video and class, beside the stream, not once a row under each.
+    """
+    names = ["policy_id", "theta_high", "theta_low", "merge_gap_sec", "min_duration_sec", "max_window_gap_sec"]
+    few(policies)
+    packed = policies.agg(F.collect_list(F.struct("class_name", "level", *names)).alias("_p"))
+    streams = candidate_streams(verdicts)
+    if meta is None:
+        streams = streams.withColumn("_level", F.lit(1))
+    else:
+        levels = meta.groupBy("video_id").agg(F.max("level").cast("int").alias("_level"))
+        streams = streams.join(levels, "video_id", "left").withColumn("_level", F.coalesce("_level", F.lit(1)))
+    fits = F.filter("_p", lambda p: F.coalesce(p["class_name"] == F.col("class_name"), F.lit(True)) & F.coalesce(p["level"] == F.col("_level"), F.lit(True)))
+    best = F.array_min(F.transform(fits, lambda p: F.struct(p["class_name"].isNull().alias("any_class"), p["level"].isNull().alias("any_level"), p["policy_id"].alias("policy_id"), p.alias("p"))))["p"]
+    each = streams.crossJoin(F.broadcast(packed)).withColumn("_p", best).where("_p is not null")
+    keys = ["video_id", "class_name", *names]
+    each = each.select("video_id", "class_name", "seq", "start", "end", "x", *(F.col(f"_p.{n}").alias(n) for n in names))
+    return merge(spans(each, keys), ["video_id", "class_name", "policy_id", "merge_gap_sec"]).select("policy_id", "video_id", "class_name", "start", "end", "score")
+
+
 def gated(joined: DataFrame, columns: list[str], least: float) -> DataFrame:
     """Verdicts that have been met with _second, the other stream's score for their window (null: none): what doesn't reach `least` becomes normal."""
     keep = (F.col("class_name") == NORMAL) | (F.coalesce("_second", F.lit(0.0)) >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
@@ -54,6 +54,13 @@ found AS (SELECT video_id, class_name, min("start") AS "start", max("end") AS "e
 _OUT = 'SELECT video_id, class_name, ' + q6("start", "end", "score")
 
 
+def _ruled(hi: str, lo: str, gap: str, least: str) -> str:
+    """Events with thresholds that are expressions over the class (cls) and the level."""
+    first = _EVENTS.replace("v.score ELSE 0 END AS x FROM", f"v.score ELSE 0 END AS x, {hi} AS hi, {lo} AS lo, {gap} AS mg, {least} AS ml FROM").replace("FROM verdicts v JOIN", "FROM (SELECT *, video_id % 3 + 1 AS level FROM verdicts) v JOIN")
+    second = first.replace("WHEN x >= 0.5 THEN 1 WHEN x < 0.35 THEN 0", "WHEN x >= hi THEN 1 WHEN x < lo THEN 0").replace("max(x) AS score FROM e", "max(x) AS score, max(mg) AS mg, max(ml) AS ml FROM e")
+    return second.replace('"start" - pm > 5', '"start" - pm > mg').replace("FROM g GROUP BY video_id, class_name, isl)", 'FROM g GROUP BY video_id, class_name, isl HAVING max("end") - min("start") >= max(ml))')
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     streams = sessions.with_policy(sessions.candidate_streams(A.verdicts(spark, d)), S.policies(spark), ["theta_high", "theta_low", "max_window_gap_sec"])
     return streams
@@ -69,9 +76,10 @@ def hysteresis_spans_hot(spark, d):
     return sessions.hot_spans(_spans(spark, d), ["video_id", "class_name"], 100.0).select("video_id", "class_name", *r6("start", "end", "score"))
 
 
-@query(f"WITH {SQL['verdicts']}, {_EVENTS} {_OUT} FROM found WHERE class_name = 'error'")
+@query(f"WITH {SQL['verdicts']}, {_ruled('0.5', '0.35', '12', '6')} {_OUT} FROM found")
 def gap_merge_events(spark, d):
-    return sessions.aggregate_one(A.verdicts(spark, d)).where("class_name = 'error'").select("video_id", "class_name", *r6("start", "end", "score"))
+    """Holes of up to 12 are closed, and what is shorter than 6 is left out."""
+    return sessions.aggregate_one(A.verdicts(spark, d), merge_gap_sec=12, min_duration_sec=6).select("video_id", "class_name", *r6("start", "end", "score"))
 
 
 @query(f"WITH {SQL['verdicts']}, {_EVENTS} {_OUT} FROM found")
@@ -229,11 +237,6 @@ def level_semi_join(spark, d):
     return joins.in_levels(e, A.meta(spark, d), [2, 3]).select("event_id", F.col("video_id").alias("user_id"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def anti_unmatched(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
 @query("SELECT event_id, 'short' AS scale FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, 'long' AS scale FROM events WHERE event_type IN ('click', 'view')")
 def verdict_union(spark, d):
     e = table(spark, d, "events")
@@ -283,6 +286,14 @@ def greedy_match_official(spark, d):
     return matching.match(A.truth(spark, d), A.predictions(spark, d), 0.5, official=True).withColumn("iou", F.round("iou", 6))
 
 
+@query(_rec(SQL["truth"], SQL["preds"], _match(0.5, True)) + """SELECT 'fp' AS outcome, video_id, class_name, ord AS pred_ord, NULL::BIGINT AS gt_ord FROM preds WHERE ord NOT IN (SELECT pred_ord FROM pairs)
+UNION ALL SELECT 'fn', video_id, class_name, NULL, ord FROM truth WHERE ord NOT IN (SELECT gt_ord FROM pairs)""")
+def anti_unmatched(spark, d):
+    """Events of either side that the official matching leaves without a partner."""
+    t, p = A.truth(spark, d), A.predictions(spark, d)
+    return matching.outcomes(t, p, matching.match(t, p, 0.5, official=True)).where("outcome <> 'tp'").select("outcome", "video_id", "class_name", "pred_ord", "gt_ord")
+
+
 _PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"""
 
 
@@ -437,11 +448,11 @@ def embedding_classify_top3(spark, d):
     return vectors.classify(e, protos, "vec_id", "v").select("vec_id", "best", *r6("p_anomaly"), F.array_join("top", ",").alias("top"))
 
 
-@query(f"""WITH {SQL['emb']}, {_PROTO} SELECT k AS class_name, round(p[1] / sqrt(list_dot_product(p, p)), 6) AS x0, round(p[64] / sqrt(list_dot_product(p, p)), 6) AS x63, round(sqrt(list_dot_product(p, p)), 6) AS norm FROM proto""")
+@query(f"""WITH {SQL['emb']}, {_PROTO} SELECT k AS class_name, i - 1 AS dim, round(p[i] / sqrt(list_dot_product(p, p)), 6) AS x, round(sqrt(list_dot_product(p, p)), 6) AS norm FROM proto, range(1, 65) t(i)""")
 def mean_pool_embeddings(spark, d):
     m = vectors.mean_pool(A.embeddings(spark, d), ["class_name"], "v")
-    u = vectors.unit(F.col("mean"))
-    return m.select("class_name", F.round(F.get(u, F.lit(0)), 6).alias("x0"), F.round(F.get(u, F.lit(63)), 6).alias("x63"), F.round(vectors.norm(F.col("mean")), 6).alias("norm"))
+    each = m.select("class_name", F.posexplode(vectors.unit(F.col("mean"))).alias("dim", "x"), F.round(vectors.norm(F.col("mean")), 6).alias("norm"))
+    return each.select("class_name", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"), "norm")
 
 
 @query(f"""WITH {SQL['emb']}, {_PROTO} SELECT vec_id, round(1 - list_dot_product(v, p) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(p, p))), 6) AS novelty FROM emb JOIN proto ON k = class_name""")
@@ -504,9 +515,9 @@ def synth_timeline(spark, d):
 
 
 @query("""WITH r AS (SELECT l_suppkey AS k, l_extendedprice AS x FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM r)
-SELECT k AS l_suppkey, count(*) AS call_count, max(x) AS max_time_ms, max(x) FILTER (i = round_even(0.5::DOUBLE * (n - 1), 0)) AS p50_time_ms, max(x) FILTER (i = round_even(0.95::DOUBLE * (n - 1), 0)) AS p95_time_ms FROM o GROUP BY k""")
+SELECT k AS l_suppkey, count(*) AS call_count, round_even(sum(x), 2) AS total_time_ms, round_even(sum(x) / count(*), 2) AS average_time_ms, max(x) AS max_time_ms, max(x) FILTER (i = round_even(0.5::DOUBLE * (n - 1), 0)) AS p50_time_ms, max(x) FILTER (i = round_even(0.95::DOUBLE * (n - 1), 0)) AS p95_time_ms FROM o GROUP BY k""")
 def latency_summary(spark, d):
-    return metrics.latency(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", digits=2).select("l_suppkey", "call_count", "max_time_ms", "p50_time_ms", "p95_time_ms")
+    return metrics.latency(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", digits=2).select("l_suppkey", "call_count", "total_time_ms", "average_time_ms", "max_time_ms", "p50_time_ms", "p95_time_ms")
 
 
 @query("""SELECT l_suppkey, round(median(l_quantity), 6) AS median, min(l_quantity) AS "min", max(l_quantity) AS "max", round(coalesce(stddev_samp(l_quantity), 0), 6) AS stdev FROM lineitem GROUP BY ALL""")
@@ -544,25 +555,40 @@ k AS (SELECT video_id, arg_max(class_name, struct_pack(s := score, o := -ord)) A
   UNION ALL SELECT video_id, class_name, round("start", 3), round("end", 3) FROM p WHERE level > 1 AND "end" > "start" AND "start" >= 0)"""
 
 
-@query(f"""WITH {SQL['meta']}, {SQL['preds']}, {_CLEAN} SELECT m.video_id, count(k.class_name) AS n_events, min(k.class_name) AS first_class, round(sum(e - s), 3) AS seconds FROM meta m LEFT JOIN k USING (video_id) GROUP BY ALL""")
+@query(f"""WITH {SQL['meta']}, {SQL['preds']}, {_CLEAN} SELECT m.video_id, (row_number() OVER (PARTITION BY m.video_id ORDER BY s, e, k.class_name) - 1)::INT AS place, k.class_name, s AS "start", e AS "end" FROM meta m LEFT JOIN k USING (video_id)""")
 def submission_entries(spark, d):
+    """Every event of every entry; videos without one have a row of nulls."""
     _, e = _entries(spark, d)
-    x = F.explode_outer("events").alias("x")
-    return e.select("video_id", x).groupBy("video_id").agg(F.count("x.class_name").alias("n_events"), F.min("x.class_name").alias("first_class"), F.round(F.sum(F.col("x.end_time_sec") - F.col("x.start_time_sec")), 3).alias("seconds"))
+    rows = e.select("video_id", F.explode_outer("events").alias("x")).select("video_id", F.col("x.class_name").alias("class_name"), F.col("x.start_time_sec").alias("start"), F.col("x.end_time_sec").alias("end"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"), F.asc_nulls_last("class_name"))) - 1
+    return rows.withColumn("place", place)
 
 
-@query(f"""WITH {SQL['meta']}, {SQL['preds']}, p AS (SELECT video_id, level, CASE WHEN ord % 11 = 0 THEN 'normal' WHEN ord % 7 = 0 THEN 'odd' ELSE 'fire' END AS c, CASE WHEN ord % 3 > 0 THEN "start" END AS s, CASE WHEN ord % 3 > 0 THEN "start" + ord % 5 - 1 END AS e FROM preds JOIN meta USING (video_id)),
+@query(f"""WITH {SQL['meta']}, {SQL['preds']}, p AS (SELECT video_id, level, CASE WHEN ord % 11 = 0 THEN 'normal' WHEN ord % 7 = 0 THEN 'odd' ELSE 'fire' END AS c, CASE WHEN ord % 3 > 0 THEN "start" END AS s, CASE WHEN ord % 3 > 0 THEN "start" + ord % 5 - 1 END AS e, ord FROM preds JOIN meta USING (video_id)),
+w AS (SELECT DISTINCT video_id FROM preds),
 r AS (SELECT video_id, 'class normal' AS rule, count(*) AS n FROM p WHERE c = 'normal' GROUP BY ALL UNION ALL SELECT video_id, 'unknown class', count(*) FROM p WHERE c = 'odd' GROUP BY ALL
  UNION ALL SELECT video_id, 'level 1 with times', count(*) FROM p WHERE level = 1 AND s IS NOT NULL GROUP BY ALL UNION ALL SELECT video_id, 'upper level without times', count(*) FROM p WHERE level > 1 AND s IS NULL GROUP BY ALL
- UNION ALL SELECT video_id, 'bad interval', count(*) FROM p WHERE level > 1 AND (s < 0 OR e <= s) GROUP BY ALL UNION ALL SELECT video_id, 'level 1 with several events', 1 FROM p WHERE level = 1 GROUP BY video_id HAVING count(*) > 1)
-SELECT * FROM r""")
+ UNION ALL SELECT video_id, 'bad interval', count(*) FROM p WHERE level > 1 AND (s < 0 OR e <= s) GROUP BY ALL UNION ALL SELECT video_id, 'level 1 with several events', 1 FROM p WHERE level = 1 GROUP BY video_id HAVING count(*) > 1
+ UNION ALL SELECT video_id, 'explanation length', count(*) FROM p WHERE ord % 4 = 0 AND ord % 50 < 20 GROUP BY ALL UNION ALL SELECT video_id, 'runtime missing', 1 FROM w WHERE video_id % 5 = 0 UNION ALL SELECT NULL, 'runtime missing', 1
+ UNION ALL SELECT video_id, 'average off', 1 FROM w WHERE video_id % 5 <> 0 AND video_id % 3 = 0 UNION ALL SELECT video_id, 'call times', 1 FROM w WHERE video_id % 5 <> 0 AND video_id % 4 = 0
+ UNION ALL SELECT NULL, 'no video_id', 1 UNION ALL SELECT video_id, 'repeated video_id', 1 FROM w WHERE video_id % 13 = 0 UNION ALL SELECT video_id, 'runtime missing', 1 FROM w WHERE video_id % 13 = 0)
+SELECT video_id, rule, sum(n)::BIGINT AS n FROM r GROUP BY video_id, rule""")
 def submission_validate(spark, d):
-    o = F.col("ord")
+    """Every rule is broken by some entry: classes, levels, intervals, explanations, runtimes, missing and repeated ids."""
+    o, v = F.col("ord"), F.col("video_id")
     cls = F.when(o % 11 == 0, "normal").when(o % 7 == 0, "odd").otherwise("fire")
     s = F.when(o % 3 > 0, F.col("start"))
-    event = F.struct(cls.alias("class_name"), s.alias("start_time_sec"), (s + o % 5 - 1).alias("end_time_sec"), F.lit(None).cast("string").alias("explanation"))
+    event = F.struct(cls.alias("class_name"), s.alias("start_time_sec"), (s + o % 5 - 1).alias("end_time_sec"), F.when(o % 4 == 0, F.repeat(F.lit("x"), (o % 50).cast("int"))).alias("explanation"))
     e = A.predictions(spark, d).select("video_id", event.alias("e")).groupBy("video_id").agg(F.collect_list("e").alias("events"))
-    return submission.validate(e, A.meta(spark, d))
+    mean = F.when(v % 3 == 0, 5.2).otherwise(5.0)
+    times = F.when(v % 4 == 0, F.array(F.lit(10.0))).when(v % 4 == 1, F.array(F.lit(4.0), F.lit(6.0)))
+    run = F.struct(F.array(F.struct(F.lit("m").alias("model_name"), F.lit(2).alias("call_count"), F.lit(10.0).alias("total_time_ms"), mean.alias("average_time_ms"), times.alias("call_times_ms"))).alias("model_runtimes"))
+    e = e.withColumn("runtime_metadata", F.when(v % 5 != 0, run))
+    no = F.lit(None)
+    again = e.where(v % 13 == 0).select("video_id", F.slice("events", 1, 0).alias("events"), no.cast(e.schema["runtime_metadata"].dataType).alias("runtime_metadata"))
+    lost = e.groupBy().agg(F.max("video_id").alias("m")).select(no.cast("bigint").alias("video_id"), no.cast(e.schema["events"].dataType).alias("events"), no.cast(e.schema["runtime_metadata"].dataType).alias("runtime_metadata"))
+    lost = lost.withColumn("events", F.array().cast(e.schema["events"].dataType))
+    return submission.validate(e.unionByName(again).unionByName(lost), A.meta(spark, d))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id""")

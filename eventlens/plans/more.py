@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
+from eventlens.functions import scoring
 from eventlens.operators import metrics, refine, sessions, submission, synth, windows
 from eventlens.plans import adapters as A
 from eventlens.plans.adapters import SQL, table
-from eventlens.plans.catalogue import _EVENTS, _GRID, q6, query, r6
+from eventlens.plans.catalogue import _EVENTS, _GRID, _ruled, ORACLES, q6, query, r6
 from eventlens.sources import readers, writers
 
 _HOURS = """(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0"""
@@ -127,13 +128,15 @@ def export_index_ids(spark, d):
     return readers.export_index(spark, at).select("id", "class_name", "video_id", "start", "end", "n_frames")
 
 
-@query("""SELECT printf('w%06d', i) AS id, i::VARCHAR AS video_id FROM range(0, 40) t(i)""")
+@query(f"""WITH {SQL['clips']}, g AS ({_GRID.format(s=4, w=4)}), n AS (SELECT *, row_number() OVER (ORDER BY video_id, win_ord) - 1 AS i FROM g)
+SELECT printf('w%06d', i) AS id, video_id::VARCHAR AS video_id, win_start AS "start" FROM n WHERE i < 40""")
 def export_index_head(spark, d):
-    """The first 40 entries in order of id: the limit is the feature."""
+    """The first 40 entries of the windows' index in order of id: the limit is the feature."""
     at = A.scratch(spark, "index")
-    n = table(spark, d, "part").count()
-    writers.json_lines(spark.range(n).select(F.format_string("w%06d", "id").alias("id"), F.col("id").cast("string").alias("video_id")), at)
-    return readers.export_index(spark, at, 40).select("id", "video_id")
+    w = windows.sliding_windows(A.clips(spark, d), "duration").withColumn("place", F.struct("video_id", "win_ord"))
+    w = windows.window_ids(w, "place")
+    writers.json_lines(w.select("id", "class_name", F.col("video_id").cast("string").alias("video_id"), F.col("win_start").alias("start"), F.col("win_end").alias("end"), F.lit(8).alias("n_frames")), at)
+    return readers.export_index(spark, at, 40).select("id", "video_id", "start")
 
 
 @query("""SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings""")
@@ -278,13 +281,41 @@ def refine_by_level(spark, d):
     return out.select("video_id", "class_name", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query(f"""WITH lv AS (SELECT 1 AS level, 0.5::DOUBLE AS hi UNION ALL SELECT 2, 0.3 UNION ALL SELECT 3, 0.7), {SQL['verdicts']}, hit AS (SELECT v.video_id, v.class_name, max(score) AS best FROM verdicts v JOIN lv ON level = video_id % 3 + 1 WHERE class_name <> 'normal' AND score >= hi GROUP BY ALL)
-SELECT video_id, class_name, round(best, 6) AS best FROM hit""")
+_WHOLE = 'SELECT video_id, class_name, ' + q6("start", "end", "score") + " FROM found"
+
+
+@query(f"""WITH {SQL['verdicts']}, {_ruled('CASE level WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.7 END', '0.3', '5', '0')} {_WHOLE}""")
 def policies_by_level(spark, d):
-    """Each level under a policy of its own: the best score of every class that opens a span."""
+    """Each level under a policy of its own: whole events."""
     pol = S.policies(spark, {"theta_high": 0.5, "theta_low": 0.3}, {"theta_high": 0.3, "theta_low": 0.3}, {"theta_high": 0.7, "theta_low": 0.3}).withColumn("level", F.col("policy_id") + 1)
     out = sessions.aggregate_by_level(A.verdicts(spark, d), A.meta(spark, d), pol)
-    return out.groupBy("video_id", "class_name").agg(F.max("score").alias("best")).select("video_id", "class_name", *r6("best"))
+    return out.select("video_id", "class_name", *r6("start", "end", "score"))
+
+
+_C = "c.cls = 'click'"
+
+
+@query(f"""WITH {SQL['verdicts']}, {_ruled(f"CASE WHEN {_C} AND level = 3 THEN 0.9 WHEN {_C} THEN 0.7 WHEN level = 2 THEN 0.4 ELSE 0.5 END", f"CASE WHEN {_C} AND level = 3 THEN 0.6 WHEN {_C} THEN 0.5 WHEN level = 2 THEN 0.2 ELSE 0.35 END",
+  f"CASE WHEN {_C} AND level = 3 THEN 30 WHEN {_C} THEN 0 WHEN level = 2 THEN 10 ELSE 5 END", f"CASE WHEN {_C} AND level = 3 THEN 0 WHEN {_C} THEN 0 WHEN level = 2 THEN 5 ELSE 0 END")} {_WHOLE}""")
+def policies_by_class(spark, d):
+    """A policy for all, one for level 2, one for clicks, and one for clicks of level 3; the closest fit counts."""
+    pol = S.policies(spark, {}, {"theta_high": 0.4, "theta_low": 0.2, "merge_gap_sec": 10, "min_duration_sec": 5}, {"theta_high": 0.7, "theta_low": 0.5, "merge_gap_sec": 0}, {"theta_high": 0.9, "theta_low": 0.6, "merge_gap_sec": 30})
+    p = F.col("policy_id")
+    pol = pol.withColumns({"class_name": F.when(p >= 2, "click"), "level": F.when(p == 1, 2).when(p == 3, 3)})
+    return sessions.aggregate_by_class(A.verdicts(spark, d), pol, A.meta(spark, d)).select("video_id", "class_name", *r6("start", "end", "score"))
+
+
+_MOVED = ORACLES["crossing_refine"].rsplit("SELECT video_id, class_name,", 1)[0].rstrip()
+
+
+@query(f"""{_MOVED}, k AS (SELECT video_id, class_name, "start" AS s0, "end" AS e0, CASE WHEN coalesce(ne, "end") > coalesce(ns, "start") THEN coalesce(ns, "start") ELSE "start" END AS s,
+  CASE WHEN coalesce(ne, "end") > coalesce(ns, "start") THEN coalesce(ne, "end") ELSE "end" END AS e FROM m)
+SELECT video_id, class_name, round(CASE WHEN video_id % 3 = 0 THEN s0 WHEN e <= s THEN (s + e) / 2 - 0.25 ELSE s END, 3) AS "start", round(CASE WHEN video_id % 3 = 0 THEN e0 WHEN e <= s THEN (s + e) / 2 + 0.25 ELSE e END, 3) AS "end" FROM k""")
+def refine_both_by_level(spark, d):
+    """Interpolated, then rounded events of levels 2 and 3; level 1 as it was."""
+    v = A.verdicts(spark, d)
+    out = refine.refine_by_level(sessions.aggregate_one(v), v, A.meta(spark, d), mode="both")
+    return out.select("video_id", "class_name", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 @query("""SELECT round((SELECT sum(value) FROM events) / 1000 / (SELECT sum(p_size) FROM part), 6) AS ratio""")
@@ -296,8 +327,8 @@ def latency_bonus(spark, d):
 @query("""SELECT c_custkey AS id, array_to_string(list_sort(list_distinct(['normal', 'fire', lower(c_mktsegment)])), ',') AS labels, len(list_distinct(['normal', 'fire', lower(c_mktsegment)])) AS n FROM customer""")
 def label_union(spark, d):
     """The valid labels of each customer: a fixed set united with their own."""
-    both = F.array_union(F.array(F.lit("normal"), F.lit("fire")), F.array(F.lower("c_mktsegment")))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(F.array_sort(both), ",").alias("labels"), F.size(both).cast("bigint").alias("n"))
+    both = scoring.labels(["normal", "fire"], F.array(F.lower("c_mktsegment")))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(both, ",").alias("labels"), F.size(both).cast("bigint").alias("n"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 0.0::DOUBLE ELSE round(p_size / 15.0::DOUBLE, 6) END AS seconds FROM part""")
@@ -310,3 +341,29 @@ def clip_duration(spark, d):
 @query("""SELECT 'out/checkpoint-' || max(p_partkey) AS path FROM part""")
 def newest_checkpoint(spark, d):
     return readers.newest_checkpoint(table(spark, d, "part").select(F.concat(F.lit("out/checkpoint-"), "p_partkey").alias("path")))
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN 'fire' ELSE 'normal' END AS class_name, CASE WHEN event_type = 'click' AND value > 20 THEN round(least(1.0::DOUBLE, value / 100), 6) WHEN event_type IN ('click', 'error') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events""")
+def verdicts_of_replies(spark, d):
+    """Class and calibrated score of a reply: no probability, no matter how anomalous, counts 1, and a normal window scores 0."""
+    kind, value = F.col("event_type"), F.col("value")
+    bad = kind.isin("click", "error")
+    reply = F.struct(F.when(bad, "fire").otherwise("normal").alias("class_name"), bad.alias("is_anomaly"))
+    p = F.when((kind != "error") & (value > 20), F.least(F.lit(1.0), value / 100))
+    v = scoring.verdict(reply, p)
+    return table(spark, d, "events").select("event_id", v["class_name"].alias("class_name"), F.round(v["score"], 6).alias("score"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'smoke' WHEN 'error' THEN 'fire' ELSE 'normal' END AS class_name FROM events""")
+def first_listed_class(spark, d):
+    """The first class of the list that a loose answer names, in any case and place."""
+    kind = F.col("event_type")
+    said = F.when(kind == "click", F.concat(F.lit("There is SMOKE at "), "event_id")).when(kind == "error", F.lit("smoke? no: Fire, fighting")).otherwise(F.concat(F.lit("nothing to see, "), "props"))
+    return table(spark, d, "events").select("event_id", scoring.first_class(said).alias("class_name"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE -1 END AS code FROM events""")
+def map_lookup(spark, d):
+    """A map's value, or a default for keys that it lacks."""
+    codes = F.create_map(F.lit("click"), F.lit(1), F.lit("error"), F.lit(2))
+    return table(spark, d, "events").select("event_id", scoring.looked_up(codes, F.col("event_type"), F.lit(-1)).alias("code"))

@@ -105,3 +105,27 @@ def test_gate(spark):
     first = verdicts(spark, [(0, 4, "fire", 0.6), (4, 8, "smoke", 0.7), (8, 12, "normal", 0.0)])
     second = first.withColumn("score", F.when(F.col("seq") == 0, 0.95).otherwise(0.5))
     assert [(r.seq, r.class_name, r.score) for r in sessions.gate(first, second).orderBy("seq").collect()] == [(0, "fire", 0.6), (1, "normal", 0.0), (2, "normal", 0.0)]
+
+
+def test_policies_by_class(spark):
+    """The closest fit counts: class and level, class, level, all; without a fit there are no events. Against the plain machine."""
+    rng = random.Random(21)
+    rows = {v: [(4.0 * k, 4.0 * k + 4, rng.choice(["fire", "smoke", "fighting_or_violence", "normal"]), round(rng.random(), 2)) for k in range(40)] for v in "abc"}
+    df = spark.createDataFrame([(v, k, *r) for v, l in rows.items() for k, r in enumerate(l)], "video_id string, seq long, start double, end double, class_name string, score double")
+    meta = spark.createDataFrame([("a", 2), ("b", 3)], "video_id string, level int")
+    table = [({"theta_high": 0.6}, None, 3), ({"theta_high": 0.8, "merge_gap_sec": 0.0}, "fire", None), ({"theta_high": 0.4, "theta_low": 0.1, "min_duration_sec": 9.0}, "fire", 2), ({"theta_high": 0.5}, "smoke", 1)]
+    pol = S.policies(spark, *(p for p, _, _ in table))
+    more = spark.createDataFrame([(k, c, n) for k, (_, c, n) in enumerate(table)], "policy_id int, class_name string, level int")
+    got = {}
+    for r in sessions.aggregate_by_class(df, pol.join(more, "policy_id"), meta).collect():
+        got.setdefault((r.video_id, r.class_name, r.policy_id), []).append((r.start, r.end, r.class_name, r.score))
+    fits = {("a", "fire"): 2, ("b", "fire"): 1, ("c", "fire"): 1, ("b", "smoke"): 0, ("c", "smoke"): 3, ("b", "fighting_or_violence"): 0}
+    want = {}
+    for (v, c), k in fits.items():
+        p = S.DEFAULT_POLICY | table[k][0]
+        found = machine(rows[v], c, p["theta_high"], p["theta_low"], p["merge_gap_sec"], p["min_duration_sec"], p["max_window_gap_sec"])
+        if found:
+            want[v, c, k] = sorted(found)
+    assert {k: sorted(x) for k, x in got.items()} == want
+    # Without levels every video counts as level 1.
+    assert {r.class_name for r in sessions.aggregate_by_class(df, pol.join(more, "policy_id")).collect()} == {"fire", "smoke"}
