@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import bpe, mixing, quality, secrets, simhash
 from eventlens.llm.common import shared_dir
+from eventlens.llm.vectors import quoted
 
 #: Estimates, fingerprints, mixing and BPE have no SQL form; tests/llm compares every stage with a plain-Python one.
 ORACLE_SQL = None
@@ -35,17 +36,27 @@ ORACLE_SQL = None
 KEY = "_pipeline_key"
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [quoted(c) for c in docs.columns]
+
+
+def read(rows: DataFrame) -> DataFrame:
+    """What the operators read of keyed rows."""
+    return rows.select(KEY, "doc_id", "text", "lang", "source")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds each row's key: SHA-256 over the digests of its columns, nulls apart."""
-    each = [F.coalesce(F.sha2(F.encode(F.col(c).cast("string"), "UTF-8"), 256), F.lit("-")) for c in docs.columns]
+    each = [F.coalesce(F.sha2(F.encode(c.cast("string"), "UTF-8"), 256), F.lit("-")) for c in columns(docs)]
     return docs.withColumn(KEY, F.sha2(F.encode(F.concat_ws(",", *each), "UTF-8"), 256))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: those that fail the base rule and the outliers of their language and source."""
     rows = keyed(docs)
-    kept = quality.judge(rows, KEY).where("kept").select(KEY).distinct()
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    kept = quality.judge(read(rows), KEY).where("kept").select(KEY).distinct()
+    return rows.join(kept, KEY, "left_semi").select(*columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,31 +64,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY)
     rows = keyed(docs)
     first = simhash.first_rows(rows.select(order.alias("place"), "text"), "place").select(F.col("place")[KEY].alias(KEY))
-    return rows.join(first, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    return rows.join(first, KEY, "left_semi").dropDuplicates([KEY]).select(*columns(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are replaced in the text; n_chars follows."""
     rows = keyed(docs)
-    found = secrets.find(rows, KEY).where(F.size("all") > 0).select(KEY, F.col("all").alias("_pipeline_found")).dropDuplicates([KEY])
+    found = secrets.find(read(rows), KEY).where(F.size("all") > 0).select(KEY, F.col("all").alias("_pipeline_found")).dropDuplicates([KEY])
     told = rows.join(found, KEY, "left")
     text = F.when(F.col("_pipeline_found").isNotNull(), secrets.redact(F.col("text"), F.col("_pipeline_found"))).otherwise(F.col("text"))
-    return told.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return told.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix says; those taken zero times go."""
     rows = keyed(docs)
-    taken = mixing.mix(rows, KEY).where("copies > 0").select(KEY, F.col("copies").alias("_pipeline_copies")).dropDuplicates([KEY])
+    taken = mixing.mix(read(rows), KEY).where("copies > 0").select(KEY, F.col("copies").alias("_pipeline_copies")).dropDuplicates([KEY])
     each = rows.join(taken, KEY)
-    return each.withColumn("_pipeline_copy", F.explode(F.sequence(F.lit(1), F.col("_pipeline_copies")))).select(*docs.columns)
+    return each.withColumn("_pipeline_copy", F.explode(F.sequence(F.lit(1), F.col("_pipeline_copies")))).select(*columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every whole text as token ids."""
     import public_tokenizers
 
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids")
 
 
