@@ -83,7 +83,7 @@ def test_encoding_stage(stages):
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_columns_pass_through(spark, odd, empty):
     """Nulls, empty and very long texts, repeated rows and clashing columns; all columns stay to the last stage."""
-    more = {c: F.lit("clash") for c in ("found", "copies", "copy", "all", "kept", "component", "place", "fid", "digest", "label", "rate", "distance", "id", "key2")}
+    more = {c: F.lit("clash") for c in ("found", "copies", "copy", "all", "kept", "component", "place", "fid", "digest", "label", "rate", "distance", "id", "key2", "a.b", "back`tick", "two words", "`")}
     at = odd.withColumns(more).where("doc_id < 40 or doc_id > 50")
     at = at.where("false") if empty else at
     for name, stage in corpus_pipeline.STAGES:
