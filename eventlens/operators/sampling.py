@@ -21,7 +21,7 @@ def upper_median(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 #: Hex digits of the hash a level of counts looks at; rows that are ranked by sorting, about, at most.
-DIGITS, CELL = 3, 65_536
+DIGITS, CELL = 3, 256
 
 
 def cuts(rows: DataFrame, group: list[str], key: str, seed: int, quota: DataFrame, largest: int) -> DataFrame:
