@@ -58,7 +58,7 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % n
 
 
-def lookup(rows: DataFrame, book: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+def lookup(rows: DataFrame, book: DataFrame, key: str | list[str], how: str = "inner", small: bool | None = None) -> DataFrame:
     """rows joined (inner or left) with book, which has one row a key; keys aren't null. small: whether it is known to be, else it is counted.
 
     A small book is broadcast. Otherwise the join shuffles on the key, but for keys that each hold more than a thousandth of the

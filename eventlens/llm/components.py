@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import cut, lookup, ship
 
-#: Edges that a task contracts at a time.
+#: Edges that a task contracts at a time; so many or fewer in all are finished by one task.
 HELD = 1 << 17
 
 
@@ -64,17 +64,19 @@ def contracted(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of edges (u, v), both longs.
 
-    Before each round every task contracts the edges it holds, in pieces of a fixed size, to stars around their first nodes. Then
-    every node moves to its first neighbour's first neighbour (by rank, itself included); edges follow and loops go. Nodes that
-    come before all their neighbours stay, so each component ends as one of its nodes. As the order is scattered, a round leaves
-    a fraction of the nodes and rounds grow with the logarithm of their number. What moved in each round is kept and composed at
-    the end. Loops, repeated edges and an empty table are fine.
+    Every task contracts the edges it holds, in pieces of a fixed size, to stars around their first nodes. While more than HELD
+    edges are left, a round moves every node to its first neighbour's first neighbour (by rank, itself included); edges follow, loops
+    go and tasks contract again. Nodes that come before all their neighbours stay, so each component ends as one of its nodes. As the
+    order is scattered, a round leaves a fraction of the nodes and rounds grow with the logarithm of their number. The last edges, HELD
+    at most, become stars in one task. What moved in each round is kept and composed at the end. Loops, repeated edges and an
+    empty table are fine.
     """
     live = cut(contracted(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()))
-    if live.isEmpty():
+    left = live.count()
+    if not left:
         return live.select(F.col("u").alias("node"), F.col("v").alias("label"))
     moves = []
-    while not live.isEmpty():
+    while left > HELD:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = both.groupBy("u").agg(F.min(_ranked("v")).alias("m")).select(F.col("u").alias("node"), F.least(_ranked("u"), F.col("m"))["node"].alias("to"))
         step = cut(step)
@@ -82,8 +84,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(step)
         at = step.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         bt = step.select(F.col("node").alias("v"), F.col("to").alias("v2"))
-        left = live.join(at, "u").join(bt, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
-        live = cut(contracted(left))
+        moved = live.join(at, "u").join(bt, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
+        live = cut(contracted(moved))
+        left = live.count()
+    if left:
+        ends = contracted(live.repartition(1))
+        moves.append(cut(ends.select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("u").alias("to")), F.struct(F.col("u").alias("node"), F.col("u").alias("to")))).alias("m")).select("m.*").distinct()))
     labels = moves[0].select("node", F.col("to").alias("label"))
     for step in moves[1:]:
         labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))

@@ -39,8 +39,8 @@ from eventlens.llm.substring import window_hashes
 TILE, CHUNK = 4096, 1 << 15
 #: Pairs of two tiles that are worked on at once.
 CELLS = 1 << 16
-#: Most texts of a proposed group whose sets of shingles are compared in one piece.
-BLOCK = 512
+#: Most texts of a proposed group, and shingles of theirs (8 bytes each), in a block on average; two blocks are compared in one piece.
+BLOCK, HASHES = 512, 1 << 21
 SEED = 42
 
 
@@ -209,7 +209,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     distinct = cut(prints.groupBy(*names).agg(F.min(id_col).alias("fid")))
     labels = connected_components(links(distinct, radius, words))
     grouped = distinct.join(labels, distinct.fid == labels.node, "left").select(*names, F.coalesce("label", "fid").alias("component_id"))
-    return prints.join(grouped, names, "left").select(id_col, *names, "component_id")
+    return lookup(prints, cut(grouped), names).select(id_col, *names, "component_id")
 
 
 def shingles(text: str | bytes | None, n: int = 5) -> np.ndarray:
@@ -277,7 +277,7 @@ def confirm(prints: np.ndarray, sets: list[np.ndarray], first: int, radius: int,
 def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id and digest of every row; digest, id, component of every distinct set of shingles, id its smallest).
 
-    Fingerprints within radius, of sets of like size, propose, exact similarity decides: the texts of each proposed group, in blocks of at most BLOCK, are
+    Fingerprints within radius, of sets of like size, propose, exact similarity decides: the texts of each proposed group, in blocks of about BLOCK texts or HASHES shingles, are
     fetched as sets of shingle hashes, and every proposed pair of two blocks is confirmed unless confirmed ones link it already. Only
     texts in proposed groups travel a second time.
     """
@@ -302,8 +302,9 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, n: int, words: int,
     distinct = cut(distinct.select("digest", "id", "size", *(F.col(f"fp.{x}").alias(x) for x in names)).withColumn("fid", F.monotonically_increasing_id()))
     proposed = connected_components(links(distinct, radius, words, similarity))
 
-    sizes = proposed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    members = lookup(proposed, cut(sizes), "label").join(distinct.hint("merge"), F.col("node") == F.col("fid"))
+    proposed = cut(proposed.join(distinct.hint("merge"), F.col("node") == F.col("fid")).drop("node"))
+    sizes = proposed.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / HASHES)).alias("chunks"))
+    members = lookup(proposed, cut(sizes), "label")
     members = cut(members.select("id", "digest", "fid", *names, "label", "chunks", F.pmod(F.xxhash64("fid"), F.col("chunks")).alias("chunk")))
     # These tables grow with the data: merge joins, so that none is collected for a broadcast.
     fetched = source.join(members.hint("merge"), "id").select("text", "digest", "fid", *names, "label", "chunks", "chunk")

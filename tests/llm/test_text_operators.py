@@ -269,6 +269,35 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(101)) and got[201] == got[202] == 200 and 300 not in got
 
 
+@pytest.mark.parametrize("held", [0, 40, 1 << 17])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, held):
+    """Rounds go on until few enough edges are left; wherever that is, the components are the same."""
+    monkeypatch.setattr("eventlens.llm.components.HELD", held)
+    rng = random.Random(held)
+    edges = [(k, k + 1) for k in range(0, 300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)] + [(7, 7), (5, 6)]
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        top[b] = a
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    got = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()
+    assert sorted((r.node, r.label) for r in got) == sorted((x, find(x)) for x in linked)
+
+
+def test_near_duplicates_blocks_by_shingles(spark, monkeypatch):
+    """Long texts of one proposed group are dealt to blocks by their shingles; the groups stay the same."""
+    monkeypatch.setattr(simhash, "HASHES", 2000)
+    rng = random.Random(3)
+    words = [str(rng.randrange(10**6)) for _ in range(3000)]
+    docs = {k: " ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(12)} | {20: "other words " * 9}
+    got = simhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: 0 for k in range(12)} | {20: 20}
+
+
 # --- quality ---
 
 
