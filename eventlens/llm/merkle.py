@@ -1,9 +1,11 @@
 r"""Document fingerprints: a Merkle tree over paragraphs and sections, as SQL functions only.
 
 Paragraphs end with a line break or with a sentence's full stop, question or exclamation mark and the
-space after it; nothing is dropped, so the paragraphs joined are the text. A leaf is a paragraph's MD5, a
-section is the SHA-256 of up to SECTION leaves in order, and the root is the SHA-256 of the sections.
-Equal texts have equal roots; where roots differ, only differing sections need to be looked into.
+space after it; nothing is dropped, so the paragraphs joined are the text. A leaf is a paragraph's MD5. A
+section ends after a leaf whose MD5 starts with the digit 0 (one in SECTION) or with the text: cuts follow from
+the paragraphs, not from their places, so paragraphs put in or taken out change the sections they are in, and later ones
+stay as they are. A section is the SHA-256 of its leaves in order, the root the SHA-256 of the sections. Equal texts have equal roots;
+where roots differ, only the sections that the other tree lacks need to be looked into.
 
 Likeness of two fingerprints is the Dice coefficient of their sets of leaves: 1 for equal texts, 0 if
 no paragraph is shared. Null and empty texts have one empty paragraph.
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Paragraphs in a section, and most ranges of ids (a bound for the broadcast of their first rows).
+#: Paragraphs in a section on average (as many as there are hexadecimal digits), and most ranges of ids (a bound for the broadcast of their first rows).
 SECTION, RANGES = 16, 4096
 _LAST = (1 << 63) - 1
 
@@ -34,8 +36,9 @@ def leaves(text: Column) -> Column:
 
 
 def sections(leaf: Column) -> Column:
-    last = F.floor((F.size(leaf) - 1) / SECTION).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.sha2(F.encode(F.array_join(F.slice(leaf, k * SECTION + 1, F.lit(SECTION)), ""), "UTF-8"), 256))
+    ends = F.filter(F.transform(leaf, lambda p, k: F.when(p.startswith("0") | (k + 1 == F.size(leaf)), k + 1)), lambda k: k.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+    return F.zip_with(starts, ends, lambda a, b: F.sha2(F.encode(F.array_join(F.slice(leaf, a + 1, b - a), ""), "UTF-8"), 256))
 
 
 def root(section: Column) -> Column:
@@ -48,9 +51,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Positions (from 0) of sections that differ or that one tree alone has: where edits are."""
-    span = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
-    return F.filter(span, lambda k: ~F.get(a, k).eqNullSafe(F.get(b, k)))
+    """Positions (from 0) of a's sections that b has nowhere: where a was edited."""
+    # What b lacks is bound once, as the only element of an array; a lambda would compute it anew for every section.
+    own = F.array(F.array_except(a, b))
+    return F.transform(own, lambda other: F.filter(F.transform(a, lambda s, k: F.when(F.array_contains(other, s), k)), lambda k: k.isNotNull()))[0]
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,11 +102,12 @@ def trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, changed_sections."""
+    """id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, changed_sections (of the text) and edited_sections (of the edited text)."""
     t = trees(df, id_col, text_col)
     return t.select(
         id_col, F.length("text").cast("long").alias("n_chars"), F.col("edited").alias("edited_text"),
         root(F.col("sections")).alias("fingerprint"), root(F.col("edited_sections")).alias("edited_fingerprint"),
         likeness(F.col("text_set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("text_set"), F.col("next_text_set")).alias("near_next"),
         differing_sections(F.col("sections"), F.col("edited_sections")).alias("changed_sections"),
+        differing_sections(F.col("edited_sections"), F.col("sections")).alias("edited_sections"),
     )

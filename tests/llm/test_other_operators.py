@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -107,6 +108,33 @@ def test_mixing_odd(odd, none):
     assert {r.taken for r in mixing.mix(odd.where("text is null or trim(text) = ''")).collect()} == {0}
 
 
+def slow_leaves(text):
+    parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", text) if p] or [""]
+    return [hashlib.md5(p.encode()).hexdigest() for p in parts]
+
+
+def slow_tree(text):
+    """(root, sections) by a plain loop."""
+    made, held = [], []
+    leaf = slow_leaves(text)
+    for k, p in enumerate(leaf):
+        held.append(p)
+        if p[0] == "0" or k == len(leaf) - 1:
+            made.append(hashlib.sha256("".join(held).encode()).hexdigest())
+            held = []
+    return hashlib.sha256("".join(made).encode()).hexdigest(), made
+
+
+def slow_dice(a, b):
+    a, b = set(slow_leaves(a)), set(slow_leaves(b))
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+def slow_changes(a, b):
+    other = set(slow_tree(b)[1])
+    return [k for k, s in enumerate(slow_tree(a)[1]) if s not in other]
+
+
 def test_merkle(spark, odd, none):
     docs = [(r.doc_id, r.text or "") for r in odd.dropDuplicates(["doc_id"]).collect()]
     df = odd.dropDuplicates(["doc_id"])
@@ -117,7 +145,11 @@ def test_merkle(spark, odd, none):
         nxt, half = docs[(k + 1) % len(docs)][1], len(t) // 2
         assert got[i].n_chars == len(t) and got[i].edited_text == t[: len(t) - half] + nxt[:half]
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        assert (got[i].fingerprint == got[i].edited_fingerprint) == (t == got[i].edited_text) == (not got[i].changed_sections)
+        same = t == got[i].edited_text
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == same and (not same or not got[i].changed_sections)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (slow_tree(t)[0], slow_tree(got[i].edited_text)[0])
+        assert got[i].near_edited == pytest.approx(slow_dice(t, got[i].edited_text)) and got[i].near_next == pytest.approx(slow_dice(t, nxt))
+        assert got[i].changed_sections == slow_changes(t, got[i].edited_text) and got[i].edited_sections == slow_changes(got[i].edited_text, t)
         roots[t].add(got[i].fingerprint)
     assert all(len(v) == 1 for v in roots.values()) and len({x for v in roots.values() for x in v}) == len(roots)
     assert merkle.fingerprints(odd).count() == odd.count() and merkle.fingerprints(none).count() == 0
@@ -125,16 +157,21 @@ def test_merkle(spark, odd, none):
     assert alone.edited_text == "abab" and alone.near_next == 1.0
 
 
-def test_merkle_likeness_follows_edits(spark):
+def test_merkle_likeness_and_sections_follow_edits(spark):
+    """One paragraph changed, put in or taken out marks the sections it is in, however many follow."""
     rng = random.Random(1)
-    sentence = lambda: " ".join(str(rng.randint(0, 9999)) for _ in range(8)) + ". "
-    a = [sentence() for _ in range(100)]
-    b = list(a)
-    b[70] = "changed here. "
-    df = spark.createDataFrame([("".join(a), "".join(b))], "a string, b string")
-    la, lb = merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))
-    r = df.select(merkle.likeness(la, lb).alias("near"), merkle.differing_sections(merkle.sections(la), merkle.sections(lb)).alias("where")).first()
-    assert r.near == pytest.approx(0.99) and getattr(r, "where") == [70 // merkle.SECTION]
+    a = [" ".join(str(rng.randint(0, 9999)) for _ in range(8)) + ". " for _ in range(400)]
+    rows = {"changed": a[:70] + ["changed here. "] + a[71:], "put in": a[:70] + ["one more here. "] + a[70:], "taken out": a[:70] + a[71:], "same": a}
+    df = spark.createDataFrame([(k, "".join(a), "".join(b)) for k, b in rows.items()], "kind string, a string, b string")
+    df = df.select("kind", "a", "b", merkle.leaves(F.col("a")).alias("la"), merkle.leaves(F.col("b")).alias("lb"))
+    df = df.select("*", merkle.sections(F.col("la")).alias("sa"), merkle.sections(F.col("lb")).alias("sb"))
+    out = df.select("kind", "a", "b", "sa", merkle.likeness(F.col("la"), F.col("lb")).alias("near"), merkle.differing_sections(F.col("sa"), F.col("sb")).alias("at"))
+    got = {r.kind: r for r in out.collect()}
+    for kind, r in got.items():
+        assert r.sa == slow_tree(r.a)[1] and len(r.sa) > 10 and r.at == slow_changes(r.a, r.b)
+        assert r.near == pytest.approx(slow_dice(r.a, r.b)) and len(r.at) <= (0 if kind == "same" else 2)
+    ends = [k + 1 for k, p in enumerate(slow_leaves("".join(a))) if p[0] == "0"]
+    assert got["changed"].at[0] == sum(e <= 70 for e in ends)
 
 
 def test_language(spark, sf):
