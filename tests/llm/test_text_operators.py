@@ -106,6 +106,71 @@ def test_substring_random(spark):
     assert got == without_duplicates(docs, 5)
 
 
+def slow_parse(docs, length):
+    """Windows that a smaller id holds, with the first place of their words."""
+    first, out = {}, {}
+    for i, w in sorted(docs.items()):
+        for k in range(len(w) - length + 1):
+            first.setdefault(tuple(w[k : k + length]), (i, k))
+        out[i] = {k: first[tuple(w[k : k + length])] for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])][0] < i}
+    return out
+
+
+@pytest.mark.parametrize("held", [40, 500_000])
+def test_phrases_hold_their_source(spark, monkeypatch, held):
+    """Phrases cover just the duplicate windows, name a smaller id that holds their words there, and go on as far as the source does."""
+    monkeypatch.setattr(substring, "HELD", held)
+    rng = random.Random(9)
+    base, docs = [f"w{rng.randint(0, 30)}" for _ in range(500)], {}
+    for i in range(40):
+        docs[i] = []
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randint(0, 400)
+            docs[i] += base[a : a + rng.randint(3, 60)] + [f"u{rng.random()}"] * rng.randint(0, 2)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(5)
+    want = slow_parse(docs, 6)
+    assert sum(map(len, want.values())) > 500
+    for r in substring.remove_duplicates(df, length=6).collect():
+        w, covered = docs[r.doc_id], set()
+        for p in r.phrases:
+            assert p.source < r.doc_id and p.after - p.first >= 6
+            assert w[p.first : p.after] == docs[p.source][p.source_first : p.source_first + p.after - p.first]
+            covered |= set(range(p.first, p.after - 5))
+        assert covered == set(want[r.doc_id])
+        if held > 1000:
+            joints = [(a, b) for a, b in zip(r.phrases, r.phrases[1:]) if b.first == a.after - 5]
+            assert not any(a.source == b.source and b.source_first - a.source_first == b.first - a.first for a, b in joints)
+
+
+def test_equal_windows_lie_under_equal_anchors():
+    rng = random.Random(3)
+    texts = [[b"%d" % rng.randint(0, 4) for _ in range(rng.randint(13, 200))] for _ in range(30)]
+    pieces, anchors, words = substring.cut_pieces(list(range(30)), texts, 13)
+    under, n = {}, 0
+    for p, a, text in zip(pieces, anchors, words):
+        w = text.split(b" ")
+        assert w == texts[p["doc"]][p["first"] : p["first"] + p["n"] + 12]
+        for k in range(p["n"]):
+            assert under.setdefault(tuple(w[k : k + 13]), a) == a
+            n += 1
+    assert n == sum(len(t) - 12 for t in texts)
+
+
+def test_words_decide_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(substring, "_roll", lambda each, length: np.zeros(len(each) - length + 1, np.uint64))
+    texts = {1: b"a b c d e", 2: b"x b c d y", 3: b"a b c e f"}
+    rows = [(np.array([(i, 0, 3)], substring._PIECE), t) for i, t in texts.items()]
+    got = [(p["doc"], p["first"], p["n"], p["source"], p["at"]) for p in substring.parse_block(rows, 3)]
+    assert got == [(2, 1, 1, 1, 1), (3, 0, 1, 1, 0)]
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words[:20])), (2, " ".join(words[:20])), (2, " ".join(words[20:])), (2, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 20, 0), (2, 0, 0), (2, 20, 0), (2, 20, 20)]
+
+
 def test_substring_empty(none):
     assert substring.remove_duplicates(none).count() == 0
 
