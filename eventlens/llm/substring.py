@@ -141,12 +141,11 @@ def _dealt(docs: list[int], texts: list[list[bytes]], length: int, n_blocks: int
         yield block, False, _pack(pieces[rows]), zstandard.compress(b" ".join([words[k] for k in rows.tolist()]), 1)
 
 
-class _Names(dict):
-    """Numbers words in order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _named(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of a text whose words all end with a space, equal for equal words, and where each word starts."""
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(text)])
+    return words.dictionary_encode().indices.to_numpy(), starts
 
 
 def _sources(names: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +174,8 @@ def _sources(names: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int)
 
 def parse_block(rows: list[tuple[np.ndarray, bytes]], length: int) -> np.ndarray:
     """The phrases of a block's pieces: rows hold pieces and their words (one space between)."""
-    book, parts = _Names(), []
-    for _, text in rows:
-        words = text.split(b" ")
-        parts.append(np.fromiter(map(book.__getitem__, words), np.int32, len(words)))
-    names, pieces = np.concatenate(parts), np.concatenate([p for p, _ in rows])
-    del parts
+    text, pieces = b" ".join([t for _, t in rows]) + b" ", np.concatenate([p for p, _ in rows])
+    names, byte = _named(text)
     sizes = pieces["n"].astype(np.int64) + length - 1
     order = np.lexsort((pieces["first"], pieces["doc"]))
     offset, pieces = (np.cumsum(sizes) - sizes)[order], pieces[order]
@@ -197,9 +192,8 @@ def parse_block(rows: list[tuple[np.ndarray, bytes]], length: int) -> np.ndarray
         out["n"] = np.diff(begins, append=len(found))
         out["doc"], out["first"] = doc[a], pieces["first"][piece[a]] + (start[a] - offset[piece[a]])
         out["source"], out["at"] = doc[b], pieces["first"][piece[b]] + (start[b] - offset[piece[b]])
-        words = list(book)
         ends = start[a] + out["n"] + length - 1
-        out["digest"] = [xxhash.xxh64_intdigest(b" ".join([words[w] for w in names[i:j].tolist()])) for i, j in zip(start[a].tolist(), ends.tolist())]
+        out["digest"] = [xxhash.xxh64_intdigest(text[i:j]) for i, j in zip(byte[start[a]].tolist(), (byte[ends] - 1).tolist())]
     return out
 
 
