@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -499,6 +500,25 @@ def test_ownership(spark):
     assert {r.doc_id: r.t for r in told.collect()}[9] == "[secret] [secret]"
 
 
+def test_many_spans_in_one_text(spark):
+    """A long dump of credentials, also with overlapping spans, ends soon and comes out as the plain loop has it."""
+    rng = random.Random(4)
+    long = "é ".join(f"password={rng.getrandbits(64):x} {rng.getrandbits(120):030x} token: secret=a{k}bcdef" for k in range(6000))
+    texts = [long, "password=abcdef", "x password=abcdef", "none", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source")
+    began = time.monotonic()
+    told = df.join(secrets.find(df), "doc_id").select("*", secrets.listed(secrets.F.col("base")).alias("b"), secrets.redact(secrets.F.col("text"), secrets.F.col("all")).alias("t"))
+    for r in told.collect():
+        assert r.b == slow_spans(r.text)
+        at, want = 0, ""
+        for s in r["all"]:
+            if s.start >= at:
+                want += r.text[at : s.start] + "[secret]"
+            at = max(at, s.end)
+        assert r.t == want + r.text[at:]
+    assert time.monotonic() - began < 60
+
+
 def test_copies_within_one_source_are_no_live_secret(spark):
     example, live, late = "Example0Token1Example2", "Zx81kd93Kdl20dkQ11mv", "abcdefghij" * 7 + "1z2y3x4w"
     docs = [(k, f"see {example} here", "hot") for k in range(40)] + [(50, f"a {live} b", "hot"), (51, f"a {live} b", "hot"), (60, f"long {late} end", "hot"), (61, "only-letters-of-a-long-name=5", "hot")]
