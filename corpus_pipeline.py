@@ -20,6 +20,7 @@ What stages do in odd cases (all are tested):
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,21 +108,47 @@ def _files(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+def made_from(docs: DataFrame) -> str:
+    """A digest of the files behind the documents (name, size, time of change) and of the stages' names."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    told = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((tuple(map(str, told)), docs.schema.json(), [name for name, _ in STAGES])).encode()).hexdigest()
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The last stage's rows over the documents of sf_dir.
 
-    Each stage is written to the shared folder and read again. With a folder of one's own, stages that are complete there aren't run
-    again, so an interrupted run goes on where it stopped, and all stay; otherwise only the last stage's rows stay.
+    Each stage is written to the shared folder and read again. With a folder of one's own, stages that are complete there and were made
+    from the same files aren't run again, so an interrupted run goes on where it stopped, and all stay; otherwise only the last stage's
+    rows stay. Which code made a stage isn't noted: take a new folder after a change of code.
     """
     at = folder or f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = made_from(docs) if folder else None
+
+    def complete(k: int) -> bool:
+        """Whether the stage and the note of its input, which is written after it, are whole and the input is this one."""
+        for path in (f"{at}/{k}/_SUCCESS", f"{at}/{k}.made/_SUCCESS"):
+            files, done = _files(spark, path)
+            if not files.exists(done):
+                return False
+        return spark.read.text(f"{at}/{k}.made").first()[0] == made
+
+    def delete(path: str) -> None:
+        files, old = _files(spark, path)
+        files.delete(old, True)
+
+    going_on = folder is not None
     for k, (_, stage) in enumerate(STAGES):
-        files, done = _files(spark, f"{at}/{k}/_SUCCESS")
-        if folder is None or not files.exists(done):
+        going_on = going_on and complete(k)
+        if not going_on:
+            if folder:
+                delete(f"{at}/{k}.made")
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
+            if folder:
+                spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/{k}.made")
         docs = spark.read.parquet(f"{at}/{k}")
     if folder is None:
         for k in range(len(STAGES) - 1):
-            files, old = _files(spark, f"{at}/{k}")
-            files.delete(old, True)
+            delete(f"{at}/{k}")
     return docs
