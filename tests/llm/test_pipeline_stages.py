@@ -115,3 +115,28 @@ def test_run_resumes(spark, sf, tmp_path, monkeypatch):
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, fail) for n, _ in corpus_pipeline.STAGES])
     assert corpus_pipeline.run(spark, sf, str(tmp_path / "run")).count() == first
+
+
+def test_resumed_run_notices_other_input(spark, sf, tmp_path, monkeypatch):
+    """Stages made from the same files stay; other files, or a stage without its note, are made anew, and all that follow."""
+    made = []
+
+    def stage(name):
+        def act(spark, docs, sf_dir):
+            made.append(name)
+            return docs
+
+        return name, act
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage(n) for n in "abc"])
+    docs, at, data = spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "run"), tmp_path / "data"
+    docs.limit(5).write.parquet(f"{data}/documents.parquet")
+    for want, n in (("abc", 5), ("", 5)):
+        made.clear()
+        assert corpus_pipeline.run(spark, str(data), at).count() == n and "".join(made) == want
+    (tmp_path / "run" / "1.made" / "_SUCCESS").unlink()
+    made.clear()
+    assert corpus_pipeline.run(spark, str(data), at).count() == 5 and made == ["b", "c"]
+    docs.limit(7).write.mode("overwrite").parquet(f"{data}/documents.parquet")
+    made.clear()
+    assert corpus_pipeline.run(spark, str(data), at).count() == 7 and made == ["a", "b", "c"]
