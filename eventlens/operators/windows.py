@@ -49,18 +49,19 @@ def oracle_verdicts(windows: DataFrame, truth: DataFrame, hit: float = 0.9, wind
 
     The first event (by ord, then class) with a common part names the class; untimed events stand for the whole clip. `window` is the usual length of a
     window: time is cut into bins of it, windows and events meet by video and bin, so a video's windows never meet all of its events. A
-    window lies in the bins it touches; its first event over all of them is the least of its bins' first events.
+    window lies in the bins it touches; its first event over all of them is the least of its bins' first events. Both sides are exploded, which Spark's
+    size estimates don't see, so the joins are asked to sort and merge: as a broadcast a side would go through the driver.
     """
     first = lambda s: F.floor(s / window)
     last = lambda s, e: F.greatest(first(s), F.ceil(e / window) - 1)
     keys = ["video_id", "win_ord", "win_start", "win_end"]
     w = windows.withColumn("_bin", F.explode(F.sequence(first(F.col("win_start")), last(F.col("win_start"), F.col("win_end")))))
     clips = windows.groupBy("video_id").agg(F.max("duration").alias("_d"))
-    t = truth.select("video_id", "class_name", "ord", "start", "end").join(clips, "video_id")
+    t = truth.select("video_id", "class_name", "ord", "start", "end").join(clips.hint("merge"), "video_id")
     s, e = F.coalesce("start", F.lit(0.0)), F.coalesce("end", "_d")
     t = t.select(F.col("video_id").alias("_v"), F.struct("ord", "class_name").alias("_c"), s.alias("_s"), F.least(e, F.col("_d")).alias("_e")).where("_e > _s")
     t = t.withColumn("_bin2", F.explode(F.sequence(first(F.col("_s")), last(F.col("_s"), F.col("_e")))))
-    hits = w.join(t, (F.col("video_id") == F.col("_v")) & (F.col("_bin") == F.col("_bin2")) & (overlap(F.col("win_start"), F.col("win_end"), F.col("_s"), F.col("_e")) > 0), "left")
+    hits = w.join(t.hint("merge"), (F.col("video_id") == F.col("_v")) & (F.col("_bin") == F.col("_bin2")) & (overlap(F.col("win_start"), F.col("win_end"), F.col("_s"), F.col("_e")) > 0), "left")
     best = hits.groupBy(*keys).agg(F.min("_c")["class_name"].alias("c"))
     return best.select(*keys, F.coalesce("c", F.lit(NORMAL)).alias("class_name"), F.when(F.col("c").isNotNull(), hit).otherwise(0.0).alias("score"))
 
