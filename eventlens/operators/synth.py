@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.operators.lineage import cut
+
 #: Target seconds, share of them covered by events, events per video.
 TARGET_SEC, TARGET_COVERAGE, PER_VIDEO = 240.0, 0.08, (1, 6)
 #: Filler of this length or less isn't laid.
@@ -22,12 +24,17 @@ def draw(seed: int, *what: Column) -> Column:
 
 
 def numbered(pool: DataFrame, order: str) -> DataFrame:
-    """The pool with pool_no 1..n in order of a key (per-range counts first, so rows are sorted within ranges only)."""
-    ranged = pool.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    """The pool with pool_no 1..n in order of a key. Ranges of it are sorted, each by itself, and a range begins after the rows of those before it.
+
+    The sorted ranges are evaluated once (lineage.cut): rows and sizes must be of the same ranges, whose bounds are sampled anew in every evaluation.
+    """
+    ranged = pool.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    # A row's number within its partition is in the lower 33 bits, the partition's above.
+    ranged = cut(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("pool_no", F.col("_before") + F.col("_r")).drop("_p", "_q", "_r", "_before")
+    return ranged.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("pool_no", F.col("_before") + F.col("_r") + 1).drop("_m", "_p", "_q", "_r", "_before")
 
 
 def timelines(videos: DataFrame, normals: DataFrame, anomalies: DataFrame, seed: int = 0, target: float = TARGET_SEC, share: float = TARGET_COVERAGE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from eventlens.operators import windows
+from eventlens.operators import synth, windows
 
 
 def plan(df):
@@ -16,3 +16,16 @@ def test_first_events_are_not_broadcast(spark):
     out = windows.oracle_verdicts(windows.sliding_windows(clips, "duration"), truth)
     assert "Broadcast" not in plan(out)
     assert [tuple(r) for r in out.select("class_name", F.lit(1)).groupBy("class_name").count().collect()] == [("fire", 500)]
+
+
+def test_numbers_are_whole_over_many_ranges(spark):
+    """More rows than are sampled for the ranges' bounds: every number from 1 once, in order of the key, whatever other columns are asked for."""
+    n = 60_000
+    rows = spark.range(n).select(F.struct((F.col("id") * 7919 % n).alias("a"), F.lit(0).alias("b")).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("pad")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        out = synth.numbered(rows, "key")
+        bad = out.where("pool_no <> key.a + 1").count()
+        assert (out.count(), bad, out.agg(F.sum(F.length("pad"))).first()[0]) == (n, 0, 64 * n)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
