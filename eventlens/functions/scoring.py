@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +33,18 @@ def first_class(text: Column, classes: list[str] | None = None, normal_first: bo
     return out.otherwise(F.lit(NORMAL))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often `use` names it: inside a lambda an expression is evaluated anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Shifted by the maximum, over an array of doubles."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        return bound(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(powers, lambda x: x / total))
+
+    return bound(F.array_max(logits), lambda top: bound(F.transform(logits, lambda x: F.exp(x - top)), shares))
 
 
 def pair_probability(t: Column, f: Column) -> Column:
@@ -52,16 +60,21 @@ def boolean_probability(steps: Column, true_ids: list[int], false_ids: list[int]
     """
     both = set(true_ids) & set(false_ids)
     t, f = [i for i in true_ids if i not in both], [i for i in false_ids if i not in both]
-    step = F.get(F.filter(steps, lambda s: F.lower(F.trim(s["piece"])).rlike("^(true|false)")), F.lit(0))
-    hard = F.when(F.lower(F.trim(step["piece"])).startswith("true"), 1.0).otherwise(0.0)
-    probs = softmax(step["logits"])
+    first = F.get(F.filter(steps, lambda s: F.lower(F.trim(s["piece"])).rlike("^(true|false)")), F.lit(0))
+
+    def of(step: Column) -> Column:
+        hard = F.when(F.lower(F.trim(step["piece"])).startswith("true"), 1.0).otherwise(0.0)
+
+        def soft(probs: Column) -> Column:
+            def mass(ids: list[int]) -> Column:
+                return sum((F.coalesce(F.get(probs, F.lit(i)), F.lit(0.0)) for i in ids), F.lit(0.0))
+
+            both = F.struct(mass(t).alias("t"), (mass(t) + mass(f)).alias("total"))
+            return bound(both, lambda m: F.when(m["total"] > 0, m["t"] / F.nullif(m["total"], F.lit(0.0))).otherwise(hard))
 
-    def mass(ids: list[int]) -> Column:
-        return sum((F.coalesce(F.get(probs, F.lit(i)), F.lit(0.0)) for i in ids), F.lit(0.0))
+        return F.when(step.isNotNull(), bound(softmax(step["logits"]), soft) if t and f else hard)
 
-    total = mass(t) + mass(f)
-    soft = F.when(total > 0, mass(t) / F.nullif(total, F.lit(0.0))).otherwise(hard) if t and f else hard
-    return F.when(step.isNotNull(), soft)
+    return bound(first, of)
 
 
 def verdict(reply: Column, probability: Column) -> Column:

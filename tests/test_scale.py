@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from eventlens.functions import scoring
 from eventlens.operators import synth, windows
 
 
@@ -29,3 +30,13 @@ def test_numbers_are_whole_over_many_ranges(spark):
         assert (out.count(), bad, out.agg(F.sum(F.length("pad"))).first()[0]) == (n, 0, 64 * n)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_probability_evaluates_its_logits_once(spark):
+    """The steps of a reply stand in the plan once: what is named several times is bound, not repeated."""
+    said = F.array(F.struct(F.concat(F.lit(" tr"), F.lit("ue"), F.col("id").cast("string")).alias("piece"), F.array(F.lit(-10.0), F.sqrt("id"), F.lit(0.5), F.lit(None).cast("double")).alias("logits")))
+    out = spark.range(1, 5).select("id", scoring.boolean_probability(said, [1], [2]).alias("p"))
+    text = out._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert (text.count("SQRT("), text.count("AGGREGATE("), text.count("ARRAY_MAX(")) == (1, 1, 1)
+    null = spark.range(1).select(scoring.boolean_probability(F.array(F.struct(F.lit("no").alias("piece"), F.array(F.lit(1.0)).alias("logits"))), [1], [2]).alias("p"))
+    assert null.first().p is None
