@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.schema import CLASSES, NORMAL
@@ -51,13 +51,20 @@ def runtimes(calls: DataFrame, model_name: str) -> DataFrame:
     return stats.join(sums, "video_id").select("video_id", whole.alias("runtime_metadata"))
 
 
+def _head(submission_id: str, model_name: str, hardware: str, wall_ms: float, version: str) -> list[Column]:
+    run = F.struct(F.lit(wall_ms).alias("total_wall_time_ms"), F.lit(hardware).alias("hardware"))
+    return [F.lit(version).alias("schema_version"), F.lit(submission_id).alias("submission_id"), F.lit(model_name).alias("model_name"), run.alias("run_metadata")]
+
+
+def document_head(spark: SparkSession, submission_id: str, model_name: str, hardware: str, wall_ms: float, version: str = "1.0") -> DataFrame:
+    """One row: a document without its predictions, for writers.document_lines."""
+    return spark.range(1).select(*_head(submission_id, model_name, hardware, wall_ms, version))
+
+
 def document(found: DataFrame, submission_id: str, model_name: str, hardware: str, wall_ms: float, version: str = "1.0") -> DataFrame:
-    """One row: the whole document; predictions in order of video. A document is one value by its format, one entry per video."""
+    """One row: the whole document; predictions in order of video. It is one value, for what the platform takes; larger ones are written by writers.document_lines."""
     packed = found.agg(F.array_sort(F.collect_list(F.struct(*found.columns))).alias("predictions"))
-    return packed.select(
-        F.lit(version).alias("schema_version"), F.lit(submission_id).alias("submission_id"), F.lit(model_name).alias("model_name"),
-        F.struct(F.lit(wall_ms).alias("total_wall_time_ms"), F.lit(hardware).alias("hardware")).alias("run_metadata"), "predictions",
-    )
+    return packed.select(*_head(submission_id, model_name, hardware, wall_ms, version), "predictions")
 
 
 def validate(found: DataFrame, levels: DataFrame | None = None) -> DataFrame:

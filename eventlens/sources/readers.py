@@ -112,6 +112,13 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("predictions").alias("p")).select("p.*")
 
 
+def submission_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As submissions, of a document that writers.document_lines wrote: its lines are read apart, as a part of the text may be."""
+    lines = spark.read.text(path).where(F.substring("value", 1, 2).isin(" {", ",{"))
+    kind = S.SUBMISSION["predictions"].dataType.elementType
+    return lines.select(F.from_json(F.expr("substring(value, 2)"), kind).alias("p")).select("p.*")
+
+
 def frames(spark: SparkSession, path: str) -> DataFrame:
     """dir, frame_no, path, content of f<N>.jpg files; order by frame_no, not by name."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "f*.jpg").option("recursiveFileLookup", True).load(path)

@@ -1,9 +1,12 @@
 """What must hold as tables grow: plans without large broadcasts, numbers that don't depend on the deal of rows, tasks of bounded size."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from eventlens.functions import scoring
-from eventlens.operators import synth, windows
+from eventlens.operators import submission, synth, windows
+from eventlens.sources import readers, writers
 
 
 def plan(df):
@@ -40,3 +43,28 @@ def test_probability_evaluates_its_logits_once(spark):
     assert (text.count("SQRT("), text.count("AGGREGATE("), text.count("ARRAY_MAX(")) == (1, 1, 1)
     null = spark.range(1).select(scoring.boolean_probability(F.array(F.struct(F.lit("no").alias("piece"), F.array(F.lit(1.0)).alias("logits"))), [1], [2]).alias("p"))
     assert null.first().p is None
+
+
+def test_a_document_is_written_and_read_in_parts(spark, tmp_path):
+    """The parts in order are one JSON text with the entries in order of video; no row holds them all."""
+    n, at = 3_000, tmp_path / "d"
+    none = F.lit(None).cast("double")
+    event = F.struct(F.lit('a "quoted" } name\n').alias("class_name"), none.alias("start_time_sec"), F.col("id").cast("double").alias("end_time_sec"), F.lit(None).cast("string").alias("explanation"))
+    found = spark.range(n).repartition(5).select(F.format_string("v%05d", "id").alias("video_id"), F.when(F.col("id") % 3 > 0, F.array(event)).otherwise(F.array().cast("array<struct<class_name:string,start_time_sec:double,end_time_sec:double,explanation:string>>")).alias("events"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        head = submission.document_head(spark, "id", "m", "cpu", 1.0)
+        assert not writers.document_lines(found, head, str(at))
+        assert writers.document_lines(found, head, str(at), warn=1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(at.glob("part-*"))
+    assert len(parts) > 1 and max(p.stat().st_size for p in parts) < 0.7 * sum(p.stat().st_size for p in parts)
+    doc = json.loads("".join(p.read_text() for p in parts))
+    assert (doc["schema_version"], doc["run_metadata"]["hardware"]) == ("1.0", "cpu")
+    assert [p["video_id"] for p in doc["predictions"]] == [f"v{k:05d}" for k in range(n)]
+    assert doc["predictions"][1]["events"] == [{"class_name": 'a "quoted" } name\n', "start_time_sec": None, "end_time_sec": 1.0, "explanation": None}]
+    got = {r.video_id: [tuple(e)[:3] for e in r.events] for r in readers.submission_lines(spark, str(at)).collect()}
+    assert got == {f"v{k:05d}": [('a "quoted" } name\n', None, float(k))] if k % 3 else [] for k in range(n)}
+    writers.document_lines(found.where("false"), head, str(at))
+    assert json.loads("".join(p.read_text() for p in sorted(at.glob("part-*"))))["predictions"] == []
