@@ -21,8 +21,8 @@ from eventlens.operators.lineage import cut
 from eventlens.operators.scans import meet
 
 KEYS = ["video_id", "class_name"]
-#: Rows of an island that is folded at most.
-FOLD = 128
+#: Rows of an island that is folded at most; rows of a task that sorts and packs the events of a sweep, about.
+FOLD, ROWS = 128, 250_000
 
 _FOUND = "array<struct<pid:bigint,gid:bigint,iou:double,real:boolean>>"
 _REST = "array<struct<neg:double,pid:bigint>>"
@@ -217,6 +217,9 @@ def by_policy(truth: DataFrame, found: DataFrame, policies: DataFrame, tau: floa
     p = found.select(*KEYS, F.lit(True).alias("is_p"), F.col("combo").cast("bigint").alias("ord"), F.col("start").alias("s"), F.col("end").alias("e"), (-F.col("score")).alias("neg"), "len")
     g = truth.select(*KEYS, F.lit(False).alias("is_p"), F.col("ord").cast("bigint").alias("ord"), F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"))
     rows = p.unionByName(g, allowMissingColumns=True)
+    # Sorted and packed rows take far more memory than their shuffled size tells.
+    n = rows.count() // ROWS + 1
+    rows = rows if n == 1 else rows.repartition(n, *KEYS)
     small, large = _split(rows, official, False, FOLD * max(1, len({r.combo for r in own})))
     asked = policies.groupBy("combo").agg(F.collect_list(F.struct("policy_id", F.col("least").cast("double").alias("least"))).alias("l"))
     asked = asked.agg(F.map_from_entries(F.collect_list(F.struct(F.col("combo").cast("bigint").alias("combo"), "l"))).alias("_q"))
