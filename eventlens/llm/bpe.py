@@ -3,7 +3,8 @@
 Each match of the split pattern is merged alone. A segment tree over the byte positions holds, for
 every live token, the rank of the pair it forms with its right neighbour; the root is the leftmost
 pair of least rank. A merge touches three leaves (the token, the neighbour it swallowed and the
-token to its left), so a match of n bytes takes O(n log n) however long it is.
+token to its left), so a match of n bytes takes O(n log n) however long it is. A node has WIDTH
+children, so that the tree of a usual word is its root and leaves.
 
 Null and empty texts have no tokens; decoding them gives empty bytes. Rows are independent, so ties,
 repeated rows and other columns don't matter: results hold the id column and the new columns only.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.llm.common import ship
 
 _END = 1 << 62
+#: Children of a node of the segment tree.
+WIDTH = 16
 #: Most distinct matches that a worker keeps encoded, twice.
 CACHE = 250_000
 
@@ -38,47 +42,43 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []
-    size = 1 << (n - 1).bit_length()
-    tree = [_END] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * n + i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+    leaves = [_END if (rank := get(piece[i : i + 2])) is None else rank * n + i for i in range(n - 1)]
+    levels, above = [leaves], n - 1
+    while above > WIDTH:
+        low = levels[-1]
+        levels.append([min(low[k : k + WIDTH]) for k in range(0, above, WIDTH)])
+        above = len(levels[-1])
+    root = levels.pop()
+    tall = levels + [root] if levels else None
     end = list(range(1, n + 1))
     left = list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        while k > 1:
-            a, b = tree[k], tree[k ^ 1]
-            k >>= 1
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-
-    def pair(i: int) -> int:
-        j = end[i]
-        if j >= n:
-            return _END
-        rank = get(piece[i : end[j]])
-        return _END if rank is None else rank * n + i
-
-    while tree[1] < _END:
-        i = tree[1] % n
+    while (top := min(root)) < _END:
+        i = top % n
         j = end[i]
         end[i] = k = end[j]
+        before = left[i]
         if k < n:
             left[k] = i
-        put(j, _END)
-        put(i, pair(i))
-        if left[i] >= 0:
-            put(left[i], pair(left[i]))
+            rank = get(piece[i : end[k]])
+            leaves[i] = _END if rank is None else rank * n + i
+            leaves[j] = _END
+        else:
+            leaves[i] = _END
+        if before >= 0:
+            rank = get(piece[before:k])
+            leaves[before] = _END if rank is None else rank * n + before
+        if tall is None:
+            continue
+        # The leaves stand; from each the way up ends where a node keeps its value.
+        for k in (before, i, j):
+            if 0 <= k < n - 1:
+                for low, high in pairwise(tall):
+                    k //= WIDTH
+                    least = min(low[k * WIDTH : k * WIDTH + WIDTH])
+                    if high[k] == least:
+                        break
+                    high[k] = least
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from eventlens.functions import scoring
+from eventlens.llm import bpe
 from eventlens.operators import matching, sessions, submission, sweep, synth, windows
 from eventlens.plans import adapters
 from eventlens.sources import readers, writers
@@ -81,3 +82,26 @@ def test_tasks_of_a_sweep_are_dealt_by_rows(spark, sf, monkeypatch):
     streams = sessions.dealt(sessions.candidate_streams(v), v)
     assert streams.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 4
     assert (rows(sessions.combinations(v, some)[0]), rows(sweep.sweep(v, t, some))) == want
+
+
+def test_the_tree_of_a_usual_word_is_its_root():
+    """Merging compares few nodes: a word of up to WIDTH bytes asks for its ranks and no tree is walked; longer ones agree with a plain loop."""
+    import random
+
+    rng, ranks = random.Random(4), {bytes([c]): c - 97 for c in range(97, 101)}
+    for a in [x + y for x in list(ranks) for y in list(ranks)] + [x + y + z for x in list(ranks) for y in list(ranks)[:2] for z in list(ranks)[:2]]:
+        ranks[a] = len(ranks)
+
+    def plain(piece):
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while True:
+            found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[x] for x in parts]
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    assert bpe.WIDTH >= 8
+    for n in [*range(40), 255, 256, 257, 300]:
+        piece = bytes(rng.choice(b"abcd") for _ in range(n))
+        assert bpe.merge(piece, ranks) == plain(piece)
