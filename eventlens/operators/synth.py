@@ -15,6 +15,8 @@ from eventlens.operators.lineage import cut
 TARGET_SEC, TARGET_COVERAGE, PER_VIDEO = 240.0, 0.08, (1, 6)
 #: Filler of this length or less isn't laid.
 LEAST_FILLER = 0.5
+#: Background clips that a gap draws at first beyond those that would fill it twice.
+DRAWS = 4
 _UNIT = float(1 << 53)
 
 
@@ -44,7 +46,7 @@ def timelines(videos: DataFrame, normals: DataFrame, anomalies: DataFrame, seed:
     nothing usable are left out. Per video 1 to 6 events; clips that would exceed 1.5 times the budget are passed over, but not the first.
     """
     backgrounds = normals.where(F.col("duration") > LEAST_FILLER)
-    stats = backgrounds.agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("least")).first()
+    stats = backgrounds.agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("least"), F.avg("duration").alias("mean")).first()
     if not stats.n:
         raise ValueError(f"no background clip is longer than {LEAST_FILLER} s")
     n_bad = anomalies.count()
@@ -78,10 +80,20 @@ def timelines(videos: DataFrame, normals: DataFrame, anomalies: DataFrame, seed:
     parts = v.select("video_id", F.posexplode(F.sequence(F.lit(0), F.size("chosen"))).alias("k", "_k"), "chosen", "edges")
     parts = parts.select("video_id", "k", (F.get("edges", F.col("k") + 1) - F.get("edges", F.col("k"))).alias("gap"), F.get("chosen", F.col("k")).alias("clip"))
 
-    most = F.ceil(F.col("gap") / stats.least).cast("int")
-    fill = parts.where(F.col("gap") > LEAST_FILLER).withColumn("j", F.explode(F.sequence(F.lit(1), most)))
-    fill = fill.withColumn("pool_no", F.floor(draw(seed, F.col("video_id"), F.col("k"), F.lit("fill"), F.col("j")) * stats.n).cast("bigint") + 1)
-    fill = fill.join(numbered(backgrounds, "path").select("pool_no", "path", F.col("duration").cast("double").alias("duration")), "pool_no")
+    # Draws that clips of the mean length, twice over, would fill a gap with come first, and only gaps that are still open draw the rest.
+    gaps = parts.where(F.col("gap") > LEAST_FILLER).select("video_id", "k", "gap", F.ceil(F.col("gap") / stats.least).cast("int").alias("most"))
+    gaps = gaps.withColumn("soon", F.least("most", F.ceil(2 * F.col("gap") / stats.mean).cast("int") + DRAWS))
+    pool = numbered(backgrounds, "path").select("pool_no", "path", F.col("duration").cast("double").alias("duration"))
+
+    def drawn_fill(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        each = rows.select("video_id", "k", "gap", F.explode(F.sequence(first, last)).alias("j"))
+        each = each.withColumn("pool_no", F.floor(draw(seed, F.col("video_id"), F.col("k"), F.lit("fill"), F.col("j")) * stats.n).cast("bigint") + 1)
+        return each.join(pool, "pool_no")
+
+    fill = drawn_fill(gaps, F.lit(1), F.col("soon"))
+    had = fill.groupBy("video_id", "k").agg(F.sum("duration").alias("had"))
+    still = gaps.where("most > soon").join(had, ["video_id", "k"]).where(F.col("gap") - F.col("had") > LEAST_FILLER / 2)
+    fill = fill.unionByName(drawn_fill(still, F.col("soon") + 1, F.col("most")))
     order = Window.partitionBy("video_id", "k").orderBy("j")
     fill = fill.withColumn("done", F.coalesce(F.sum("duration").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     fill = fill.where(F.col("gap") - F.col("done") > LEAST_FILLER)

@@ -84,6 +84,18 @@ def test_tasks_of_a_sweep_are_dealt_by_rows(spark, sf, monkeypatch):
     assert (rows(sessions.combinations(v, some)[0]), rows(sweep.sweep(v, t, some))) == want
 
 
+def test_gaps_draw_what_they_need(spark, monkeypatch):
+    """Gaps draw by the mean length first; those left open by short clips draw on, so that timelines are those of all draws at once."""
+    videos = spark.range(60).select(F.format_string("v%d", "id").alias("video_id"), (F.col("id") % 4 == 0).alias("pure"))
+    normals = spark.range(40).select(F.format_string("n%02d", "id").alias("path"), F.when(F.col("id") < 36, 1.25).otherwise(90.0).alias("duration"))
+    bad = spark.range(9).select(F.format_string("b%d", "id").alias("path"), F.lit("fire").alias("class_name"), F.lit(1.0).alias("start"), F.lit(3.0).alias("end"), F.lit(5.0).alias("duration"))
+    rows = lambda: sorted(map(repr, synth.timelines(videos, normals, bad, seed=3).collect()))
+    monkeypatch.setattr(synth, "DRAWS", 0)
+    few = rows()
+    monkeypatch.setattr(synth, "DRAWS", 10_000)
+    assert few == rows() and len(few) == 60
+
+
 def test_the_tree_of_a_usual_word_is_its_root():
     """Merging compares few nodes: a word of up to WIDTH bytes asks for its ranks and no tree is walked; longer ones agree with a plain loop."""
     import random
