@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from eventlens.operators.sessions import gated
 from eventlens.schema import SCALES
+from eventlens.streaming.hysteresis import BUCKETS
 
 WINDOW = "video_id string, win_ord int, win_start double, win_end double"
 
@@ -42,56 +43,74 @@ def merged(spans: DataFrame, merge_gap_sec: float = 5.0, watermark: str = "1 hou
 
 
 class Grid(StatefulProcessor):
-    """Per video: the length seen so far, the next window's number, and whether it has ended; an ended one is remembered while its chunks may still come."""
+    """Per bucket of videos: each one's length seen so far, its next window's number, whether it has ended, and until when (milliseconds) chunks may still come.
+
+    All videos of a bucket are worked out together, as arrays: Python and the state store are called once a bucket and batch, not once a video.
+    """
 
     def __init__(self, window: float, stride: float, idle: float):
         self.window, self.stride, self.idle = window, stride, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "upto double, next int, done boolean")
-
-    def _emit(self, key: tuple, upto: float, first: int, whole: bool) -> tuple[pd.DataFrame, int]:
-        """Windows that are certain at this length; with the whole length known also the last one, cut."""
-        if whole:
-            last = max(0, math.ceil((upto - self.window) / self.stride)) if upto > 0 else -1
-            rows = [(key[0], k, k * self.stride, min(k * self.stride + self.window, upto)) for k in range(first, last + 1) if k * self.stride < upto]
+        self.seen = handle.getValueState("seen", "video_id array<string>, upto array<double>, next array<int>, done array<boolean>, until array<bigint>")
+
+    def _emit(self, videos: pd.DataFrame, whole: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """Windows that are certain at these lengths, with the last one, cut, where the whole length is known; each video's next number."""
+        upto, first = videos["upto"].to_numpy(float), videos["next"].to_numpy(np.int64)
+        steps = (upto - self.window) / self.stride
+        last = np.where(whole, np.where(upto > 0, np.maximum(0, np.ceil(steps)), -1), np.floor(steps)).astype(np.int64)
+        n = np.maximum(0, last - first + 1)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        end, known, start = np.repeat(upto, n), np.repeat(whole, n), k * self.stride
+        rows = pd.DataFrame({"video_id": videos["video_id"].to_numpy(object).repeat(n), "win_ord": k.astype(np.int32), "win_start": start, "win_end": np.where(known, np.minimum(start + self.window, end), start + self.window)})
+        return rows[~known | (start < end)], np.maximum(first, last + 1)
+
+    def _advance(self, new: list[pd.DataFrame], mark: int) -> Iterator[pd.DataFrame]:
+        """new: this batch's chunks, a row a video and frame (video_id, upto, last, until); mark: the watermark in milliseconds."""
+        known = pd.DataFrame(dict(zip(("video_id", "upto", "next", "done", "until"), self.seen.get() if self.seen.exists() else [[]] * 5)))
+        every = pd.concat([known.astype({"upto": float, "next": int, "done": bool, "until": int}).assign(last=False, told=False), *(f.assign(next=0, done=False, told=True) for f in new)])
+        v = every.groupby("video_id", dropna=False, sort=False).max().reset_index()
+        idle = (~v["told"] & (v["until"] <= mark)).to_numpy()
+        v.loc[v["told"], "until"] = v["until"].clip(lower=mark + 1)
+        open_ = (v["told"].to_numpy() | idle) & ~v["done"].to_numpy()
+        out, nexts = self._emit(v[open_], (v["last"].to_numpy() | idle)[open_])
+        v.loc[open_, "next"] = nexts
+        v["done"] |= v["last"]
+        v = v[~idle]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if len(v):
+            ids = [x if isinstance(x, str) else None for x in v["video_id"]]
+            self.seen.update((ids, *(v[c].tolist() for c in ("upto", "next", "done", "until"))))
+            self.handle.registerTimer(max(int(v["until"].min()), mark + 1))
         else:
-            last = math.floor((upto - self.window) / self.stride)
-            rows = [(key[0], k, k * self.stride, k * self.stride + self.window) for k in range(first, last + 1)]
-        return pd.DataFrame(rows, columns=["video_id", "win_ord", "win_start", "win_end"]), max(first, last + 1)
+            self.seen.clear()
+        if len(out):
+            yield out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        upto, first, done = tuple(self.seen.get()) if self.seen.exists() else (0.0, 0, False)
-        at, ended = 0, False
+        new = []
         for frame in rows:
-            upto, ended = max(upto, float(frame["upto"].max())), ended or bool(frame["last"].any())
-            at = max(at, int(frame["at"].max().value // 1_000_000))
-        if not done:
-            out, first = self._emit(key, upto, first, ended)
-            yield out
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.seen.update((upto, first, done or ended))
-        self.handle.registerTimer(max(at + int(self.idle * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+            each = frame.groupby("video_id", dropna=False, sort=False).agg(upto=("upto", "max"), last=("last", "max"), until=("ms", "max")).reset_index()
+            new.append(each.assign(until=each["until"] + int(self.idle * 1000)))
+        yield from self._advance(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        upto, first, done = tuple(self.seen.get())
-        self.seen.clear()
-        if not done:
-            yield self._emit(key, upto, first, True)[0]
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def grid(chunks: DataFrame, window: float = SCALES["short"][0], stride: float = SCALES["short"][0], watermark: str = "1 hour", idle: float = 3600.0) -> DataFrame:
+def grid(chunks: DataFrame, window: float = SCALES["short"][0], stride: float = SCALES["short"][0], watermark: str = "1 hour", idle: float = 3600.0, buckets: int = BUCKETS) -> DataFrame:
     """The windows of growing videos: video_id, win_ord, win_start, win_end, counted from each video's own beginning.
 
     chunks: video_id, at (timestamp), upto (seconds of the video that are there now), last. A window comes out once the video covers it; the last one is cut when the
     video ends, by its last chunk or because it has been idle for `idle` seconds of event time. Chunks may come in any order within the watermark. Start it
-    within hysteresis.keyed_state(). Null at or upto are left out.
+    within hysteresis.keyed_state(). Null at or upto are left out. Videos are dealt to so many buckets, whose number a checkpoint is bound to.
     """
     marked = chunks.where("at is not null and upto is not null").withWatermark("at", watermark)
-    marked = marked.select(F.col("video_id").cast("string").alias("video_id"), "at", F.col("upto").cast("double").alias("upto"), F.coalesce("last", F.lit(False)).alias("last"))
-    return marked.groupBy("video_id").transformWithStateInPandas(Grid(window, stride, idle), WINDOW, "append", "EventTime")
+    video = F.col("video_id").cast("string")
+    marked = marked.select(F.pmod(F.xxhash64(video), F.lit(buckets)).alias("bucket"), video.alias("video_id"), "at", F.unix_millis("at").alias("ms"), F.col("upto").cast("double").alias("upto"), F.coalesce("last", F.lit(False)).alias("last"))
+    return marked.groupBy("bucket").transformWithStateInPandas(Grid(window, stride, idle), WINDOW, "append", "EventTime")

@@ -21,6 +21,8 @@ from eventlens.schema import DEFAULT_POLICY, NORMAL
 EVENT = "video_id string, class_name string, start double, end double, score double"
 SPAN = "cover double, latest double, s double, e double, m double, ps double, pe double, pm double"
 HELD = "at bigint, start double, end double, x double"
+#: Buckets that the keys of a stream are dealt to. Python and the state store are called once a bucket and batch, so neither once a key nor once a row.
+BUCKETS = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 

@@ -242,3 +242,24 @@ def test_windowed_and_session_counts_on_a_stream(spark, tmp_path):
     assert got == want
     sessions_seen = {(r.class_name, r.b): r.n for r in spark.read.parquet(str(tmp_path / "s")).select("class_name", F.unix_seconds("session_window.start").alias("b"), "n").collect()}
     assert sessions_seen == {("fire", 0): 1, ("fire", 9): 1, ("fire", 40): 1, ("smoke", 41): 1}
+
+
+def test_grid_stream_is_the_batch_in_few_buckets(spark, tmp_path):
+    """Growing videos, some of which say when they end, in three buckets: the batch's windows, and a state of a value and a timer a bucket instead of a video."""
+    from eventlens.operators import windows
+    from eventlens.streaming import feeds
+
+    clips = spark.range(60).select(F.col("id").cast("string").alias("video_id"), (F.col("id") % 23 + F.col("id") % 3 / 4).cast("double").alias("duration")).where("duration > 0")
+    k = F.explode(F.sequence(F.lit(0), F.ceil(F.col("duration") / 5).cast("int") - 1)).alias("k")
+    upto = F.least((F.col("k") + 1) * 5.0, F.col("duration"))
+    last = F.when(F.col("video_id").cast("int") % 2 == 0, upto == F.col("duration"))
+    chunks = clips.select("video_id", "duration", k).select("video_id", "k", F.timestamp_seconds(F.col("k") * 10 + 1000).alias("at"), upto.alias("upto"), last.alias("last"))
+    end = spark.createDataFrame([("end", 9)], "video_id string, k int").select("video_id", "k", F.timestamp_seconds(F.lit(99999)).alias("at"), F.lit(0.0).alias("upto"), F.lit(None).cast("boolean").alias("last"))
+    stream = put_in_steps(spark, chunks.unionByName(end), str(tmp_path / "in"), ["k = 1", "k in (0, 2)", "k in (3, 4)", "k = 9"])
+    out = feeds.grid(stream, watermark="60 seconds", idle=50.0, buckets=3)
+    with hysteresis.keyed_state(spark):
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 3
+    batch = windows.sliding_windows(clips, "duration").select("video_id", "win_ord", "win_start", "win_end")
+    assert sorted(map(tuple, spark.read.schema(feeds.WINDOW).parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
