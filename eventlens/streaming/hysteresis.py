@@ -1,4 +1,4 @@
-"""Hysteresis sessionisation on a stream, with typed state and event-time timers per feed and class.
+"""Hysteresis sessionisation on a stream, with typed state and event-time timers; feeds and classes are dealt to buckets, whose state is read and written together.
 
 Rows are held until the watermark has passed them, so those that arrive out of order within it are taken in order of (start, end, x); later ones are late and Spark drops them.
 Beside the held rows, state is the open span, the end of coverage and the merged event that a next span could still join. An event is final, and
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from eventlens.schema import DEFAULT_POLICY, NORMAL
 
 EVENT = "video_id string, class_name string, start double, end double, score double"
-SPAN = "cover double, latest double, s double, e double, m double, ps double, pe double, pm double"
-HELD = "at bigint, start double, end double, x double"
+SPAN = ["cover", "latest", "s", "e", "m", "ps", "pe", "pm"]
+HELD, KINDS = ["who", "at", "start", "end", "x"], [np.int64, np.int64, float, float, float]
+#: A bucket's state.
+FEEDS = "video_id array<string>, class_name array<string>, until array<bigint>, " + ", ".join(f"{c} array<double>" for c in SPAN) + ", who array<bigint>, at array<bigint>, " + ", ".join(f"{c} array<double>" for c in HELD[2:])
+N_FEEDS = 3 + len(SPAN) + len(HELD)
 #: Buckets that the keys of a stream are dealt to. Python and the state store are called once a bucket and batch, so neither once a key nor once a row.
 BUCKETS = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -83,89 +88,133 @@ class Machine:
         return self.cover - self.latest + self.p["max_window_gap_sec"] + self.p["merge_gap_sec"]
 
 
+def _machines(policy: dict[str, float], spans: list[tuple], who: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, int, int, Machine]]:
+    """Each feed's machine, by its place in spans, after its rows: place, first and last row, machine. Rows are in order of who, then time."""
+    edges = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)] if len(who) else [0]
+    for a, b in pairwise(edges):
+        k = int(who[a])
+        machine = Machine(policy, spans[k])
+        for row in zip(start[a:b].tolist(), end[a:b].tolist(), x[a:b].tolist()):
+            machine.row(*row)
+        yield k, a, b, machine
+
+
 class Feed(StatefulProcessor):
-    """Holds rows until the watermark, then runs the machine. A timer stands at the first held row, or else where the pending event becomes final."""
+    """Per bucket of feeds and classes: holds rows until the watermark, then runs each feed's machine over its own.
+
+    State is a row of arrays: a feed's span and until when (milliseconds) its pending event may be joined; of held rows the feed's place in those, and the row.
+    A timer stands at the first held row, or where the first pending event of a feed that holds none becomes final.
+    """
 
     def __init__(self, unit: float, policy: dict[str, float]):
         self.unit, self.policy = unit, policy
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.span = handle.getValueState("span", SPAN)
-        self.held = handle.getListState("held", HELD)
-
-    def _advance(self, key: tuple, rows: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        """rows: all that are held (at in microseconds); mark: the watermark in milliseconds."""
-        known = self.span.get() if self.span.exists() else None
-        machine = Machine(self.policy, tuple(known) if known is not None else None)
-        ready = sorted(r[1:] + r[:1] for r in rows if r[0] <= mark * 1000)
-        for start, end, x, _ in ready:
-            machine.row(start, end, x)
-        rest = [r for r in rows if r[0] > mark * 1000]
-        at = max((r[3] for r in ready), default=None)
-        if rest:
-            self.held.put(rest)
-            timer = -(-min(r[0] for r in rest) // 1000)
-        else:
-            self.held.clear()
-            # With nothing held the key waits until no later row could join; when that time has come, nothing of it is left.
-            timer = int(at / 1000 + machine.wait() * self.unit * 1000) + 1 if ready else None
-        if rows:
-            self.span.update(machine.state())
-        else:
-            machine.end()
-            self.span.clear()
+        self.feeds = handle.getValueState("feeds", FEEDS)
+
+    def _advance(self, frames: Iterator[pd.DataFrame], mark: int) -> Iterator[pd.DataFrame]:
+        """frames: new rows (at in microseconds); mark: the watermark in milliseconds."""
+        videos, classes, until, *rest = self.feeds.get() if self.feeds.exists() else [[]] * N_FEEDS
+        spans, held = list(zip(*rest[:8])), rest[8:]
+        names, until = list(zip(videos, classes)), list(until)
+        place = {name: k for k, name in enumerate(names)}
+        parts = [[np.array(c, kind) for c, kind in zip(held, KINDS)]]
+        for frame in frames:
+            who = []
+            for name in zip(frame["video_id"], frame["class_name"]):
+                k = place.get(name)
+                if k is None:
+                    k = place[name] = len(names)
+                    names.append(name)
+                    spans.append((None,) * 8)
+                    until.append(0)
+                who.append(k)
+            parts.append([np.array(who, np.int64), *(frame[c].to_numpy(kind) for c, kind in zip(("us", "start", "end", "x"), KINDS[1:]))])
+        who, at, start, end, x = (np.concatenate(c) for c in zip(*parts))
+        ready = at <= mark * 1000
+        order = np.flatnonzero(ready)
+        order = order[np.lexsort((at[order], x[order], end[order], start[order], who[order]))]
+        waits = np.zeros(len(names), bool)
+        waits[who[~ready]] = True
+        out, times, ran = [], at[order], set()
+        for k, a, b, machine in _machines(self.policy, spans, who[order], start[order], end[order], x[order]):
+            spans[k] = machine.state()
+            # With nothing held the feed waits until no later row could join.
+            until[k] = max(int(times[a:b].max() / 1000 + machine.wait() * self.unit * 1000) + 1, mark + 1)
+            ran.add(k)
+            out += [(*names[k], *o) for o in machine.out]
+        stay = []
+        for k, name in enumerate(names):
+            if waits[k] or k in ran or until[k] > mark:
+                stay.append(k)
+            else:  # nothing of it is left
+                machine = Machine(self.policy, spans[k])
+                machine.end()
+                out += [(*name, *o) for o in machine.out]
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if timer is not None:
-            self.handle.registerTimer(max(timer, mark + 1))
-        if machine.out:
-            yield pd.DataFrame([(*key, *o) for o in machine.out], columns=["video_id", "class_name", "start", "end", "score"])
+        if stay:
+            moved = np.zeros(len(names), np.int64)
+            moved[stay] = np.arange(len(stay))
+            columns = zip(*((*names[k], until[k], *spans[k]) for k in stay))
+            rows = (moved[who[~ready]], *(c[~ready] for c in (at, start, end, x)))
+            self.feeds.update((*map(list, columns), *(c.tolist() for c in rows)))
+            timers = [until[k] for k in stay if not waits[k]] + (-(-rows[1] // 1000)).tolist()
+            self.handle.registerTimer(max(min(timers), mark + 1))
+        else:
+            self.feeds.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "class_name", "start", "end", "score"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = [(int(at.value // 1000), float(s), float(e), float(x)) for frame in rows for at, s, e, x in frame[["at", "start", "end", "x"]].itertuples(index=False)]
-        yield from self._advance(key, [tuple(r) for r in self.held.get()] + new, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [tuple(r) for r in self.held.get()], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(iter([]), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1.0, **policy: float) -> DataFrame:
+def stream_events(streams: DataFrame, watermark: str = "1 hour", unit: float = 1.0, buckets: int = BUCKETS, **policy: float) -> DataFrame:
     """Final events of a stream (video_id, class_name, at timestamp, start, end, x); start and end in units of `unit` seconds since the epoch of at's origin.
 
-    Run it by run_available, or start it within keyed_state(): its state needs the RocksDB store.
+    Run it by run_available, or start it within keyed_state(): its state needs the RocksDB store. Feeds and classes are dealt to so many
+    buckets, whose number a checkpoint is bound to.
     """
     p = DEFAULT_POLICY | policy
     if p["theta_low"] > p["theta_high"]:
         raise ValueError("theta_low is above theta_high")
     marked = streams.where(F.col("at").isNotNull()).withWatermark("at", watermark)
-    return marked.groupBy("video_id", "class_name").transformWithStateInPandas(Feed(unit, policy), EVENT, "append", "EventTime")
+    bucket = F.pmod(F.xxhash64("video_id", "class_name"), F.lit(buckets)).alias("bucket")
+    dealt = marked.select(bucket, F.col("video_id").cast("string").alias("video_id"), "class_name", "at", F.unix_micros("at").alias("us"), "start", "end", "x")
+    return dealt.groupBy("bucket").transformWithStateInPandas(Feed(unit, policy), EVENT, "append", "EventTime")
 
 
 def remaining_events(spark: SparkSession, checkpoint: str, **policy: float) -> DataFrame:
     """The events that a stopped stream's state still holds: with those emitted, the events of all rows read so far.
 
-    The state is read as tables from the query's checkpoint: the machine goes on from each key's span over its held rows, of which a key has no more than the
-    watermark's delay allows.
+    The state is read as a table from the query's checkpoint, a bucket a row: each machine goes on from its span over its held rows, of which a feed has no more than
+    the watermark's delay allows.
     """
-    read = lambda name, **more: spark.read.format("statestore").option("stateVarName", name).options(**more).load(checkpoint)
-    keys = [F.col("key.video_id").alias("video_id"), F.col("key.class_name").alias("class_name")]
-    span = read("span").select(*keys, F.struct("value.*").alias("span"))
-    held = read("held", flattenCollectionTypes="true").select(*keys, F.col("list_element").alias("row"))
-    rows = span.select("video_id", "class_name", "span", F.lit(None).cast(held.schema["row"].dataType).alias("row")).unionByName(held.withColumn("span", F.lit(None).cast(span.schema["span"].dataType)))
-
-    def finish(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        known = [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in frame["span"] if s is not None]
-        machine = Machine(policy, tuple(None if v is None or v != v else v for v in known[0]) if known else None)
-        for r in sorted((r["start"], r["end"], r["x"]) if isinstance(r, dict) else (r.start, r.end, r.x) for r in frame["row"] if r is not None):
-            machine.row(*r)
-        machine.end()
-        return pd.DataFrame([(*key, *o) for o in machine.out], columns=["video_id", "class_name", "start", "end", "score"])
-
-    return rows.groupBy("video_id", "class_name").applyInPandas(finish, EVENT)
+    state = spark.read.format("statestore").option("stateVarName", "feeds").load(checkpoint).select("key.bucket", "value.*")
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in frame.to_dict("records"):
+            names = list(zip(r["video_id"], r["class_name"]))
+            spans = [tuple(None if v is None or v != v else float(v) for v in span) for span in zip(*(r[c] for c in SPAN))]
+            who, _, start, end, x = (np.asarray(r[c], kind) for c, kind in zip(HELD, KINDS))
+            order = np.lexsort((x, end, start, who))
+            machines = {k: m for k, _, _, m in _machines(policy, spans, who[order], start[order], end[order], x[order])}
+            for k, name in enumerate(names):
+                machine = machines.get(k) or Machine(policy, spans[k])
+                machine.end()
+                out += [(*name, *o) for o in machine.out]
+        return pd.DataFrame(out, columns=["video_id", "class_name", "start", "end", "score"])
+
+    return state.groupBy("bucket").applyInPandas(finish, EVENT)
 
 
 @contextmanager

@@ -263,3 +263,16 @@ def test_grid_stream_is_the_batch_in_few_buckets(spark, tmp_path):
     assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 3
     batch = windows.sliding_windows(clips, "duration").select("video_id", "win_ord", "win_start", "win_end")
     assert sorted(map(tuple, spark.read.schema(feeds.WINDOW).parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_events_stream_is_the_batch_in_few_buckets(spark, tmp_path):
+    """Many feeds in two buckets, some of which end long before others: emitted and held events are the batch's."""
+    rows = [(v, s + 400 * int(v[1:]), e + 400 * int(v[1:]), *r) for v, s, e, *r in feed_rows(9, 9, 40)]
+    df = spark.createDataFrame(rows, KIND).withColumn("at", F.timestamp_millis((F.col("start") * 1000).cast("long"))).withColumn("come", F.col("start") + F.pmod(F.xxhash64("start", "video_id"), F.lit(90)))
+    stream = put_in_steps(spark, df, str(tmp_path / "in"), ["come < 700", "come between 700 and 1900", "come > 1900"])
+    events = hysteresis.stream_events(hysteresis.explode_classes(stream, ["fire", "smoke"]), watermark="101 seconds", buckets=2)
+    hysteresis.run_available(events, str(tmp_path / "out"), str(tmp_path / "state"))
+    emitted = spark.read.schema(hysteresis.EVENT).parquet(str(tmp_path / "out"))
+    held = hysteresis.remaining_events(spark, str(tmp_path / "state"))
+    assert emitted.count() > 0 and held.count() > 0
+    assert rows_of(emitted.unionByName(held)) == rows_of(sessions.aggregate_one(df.drop("come").withColumn("seq", F.monotonically_increasing_id())))
