@@ -128,7 +128,8 @@ def determinants(rows: DataFrame, z: list[str], few: bool = True) -> DataFrame:
 
     Three starts a group: the half of its rows nearest to the median by the sum of squares, by the largest and by the sum of the
     deviations, in units of the median absolute deviation. After two concentration steps the start of least determinant goes on, until
-    a step lowers no group's determinant any more. The determinants seen never rise, so every group ends.
+    a step lowers no group's determinant any more. The determinants seen never rise, so every group ends. Only what is read again is
+    checkpointed, once a step: every file of a checkpoint on a local file system is a process or more that the executor starts.
     """
 
     def small(per_group: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def determinants(rows: DataFrame, z: list[str], few: bool = True) -> DataFrame:
         half = near.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, ACCURACY).alias("half"))
         return _estimate(near.join(small(half), keys).where("d2 <= half"), z, keys)
 
-    medians = cut(rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, ACCURACY).alias(f"m_{x}") for x in z)))
+    medians = rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, ACCURACY).alias(f"m_{x}") for x in z))
     spread = rows.join(small(medians), "grp").groupBy("grp").agg(*(F.first(f"m_{x}").alias(f"m_{x}") for x in z), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, ACCURACY).alias(f"d_{x}") for x in z))
     placed = rows.join(small(cut(spread)), "grp")
     off = [F.abs(F.col(x) - F.col(f"m_{x}")) / F.sqrt(F.pow(1.4826 * F.col(f"d_{x}"), 2) + FLOORS[x] ** 2) for x in z]
@@ -147,12 +148,12 @@ def determinants(rows: DataFrame, z: list[str], few: bool = True) -> DataFrame:
     for _ in range(2):
         model = cut(halves(rows.join(small(model), "grp").select("grp", "start", *z, _distance(z).alias("d2")), ["grp", "start"]))
     best = model.groupBy("grp").agg(F.min(F.struct("det", "start", "mean", "cov", "inverse")).alias("m"))
-    best = cut(best.select("grp", *(f"m.{c}" for c in ("mean", "cov", "inverse", "det")), F.lit(True).alias("moving")))
+    best = best.select("grp", *(f"m.{c}" for c in ("mean", "cov", "inverse", "det")), F.lit(True).alias("moving"))
     for _ in range(STEPS):
         moved = halves(rows.join(small(best.where("moving")), "grp").select("grp", *z, _distance(z).alias("d2")), ["grp"])
         moved = moved.select("grp", F.struct("mean", "cov", "inverse", "det").alias("new"))
         lower = F.coalesce(F.col("new.det") < F.col("det") - SETTLED, F.lit(False))
-        both = best.join(small(cut(moved)), "grp", "left")
+        both = best.join(small(moved), "grp", "left")
         best = cut(both.select("grp", *(F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "cov", "inverse", "det")), lower.alias("moving")))
         if best.where("moving").isEmpty():
             break
@@ -191,7 +192,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior:
     groups = cut(rows.groupBy("own", "wide").agg(F.count(F.lit(1)).alias("n")))
     few = groups.count() <= BROADCAST_ROWS
     rows = cut(rows.select(*z, F.explode(F.array("own", "wide", F.lit("all"))).alias("grp")))
-    models = cut(determinants(rows, z, few)).select("grp", "mean", "cov")
+    models = determinants(rows, z, few).select("grp", "mean", "cov")
 
     def parent(of: DataFrame, key: str) -> DataFrame:
         book = models.select(F.col("grp").alias(key), F.col("mean").alias("p_mean"), F.col("cov").alias("p_cov"))
