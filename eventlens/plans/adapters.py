@@ -89,19 +89,21 @@ LATE, STEPS = 6 * 3600, 3
 def arrivals(df: DataFrame, name: str, end: dict | None = None) -> DataFrame:
     """df (with a timestamp `at`) as a stream whose rows come out of order by up to LATE seconds, a step a batch.
 
-    The rows are written step by step into a scratch folder. end: a row with these values (null where it has none) and a time far on follows, which moves
-    the watermark past all others; keys of it shouldn't be null, as joins pass over those before the watermark sees them.
+    df is worked out once, into a scratch folder, from which the rows are written step by step. end: a row with these values (null where it has none) and a time far on
+    follows, which moves the watermark past all others; keys of it shouldn't be null, as joins pass over those before the watermark sees them.
     """
     spark, out = df.sparkSession, scratch(df.sparkSession, name)
     seconds = F.col("at").cast("double")
     late = df.withColumn("_come", seconds + F.pmod(F.xxhash64(*df.columns), F.lit(LATE)))
+    late.write.parquet(f"{out}/all")
+    late = spark.read.schema(late.schema).parquet(f"{out}/all")
     span = late.agg(F.min("_come").alias("a"), F.max("_come").alias("b")).first()
     step = F.least(F.floor((F.col("_come") - (span.a or 0.0)) / (((span.b or 0.0) - (span.a or 0.0)) / STEPS + 1e-6)), F.lit(STEPS - 1))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(STEPS):
         late.where(step == k).drop("_come").repartition(n).write.parquet(f"{out}/step={k}")
     if end is not None:
-        last = df.agg(F.max("at").alias("m")).select(*((F.col("m") + F.expr("INTERVAL 30 DAYS")).alias(c) if c == "at" else F.lit(end.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns))
+        last = late.agg(F.max("at").alias("m")).select(*((F.col("m") + F.expr("INTERVAL 30 DAYS")).alias(c) if c == "at" else F.lit(end.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns))
         last.write.parquet(f"{out}/step={STEPS}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(f"{out}/step=*")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventlens.operators.sessions import gated
-from eventlens.schema import SCALES
+from eventlens.schema import NORMAL, SCALES
 from eventlens.streaming.hysteresis import BUCKETS
 
 WINDOW = "video_id string, win_ord int, win_start double, win_end double"
@@ -20,13 +20,16 @@ WINDOW = "video_id string, win_ord int, win_start double, win_end double"
 def gate(first: DataFrame, second: DataFrame, least: float = 0.95, watermark: str = "1 hour", apart: str = "10 minutes") -> DataFrame:
     """sessions.gate of two streams with an event time `at`: verdicts and the other model's score for the same window, told no more than `apart` from each other.
 
-    Both sides wait in state until the watermark is past what they could still meet; a verdict without a partner comes out then, as not confirmed.
-    Rows without an event time are left out.
+    Both sides wait in state until the watermark is past what they could still meet; a verdict without a partner comes out then, as not confirmed. Only what a partner
+    can change waits: normal verdicts come out at once, and scores that don't reach `least`, which change as little as none, aren't kept. A window's
+    score should be told once: each that reaches `least` gives its verdict a row. Rows without an event time are left out.
     """
     a = first.where(F.col("at").isNotNull()).withWatermark("at", watermark)
     b = second.where(F.col("at").isNotNull()).select(F.col("video_id").alias("_v"), F.col("at").alias("_at"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("score").alias("_second")).withWatermark("_at", watermark)
     near = F.expr(f"_at BETWEEN at - INTERVAL {apart} AND at + INTERVAL {apart}")
-    joined = a.join(b, (F.col("video_id") == F.col("_v")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")) & near, "leftOuter")
+    # Low scores advance the watermark too: the filter names the event time, so it isn't pushed below the watermark.
+    counts = ~F.col("class_name").eqNullSafe(NORMAL) & F.when(F.col("_at").isNotNull(), F.col("_second") >= least)
+    joined = a.join(b, (F.col("video_id") == F.col("_v")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")) & near & counts, "leftOuter")
     return gated(joined, first.columns, least)
 
 

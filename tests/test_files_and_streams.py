@@ -276,3 +276,63 @@ def test_events_stream_is_the_batch_in_few_buckets(spark, tmp_path):
     held = hysteresis.remaining_events(spark, str(tmp_path / "state"))
     assert emitted.count() > 0 and held.count() > 0
     assert rows_of(emitted.unionByName(held)) == rows_of(sessions.aggregate_one(df.drop("come").withColumn("seq", F.monotonically_increasing_id())))
+
+
+def test_gate_stream_holds_what_a_partner_can_change(spark, tmp_path):
+    """Normal verdicts and scores below the least aren't kept in state, null classes and scores are as in the batch, and the watermark is moved by low scores too."""
+    def ts(x):
+        return F.timestamp_seconds(x + 1000)
+
+    kinds, scores = ("normal", "fire", None, "normal", "normal"), (0.99, None, 0.2, 0.95, 0.94, 0.1, float("nan"))
+    first = [("v", k, 4.0 * k, 4.0 * k + 4, kinds[k % 5], 0.8, float(k)) for k in range(210)] + [("end", 999, 0.0, 0.0, "normal", 0.0, 1e5)]
+    first = spark.createDataFrame(first, "video_id string, seq long, start double, end double, class_name string, score double, t double").withColumn("at", ts(F.col("t"))).drop("t")
+    # The last score of the stream is a low one: without it nothing that waits would come out.
+    second = [("v", 4.0 * k, 4.0 * k + 4, scores[k % 7], k + 5.0) for k in range(210) if k % 11] + [("end", 0.0, 0.0, 0.0, 1e5)]
+    second = spark.createDataFrame(second, "video_id string, start double, end double, score double, t double").withColumn("at", ts(F.col("t"))).drop("t")
+    steps = ["start < 400 and video_id <> 'end'", "start >= 400", "video_id = 'end'"]
+    out = feeds.gate(put_in_steps(spark, first, str(tmp_path / "a"), steps), put_in_steps(spark, second, str(tmp_path / "b"), steps), watermark="2 minutes", apart="10 seconds")
+    with hysteresis.keyed_state(spark):
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = first.where("not class_name <=> 'normal'").count() + second.where("score >= 0.95").count()
+    assert 0 < max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= held
+    names = ["seq", "class_name", "score"]
+    got, want = spark.read.parquet(str(tmp_path / "out")).where("video_id = 'v'"), sessions.gate(first.where("video_id = 'v'"), second)
+    assert sorted(map(str, got.select(names).collect())) == sorted(map(str, want.select(names).collect())) and got.count() == 210
+
+
+def test_gate_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Verdicts of a first run meet scores of a second one, whose state is read back from the checkpoint."""
+    first = spark.createDataFrame([("v", k, 4.0 * k, 4.0 * k + 4, "fire", 0.8) for k in range(30)] + [("end", 99, 0.0, 0.0, "fire", 0.0)], "video_id string, seq long, start double, end double, class_name string, score double")
+    first = first.withColumn("at", F.timestamp_seconds(F.when(F.col("video_id") == "end", 100_000).otherwise(F.col("start") + 1000)))
+    second = first.where("seq % 2 = 0 or video_id = 'end'").select("video_id", "start", "end", F.lit(0.97).alias("score"), "at")
+    first.where("video_id = 'v'").write.parquet(str(tmp_path / "a/0"))
+    second.where("start = 0 and video_id = 'v'").write.parquet(str(tmp_path / "b/0"))
+    read = lambda df, side: spark.readStream.schema(df.schema).parquet(str(tmp_path / side / "*"))
+    for k in range(2):
+        hysteresis.run_available(feeds.gate(read(first, "a"), read(second, "b"), watermark="2 hours"), str(tmp_path / "out"), str(tmp_path / "state"))
+        if k == 0:
+            second.where("start > 0").write.parquet(str(tmp_path / "b/1"))
+            first.where("video_id = 'end'").write.parquet(str(tmp_path / "a/1"))
+            second.where("video_id = 'end'").write.parquet(str(tmp_path / "b/2"))
+    got = {r.seq: r.class_name for r in spark.read.parquet(str(tmp_path / "out")).where("video_id = 'v'").collect()}
+    assert got == {k: "normal" if k % 2 else "fire" for k in range(30)}
+
+
+def test_arrivals_work_their_rows_out_once(spark):
+    """A costly table isn't evaluated anew for every step; every row arrives once, in the end row's company."""
+    from eventlens.plans import adapters
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(500).select(F.udf(count, "long")("id").alias("video_id"), F.timestamp_seconds(F.col("id") * 600).alias("at"), F.lit("x").alias("note"))
+    stream = adapters.arrivals(df, "once", end={"video_id": -1})
+    assert seen.value == 500
+    query = stream.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.video_id for r in spark.table("once").collect()) == list(range(-1, 500))
+    assert len([p for p in query.recentProgress if p.numInputRows]) == adapters.STEPS + 1
